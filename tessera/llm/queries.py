@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, table
+from tessera.llm.line_dedup import LINE_DEDUP_SQL
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,25 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_binary, op8_token_counts)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality_rules
 
-ORACLES: dict[str, str] = {}
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("ld_lines_").alias("n_lines"), F.col("ld_dropped_n_").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op5_token_binary, op8_token_counts, op10_simhash_dedup)}
+
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}

@@ -54,9 +54,13 @@ def distinct_pieces(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text. White space at a text's ends yields an empty
-    piece there, which callers treat as no word."""
-    return distinct_pieces(pc.ascii_split_whitespace(texts))
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text: as distinct_pieces."""
+    offsets, at, words = distinct_pieces(pc.ascii_split_whitespace(texts))
+    empty = pc.index(words, "").as_py()  # left by white space at the ends of a text
+    if empty >= 0:
+        keep = at != empty
+        offsets, at = np.concatenate(([0], np.cumsum(keep)))[offsets], at[keep]
+    return offsets, at, words
 
 
 class WordBpeEncoder:
