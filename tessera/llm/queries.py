@@ -10,6 +10,12 @@ from tessera.llm.common import shared_dir, table
 from tessera.llm.line_dedup import LINE_DEDUP_SQL
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import read_digests, write_token_files
 
@@ -24,6 +30,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import contaminations
+
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality_rules
 
@@ -43,6 +55,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op5_token_binary, op8_token_counts, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op8_token_counts, op10_simhash_dedup)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
