@@ -49,12 +49,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("ld_lines_").alias("n_lines"), F.col("ld_dropped_n_").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents"), key="tessera-demo-key")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op8_token_counts, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op8_token_counts, op9_pii, op10_simhash_dedup)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
