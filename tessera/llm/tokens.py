@@ -212,8 +212,8 @@ class PieceCounter:
 _MODELS: dict[tuple, object] = {}
 
 
-def model(kind: type, path: str):
-    """One model per worker process and file."""
-    if (kind, path) not in _MODELS:
-        _MODELS[kind, path] = kind(path)
-    return _MODELS[kind, path]
+def model(kind: type, path: str, *more):
+    """One model per worker process, file and parameters."""
+    if (kind, path, *more) not in _MODELS:
+        _MODELS[(kind, path, *more)] = kind(path, *more)
+    return _MODELS[(kind, path, *more)]
