@@ -30,6 +30,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n_best=3)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_counts import count_tokens
 
@@ -67,6 +73,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op8_token_counts, op9_pii, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op7_lm_scoring, op8_token_counts, op9_pii, op10_simhash_dedup)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
