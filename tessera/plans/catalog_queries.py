@@ -1,4 +1,6 @@
-"""Registered queries of the catalog operators and their SQL twins."""
+"""All registered queries of the catalog operators and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import rule_queries, search_queries  # noqa: F401  (registration)
+from tessera.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
