@@ -1,6 +1,7 @@
 """Every registered catalog query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.plans.catalog_queries import ORACLES, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(str(plain(v)) for v in r) for r in frame.values.tolist())
 
 
