@@ -7,13 +7,15 @@ back as plain numbers in the order of the keys asked for. Steps:
 
 1. documents -> blocks (written table);
 2. keys with training counts -> totals, returned to the blocks that asked (written table);
-3. each bigram's first asker adds up, for its context, the discounted count and the lower-order
-   probability; contexts are summed by key, which gives the exact backoff weight, returned likewise;
-4. each block evaluates its tokens: the bigram's discounted estimate if it was seen, else the
-   context's backoff weight times the word's estimate.
+3. each block evaluates its tokens: the bigram's discounted estimate if it was seen, else the
+   word's estimate, to be multiplied by the context's backoff weight. A bigram's first asker also
+   adds its discounted count and lower-order probability to its context;
+4. contexts are summed by key, which gives the exact backoff weights; texts with unseen bigrams
+   (held-out ones alone, as all others were counted) are joined with the weights they need.
 
 Good-Turing: counts r of up to K are discounted by d_r from the counts of counts, larger ones are
-not. Lower order: additive estimate (c + 0.1) / (N + 0.1 (V + 1)), which sums to one over the V
+not. Each context counts UNSEEN of an unseen event more than it was seen, so that its backoff weight
+is never zero. Lower order: additive estimate (c + 0.1) / (N + 0.1 (V + 1)), which sums to one over the V
 training words and one unknown word.
 """
 
@@ -34,11 +36,12 @@ from tessera.llm.tokens import by_bytes, split_words, texts_of
 
 K = 5
 SMOOTH = 0.1
+UNSEEN = 0.1
 BLOCK_BYTES = 24 << 20
 #: Every HELD_OUT-th document, by the CRC of its id, is not trained on.
 HELD_OUT = 10
 
-BLOCK_SCHEMA = "block long, ids array<long>, lens array<int>, train array<boolean>, words array<long>, tokens array<int>"
+BLOCK_SCHEMA = "block long, ids array<long>, lens array<int>, train array<boolean>, words array<long>, tokens binary"
 _WORDS, _PAIRS = 0, 1
 
 
@@ -59,6 +62,15 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their four byte planes: the upper ones are mostly zero and compress away."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def blocks_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Documents in blocks: token numbers of each text with the end token last, and the hashes of
     the block's words (the end token is the last of them)."""
@@ -68,16 +80,20 @@ def blocks_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             done = 0
             for part in by_bytes(texts_of(batch.column(1)), BLOCK_BYTES):
                 offsets, at, words = split_words(pc.ascii_lower(part))
-                names = words.to_pylist()
-                hashes = np.fromiter((_digest(w.encode("utf-8")) for w in [*names]), np.uint64, len(names))
+                # Numbered by frequency: small numbers for most tokens.
+                order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+                number_of = np.empty(len(words), np.int64)
+                number_of[order] = np.arange(len(words))
+                at, names = number_of[at], words.take(pa.array(order)).to_pylist()
+                hashes = np.fromiter((_digest(w.encode("utf-8")) for w in names), np.uint64, len(names))
                 hashes = np.append(hashes, np.uint64(_digest(END)))
-                tokens = np.insert(at.astype(np.int32), offsets[1:], len(names))
+                tokens = np.insert(at, offsets[1:], len(names))
                 ids = batch.column(0).slice(done, len(part))
                 names_of = ["" if i is None else str(i) for i in ids.to_pylist()]
                 train = [zlib.crc32(i.encode()) % HELD_OUT != 0 for i in names_of]
                 number = _digest(f"{done}|{names_of[0]}|{names_of[-1]}|{len(tokens)}|{zlib.crc32(tokens.tobytes())}".encode())
-                row = [np.array([number], np.uint64).view(np.int64), [ids.to_pylist()], [(np.diff(offsets) + 1).astype(np.int32)], [train], [hashes.view(np.int64)], [tokens]]
-                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                row = [np.array([number], np.uint64).view(np.int64), [ids.to_pylist()], [(np.diff(offsets) + 1).astype(np.int32)], [train], [hashes.view(np.int64)], [_planes(tokens)]]
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
                 done += len(part)
 
@@ -91,7 +107,7 @@ class Block:
         self.lens = np.asarray(lens, np.int64)
         self.train = np.asarray(train, bool)
         self.hashes = np.asarray(words, np.int64).view(np.uint64)
-        self.tokens = np.asarray(tokens, np.int64)
+        self.tokens = _from_planes(tokens)
         self.in_train = np.repeat(self.train, self.lens)
         # Context of a text's first token: the number after the last word's.
         self.context = np.empty_like(self.tokens)
@@ -173,7 +189,7 @@ def score_texts(docs: DataFrame, k: int = K, id_column: str = "doc_id", text_col
         for batch in batches:
             for row in range(batch.num_rows):
                 number, *parts = (batch.column(i)[row] for i in range(5))
-                own = Block(*(p.values.to_numpy(zero_copy_only=False) for p in parts))
+                own = Block(*(p.values.to_numpy(zero_copy_only=False) for p in parts[:3]), parts[3].as_buffer())
                 for kind in (_WORDS, _PAIRS):
                     yield _rows(kind, number.as_py(), own.keys(kind), buckets, [own.train_counts(kind).astype(np.int32)])
 
@@ -189,6 +205,7 @@ def score_texts(docs: DataFrame, k: int = K, id_column: str = "doc_id", text_col
 
     asked = narrow.mapInArrow(ask, "kind int, bucket int, block long, keys array<long>, v0 array<int>")
     counted = materialize(asked.groupBy("kind", "bucket").applyInPandas(total, "kind int, bucket int, block long, counts array<long>"))
+    del asked
     release_shuffles(spark)
 
     def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,55 +222,46 @@ def score_texts(docs: DataFrame, k: int = K, id_column: str = "doc_id", text_col
     d = discounts({r: sums.get((_PAIRS, r), 0) for r in range(1, k + 2)}, k)
     floor = all_tokens + SMOOTH * (distinct + 1)
 
-    def known_block(left: pd.DataFrame, right: pd.DataFrame) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def evaluate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Rows of three kinds: texts, contexts with their sums, and unseen bigrams of texts."""
         row = left.iloc[0]
         own = Block(row["lens"], row["train"], row["words"], row["tokens"])
         words, pairs = (_answers(right[right["kind"] == kind], "counts", own.keys(kind), buckets).astype(np.int64) for kind in (_WORDS, _PAIRS))
-        of_context = np.append(words // 2, train_docs)
+        words, pairs, first = words // 2, pairs // 2, pairs % 2 == 1
+        of_context = np.append(words, train_docs)
         of_context[len(own.hashes) - 1] = 0  # nothing follows the end token
-        return own, words // 2, pairs // 2, pairs % 2 == 1, of_context
-
-    def context_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, words, pairs, first, of_context = known_block(left, right)
-        add = first & (pairs > 0)
-        n = len(own.contexts)
-        seen = np.bincount(own.first[add], weights=_discounted(pairs[add], d), minlength=n)
-        lower = np.bincount(own.first[add], weights=(words[own.second[add]] + SMOOTH) / floor, minlength=n)
-        wanted = np.flatnonzero(of_context > 0)
-        return _rows(2, int(left["block"].iloc[0]), own.contexts[wanted], buckets, [seen[wanted], lower[wanted], of_context[wanted].astype(np.int64)]).to_pandas()
-
-    def backoff(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        keys, seen, lower, n = (np.concatenate(frame[c].to_list()) for c in ("keys", "v0", "v1", "v2"))
-        _, at = np.unique(keys, return_inverse=True)
-        seen, lower = np.bincount(at, weights=seen)[at], np.bincount(at, weights=lower)[at]
-        # A context whose counts all stand undiscounted has nothing left: one unseen event is
-        # added to it (marked by the sign), so that every weight is positive.
-        full = seen >= n * (1 - 1e-12)
-        weight = (1 - seen / (n + full)) / np.maximum(1 - lower, 1e-300)
-        cut = np.cumsum([len(x) for x in frame["keys"]])[:-1]
-        return pd.DataFrame({"kind": 2, "bucket": frame["bucket"], "block": frame["block"], "weights": np.split(np.where(full, -weight, weight), cut)})
-
-    sums_of = narrow.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(
-        context_sums, "kind int, bucket int, block long, keys array<long>, v0 array<double>, v1 array<double>, v2 array<long>")
-    weights = materialize(sums_of.groupBy("bucket").applyInPandas(backoff, "kind int, bucket int, block long, weights array<double>"))
-    release_shuffles(spark)
-
-    def evaluate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, words, pairs, _, of_context = known_block(left, right)
-        weight = np.ones(len(own.contexts))
-        wanted = np.flatnonzero(of_context > 0)
-        weight[wanted] = _answers(right[right["kind"] == 2], "weights", own.contexts[wanted], buckets)
         lower = (words + SMOOTH) / floor
-        context = of_context + (weight < 0)
-        estimate = np.where(pairs > 0, _discounted(pairs, d) / np.maximum(context[own.first], 1), np.abs(weight[own.first]) * lower[own.second])
+        seen = _discounted(pairs, d)
+        estimate = np.where(pairs > 0, seen / (of_context[own.first] + UNSEEN), lower[own.second])
         starts = np.cumsum(own.lens) - own.lens
         of_text = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({
-            "id": pd.array(left["ids"].iloc[0], dtype="Int64") if not any(i is None or i != i for i in left["ids"].iloc[0]) else pd.array([None if i is None or i != i else int(i) for i in left["ids"].iloc[0]], dtype="Int64"),
-            "held_out": ~own.train, "n_tokens": own.lens, "n_known": of_text((words[own.tokens] > 0).astype(np.int64)), "train_tokens": all_tokens,
-            "base_score": of_text(np.log10(lower)[own.tokens]), "score": of_text(np.log10(estimate)[own.pair_of])})
-
-    answers = counted.withColumn("weights", F.lit(None).cast("array<double>")).unionByName(weights.withColumn("counts", F.lit(None).cast("array<long>")))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        evaluate, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        texts = pd.DataFrame({
+            "id": pd.array([None if i is None or i != i else int(i) for i in row["ids"]], dtype="Int64"), "held_out": ~own.train, "n_tokens": own.lens,
+            "n_known": of_text((words[own.tokens] > 0).astype(np.int64)), "base_score": of_text(np.log10(lower)[own.tokens]), "score": of_text(np.log10(estimate)[own.pair_of])})
+        texts["place"] = np.arange(len(texts))
+        add, n = first & (pairs > 0), len(own.contexts)
+        sums = [np.bincount(own.first[add], weights=w, minlength=n) for w in (seen[add], lower[own.second[add]])]
+        some = np.flatnonzero(sums[0])
+        contexts = pd.DataFrame({"context": own.contexts[some].view(np.int64), "seen": sums[0][some], "lower": sums[1][some], "n": of_context[some]})
+        # A context that was never seen has the weight 1.
+        new = np.flatnonzero((pairs[own.pair_of] == 0) & (of_context[own.context] > 0))
+        place = np.repeat(np.arange(len(own.lens)), own.lens)[new]
+        at, times = np.unique(place << 32 | own.context[new], return_counts=True)
+        unseen = pd.DataFrame({"place": at >> 32, "context": own.contexts[at & 0xFFFFFFFF].view(np.int64), "n": times})
+        out = pd.concat([texts.assign(kind=0), contexts.assign(kind=1), unseen.assign(kind=2)], ignore_index=True)
+        return out.assign(block=row["block"])[[c.split()[0] for c in evaluated_schema.split(", ")]]
+
+    evaluated_schema = ("kind int, block long, place long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
+                        "context long, seen double, lower double, n long")
+    evaluated = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(evaluate, evaluated_schema)
+    evaluated = materialize(evaluated)
+    release_shuffles(spark)
+    contexts = evaluated.where("kind = 1").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"), F.max("n").alias("n"))
+    rest = 1 - F.col("seen") / (F.col("n") + UNSEEN)
+    weights = contexts.select("context", F.log10(rest / F.greatest(1 - F.col("lower"), F.lit(1e-300))).alias("weight"))
+    backed = (evaluated.where("kind = 2").select("block", "place", "context", F.col("n").alias("times")).join(weights, "context")
+              .groupBy("block", "place").agg(F.sum(F.col("times") * F.col("weight")).alias("backed")))
+    scored = evaluated.where("kind = 0").join(backed, ["block", "place"], "left").select(
+        "id", "held_out", "n_tokens", "n_known", F.lit(int(all_tokens)).cast("long").alias("train_tokens"), "base_score",
+        (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"))
     return scored.withColumnRenamed("id", id_column)
