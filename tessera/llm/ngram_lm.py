@@ -37,7 +37,8 @@ from tessera.llm.tokens import by_bytes, split_words, texts_of
 K = 5
 SMOOTH = 0.1
 UNSEEN = 0.1
-BLOCK_BYTES = 24 << 20
+#: Text of a block: about 2 million words, some 100 MB in a worker.
+BLOCK_BYTES = 12 << 20
 #: Every HELD_OUT-th document, by the CRC of its id, is not trained on.
 HELD_OUT = 10
 
@@ -68,7 +69,7 @@ def _planes(numbers: np.ndarray) -> bytes:
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def blocks_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -113,8 +114,9 @@ class Block:
         self.context = np.empty_like(self.tokens)
         self.context[1:] = self.tokens[:-1]
         self.context[np.cumsum(self.lens) - self.lens] = len(self.hashes)
-        pairs, self.pair_of = np.unique(self.context << 32 | self.tokens, return_inverse=True)
-        self.first, self.second = pairs >> 32, pairs & 0xFFFFFFFF
+        pairs, pair_of = np.unique(self.context.astype(np.int64) << 32 | self.tokens, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        self.first, self.second = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         self.contexts = np.append(self.hashes, np.uint64(_digest(START)))
 
     def keys(self, kind: int) -> np.ndarray:
