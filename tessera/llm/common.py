@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,13 @@ def materialize(df: DataFrame, max_records: int | None = None) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs that nothing refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of finished jobs that nothing refers to. Python lets go
+    of the JVM's objects in a thread of its own, so the JVM collects a moment later, and twice."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def text_or_empty(column: str = "text"):
