@@ -20,7 +20,7 @@ from tessera.llm.common import materialize
 # Detection patterns (Java regular expressions), by type.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{32,48})(?![0-9A-Za-z])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -28,6 +28,8 @@ PATTERNS = {
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "person": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|господин|Госпожа|госпожа)\.?[ ]\p{Lu}\p{Ll}+(?:[ \-]\p{Lu}\p{Ll}+){0,2}",
 }
+#: Every entity holds a match of this; it spares most texts the patterns with look-behind.
+ANY_HINT = r"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|[Гг]оспожа|[Гг]осподин)[. ]"
 # Titles of men; other titles are of women.
 MEN = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин"]
 # Given names and name parts of the surrogates, by script and gender.
@@ -65,13 +67,6 @@ def _digits(value: Column, width: int) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
 
-def _into_format(shape: Column, digits: Column) -> Column:
-    """``digits`` put in the places of the digits of ``shape``."""
-    seats = F.split(shape, "")
-    spots = F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), r"\D", "")))
-    return F.array_join(F.zip_with(seats, spots, lambda c, n: F.when(c.rlike(r"^\d$"), F.substring(digits, n, F.lit(1))).otherwise(c)), "")
-
-
 def _phone(key: str, entity: Column) -> Column:
     """Area and line numbers are permuted; country and exchange stay."""
     digits = F.regexp_replace(entity, r"\D", "")
@@ -80,9 +75,9 @@ def _phone(key: str, entity: Column) -> Column:
     area, line = part(9, 3), part(3, 4)
     valid = _feistel(key, area - 200, line, 800, 10_000)  # areas of 200 and more stay so
     other = _feistel(key, area, line, 200, 10_000)
-    new = F.when(area >= 200, F.concat(_digits(valid[0] + 200, 3), F.substring(digits, n - 6, F.lit(3)), _digits(valid[1], 4))).otherwise(
-        F.concat(_digits(other[0], 3), F.substring(digits, n - 6, F.lit(3)), _digits(other[1], 4)))
-    return _into_format(entity, F.concat(F.substring(digits, F.lit(1), n - 10), new))
+    new_area = F.when(area >= 200, _digits(valid[0] + 200, 3)).otherwise(_digits(other[0], 3))
+    new_line = F.when(area >= 200, _digits(valid[1], 4)).otherwise(_digits(other[1], 4))
+    return F.regexp_replace(entity, F.lit(r"\d{3}(\D*\d{3}\D*)\d{4}$"), F.concat(new_area, F.lit("$1"), new_line))
 
 
 def _luhn(digits: Column, n: int) -> Column:
@@ -102,7 +97,9 @@ def _card(key: str, entity: Column) -> Column:
     left, right = _feistel(key, F.substring(digits, 3, 6).cast("long"), F.substring(digits, 9, 7).cast("long"), 10**6, 10**7)
     body = F.concat(F.substring(digits, 1, 2), _digits(left, 6), _digits(right, 7))
     last = F.pmod(_luhn(digits, 16) - _luhn(F.concat(body, F.lit("0")), 16), F.lit(10))
-    return _into_format(entity, F.concat(body, last.cast("string")))
+    quarters = [F.substring(body, 1 + 4 * k, 4) for k in range(3)]
+    return F.regexp_replace(entity, F.lit(r"^\d{4}(\D?)\d{4}(\D?)\d{4}(\D?)\d{4}$"), F.concat(
+        quarters[0], F.lit("$1"), quarters[1], F.lit("$2"), quarters[2], F.lit("$3"), F.substring(body, 13, 3), last.cast("string")))
 
 
 def _ip(key: str, entity: Column) -> Column:
@@ -114,19 +111,23 @@ def _ip(key: str, entity: Column) -> Column:
 def _ssn(key: str, entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
     left, right = _feistel(key, F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 6).cast("long"), 1000, 10**6)
-    return _into_format(entity, F.concat(_digits(left, 3), _digits(right, 6)))
+    return F.concat_ws("-", _digits(left, 3), F.substring(_digits(right, 6), 1, 2), F.substring(_digits(right, 6), 3, 4))
 
 
 def _letters(hexadecimal: Column) -> Column:
     return F.translate(hexadecimal, "0123456789abcdef", "bcdfghklmnprstvz")
 
 
-def _email(key: str, entity: Column, attempt: Column) -> Column:
+def _pool(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
+    """128 hexadecimal digits for the characters of mail addresses and secrets."""
+    seed = _draw(key, kind, entity, attempt)
+    return F.concat(seed, F.sha2(seed, 256))
+
+
+def _email(key: str, entity: Column, attempt: Column, pool: Column) -> Column:
     """Runs of letters and of digits keep their lengths; the domain becomes one of a reserved name,
     the same for all addresses of the domain. A later attempt lengthens the local part."""
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    seed = _draw(key, F.lit("email"), entity, attempt)
-    pool = F.concat(seed, F.sha2(seed, 256))
     letters, numbers = _letters(pool), F.translate(pool, "abcdef", "246802")
     chars = F.zip_with(F.split(local, ""), F.sequence(F.lit(1), F.length(local)), lambda c, i: F.when(
         c.rlike("^[a-z]$"), F.substring(letters, F.pmod(i - 1, F.lit(128)) + 1, F.lit(1))).when(
@@ -135,11 +136,10 @@ def _email(key: str, entity: Column, attempt: Column) -> Column:
     return F.concat(F.array_join(chars, ""), more, F.lit("@"), F.substring(_letters(_draw(key, F.lit("domain"), domain)), 1, 12), F.lit(".example.net"))
 
 
-def _secret(key: str, entity: Column, attempt: Column) -> Column:
+def _secret(entity: Column, pool: Column) -> Column:
     """Prefix and length stay; characters of a class are drawn from that class."""
-    seed = _draw(key, F.lit("secret"), entity, attempt)
     keep = F.length(F.regexp_extract(entity, r"^(AKIA|gh[pousr]_|sk-)?", 1))
-    body = F.substring(seed, F.lit(1), F.length(entity) - keep)
+    body = F.substring(pool, F.lit(1), F.length(entity) - keep)
     return F.concat(F.substring(entity, F.lit(1), keep), F.when(entity.startswith("AKIA"), F.upper(body)).otherwise(body))
 
 
@@ -174,8 +174,8 @@ def kind_of(mention: Column) -> Column:
     return out
 
 
-def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    return (F.when(kind == "email", _email(key, entity, attempt)).when(kind == "secret", _secret(key, entity, attempt))
+def surrogate(key: str, kind: Column, entity: Column, attempt: Column, pool: Column) -> Column:
+    return (F.when(kind == "email", _email(key, entity, attempt, pool)).when(kind == "secret", _secret(entity, pool))
             .when(kind == "phone", _phone(key, entity)).when(kind == "ssn", _ssn(key, entity)).when(kind == "card", _card(key, entity))
             .when(kind == "ip", _ip(key, entity)).otherwise(_person(key, entity, attempt)))
 
@@ -188,9 +188,13 @@ def surrogate_table(entities: DataFrame, key: str, max_attempts: int = 8) -> Dat
     those that hit an entity, draw again. Number kinds are permuted and never meet.
     """
     known = entities.select("kind", F.col("entity").alias("surrogate")).withColumn("taken", F.lit(True))
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     for _ in range(max_attempts):
-        drawn = open_.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt")))
+        # The draws are made before a shuffle, which also spreads the few rows over all tasks:
+        # expressions within lambdas would repeat them for each character.
+        seeded = open_.withColumn("pool", _pool(key, F.col("kind"), F.col("entity"), F.col("attempt"))).repartition(parts, "kind", "entity")
+        drawn = seeded.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt"), F.col("pool"))).drop("pool")
         if settled is not None:
             known_now = known.unionByName(settled.select("kind", "surrogate").withColumn("taken", F.lit(True))).distinct()
         else:
@@ -217,7 +221,7 @@ def replace_entities(docs: DataFrame, key: str, id_column: str = "doc_id", text_
     in a third of all documents is a few rows there.
     """
     source = docs.select(F.col(id_column).alias("pii_id_"), F.col(text_column).alias("pii_text_"), F.xxhash64(text_column).alias("pii_hash_"))
-    found = materialize(source.where(F.col("pii_text_").rlike(_COMBINED)).withColumn("mentions", F.regexp_extract_all("pii_text_", F.lit(_COMBINED), 0)))
+    found = materialize(source.where(F.col("pii_text_").rlike(ANY_HINT) & F.col("pii_text_").rlike(_COMBINED)).withColumn("mentions", F.regexp_extract_all("pii_text_", F.lit(_COMBINED), 0)))
     mentions = (found.select("pii_id_", "pii_hash_", F.posexplode("mentions").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention")))
                 .withColumn("entity", F.when(F.col("kind") == "email", F.lower("mention")).otherwise(F.col("mention"))))
     table = surrogate_table(materialize(mentions.select("kind", "entity").distinct()), key)
