@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import cases, empty, prose, table
-from tessera.llm import decontamination, line_dedup, simhash
+from tessera.llm import decontamination, line_dedup, similar, simhash
 
 
 def plain_dedup(rows, min_chars=10, min_docs=2):
@@ -109,6 +109,55 @@ def test_keep_one(spark):
     assert simhash.keep_one_of_each(table(spark, cases())).columns == table(spark, []).columns
 
 
+def plain_similar(rows, least=0.8, k=5):
+    """(id, component) of each row by comparing all pairs."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} for w in words]
+    labels = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) / len(a | b) >= least and labels[i] != labels[j]:
+                labels = [labels[j] if x == labels[i] else x for x in labels]
+    ids = {}
+    for (d, _), x in zip(rows, labels):
+        ids.setdefault(x, []).append(d)
+    return Counter((d, min((i for i in ids[x] if i is not None), default=None)) for (d, _), x in zip(rows, labels))
+
+
+def near_rows():
+    """Copies of a text with 1 to 14 changed words, chains, one dense group and a common passage."""
+    base, hot, rows = prose(500, 300).split(), prose(501, 12), []
+    for changes in range(15):
+        copy = list(base)
+        for c in range(changes):
+            copy[10 + 20 * c] = f"changed{changes}x{c}"
+        rows.append((2000 + 500 * changes, prose(600 + changes, 9) + " " + " ".join(copy[20 * changes:])))
+    other = prose(502, 120).split()
+    rows += [(9000 + i, " ".join(other[i:i + 80])) for i in range(0, 40, 3)]
+    rows += [(9100 + i, " ".join(other[:60] + [f"own{i}"] + other[60:])) for i in range(60)]
+    rows += [(9300 + i, prose(700 + i, 20) + " " + hot) for i in range(30)]
+    rows += [(9400 + i, " ".join(base[:150] + [f"e{i}x{j}" for j in range(i)])) for i in range(0, 45, 4)]
+    return rows
+
+
+def test_similar_groups(spark):
+    rows = cases() + near_rows()
+    got = similar.similar_groups(table(spark, rows))
+    assert Counter(map(tuple, got.collect())) == plain_similar(rows)
+    assert similar.similar_groups(empty(spark)).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_080(spark):
+    import corpus_pipeline
+
+    words = prose(800, 300).split()
+    rows = [(1, " ".join(words))]
+    for i, changes in enumerate((1, 3, 5, 6, 7, 9), 2):  # similarity 0.967 to 0.818 up to 6 changes
+        rows.append((i, " ".join(f"n{i}x{j}" if j % 40 == 20 and j // 40 < changes else w for j, w in enumerate(words)) if changes < 8 else " ".join(f"n{i}x{j}" if j % 30 == 7 and j // 30 < changes else w for j, w in enumerate(words))))
+    kept = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, table(spark, rows), "").collect()}
+    assert kept == {d for d, c in plain_similar(rows) if d == c} and not kept & {2, 3, 4, 5}
+
+
 ITEMS = [(1, prose(100, 30)), (2, prose(101, 17) + "!"), (3, "Three short words"), (4, None), (5, " ,. "), (6, prose(102, 55)), (6, prose(102, 55)), (7, prose(103, 30))]
 
 
