@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import by_bytes, distinct_pieces, model, texts_of
 
 #: Entries in a worker's table of units; a full one is emptied.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 SPACE = "▁"
 
 
@@ -67,7 +68,10 @@ class PieceLattice:
         self.joined = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         if any(pair[1] == SPACE and pair[0] != SPACE for pair in self.joined):
             raise ValueError("a piece reaches over the start of a word")
-        self.units: dict[str, tuple[bytes, tuple[float, ...], bool]] = {}
+        size = [len(x) for x in self.spelling]
+        self.spelled_size, self.spelled_start = np.array(size, np.int64), np.cumsum([0, *size])[:-1]
+        self.spelled_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.units: dict[str, tuple[tuple[float, bytes], ...]] = {}
 
     def _fallback(self, char: str) -> tuple[tuple[int, ...], float]:
         raw = char.encode("utf-8")
@@ -176,39 +180,36 @@ class PieceLattice:
         text = self._spelled(ids).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-    def _unit(self, unit: str) -> tuple[bytes, tuple[float, ...], bool]:
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """``decode`` of each run of ids."""
+        lens = self.spelled_size[ids]
+        ends = np.concatenate(([0], np.cumsum(lens)))
+        raw = self.spelled_bytes[np.repeat(self.spelled_start[ids] - ends[:-1], lens) + np.arange(ends[-1])]
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets].astype(np.int64)), pa.py_buffer(raw))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_string())
+        return pc.replace_substring_regex(pc.replace_substring(texts, SPACE, " "), r"\A ", "")
+
+    def _unit(self, unit: str) -> tuple[tuple[float, bytes], ...]:
         found = self.units.get(unit)
         if found is None:
-            best = self.search(unit)
-            ids = best[0][1]
-            found = self.units[unit] = array("I", ids).tobytes(), tuple([s for s, _ in best]), self._spelled(ids) == unit
+            found = self.units[unit] = tuple([(s, array("I", ids).tobytes()) for s, ids in self.search(unit)])
         return found
 
-    def _summary(self, word: str) -> tuple[bytes, tuple[float, ...], bool]:
-        """Best ids, the N best scores, and whether the best ids spell the word."""
+    def _word(self, word: str) -> tuple[tuple[float, bytes], ...] | list[tuple[float, bytes]]:
+        """``word`` with the ids as bytes, from the table of units."""
         found = self.units.get(word)  # most words are one unit
         if found is None:
             units = self.cut(word)
-            if len(units) == 1:
-                return self._unit(word)
-            own = [self._unit(u) for u in units]
-            found = b"".join([o[0] for o in own]), tuple(self._n_best_scores([o[1] for o in own])), all([o[2] for o in own])
+            found = self._unit(units[0])
+            for unit in units[1:]:
+                found = self.add(found, self._unit(unit))
         return found
 
-    def _n_best_scores(self, words: list[tuple[float, ...]]) -> list[float]:
-        """The N best sums of one score from each word."""
-        total, most = [0.0], self.n_best
-        for scores in words:
-            if len(scores) == 1:
-                total = [a + scores[0] for a in total]
-            elif len(total) == 1:
-                total = [total[0] + b for b in scores]
-            else:
-                total = sorted([a + b for a in total for b in scores], reverse=True)[:most]
-        return total
-
-    def summaries(self, texts: pa.Array) -> tuple[list[int], list[int], list[list[float]], list[bool]]:
-        """Of each text: n_tokens, ids_crc32, scores, decoded_ok.
+    def segmentations(self, texts: pa.Array) -> list[list[tuple[float, np.ndarray]]]:
+        """The N best (score, ids) of each text, best first.
 
         A text's N best differ from its best in the words that lose least by their second choice:
         with N - 1 such words there are N sums at least as good as any that changes another word,
@@ -219,59 +220,118 @@ class PieceLattice:
         # Runs of spaces, the model's sign for a space, spaces at the ends and empty texts are rare.
         special = pc.or_(pc.match_substring_regex(texts, "  |▁|^ | $"), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
         offsets, at, names = distinct_pieces(pc.split_pattern(texts, " "))
-        found = [self._summary(SPACE + name) for name in names.to_pylist()]
-        best = np.fromiter((f[1][0] for f in found), float, len(found))
-        loss = np.fromiter((f[1][0] - f[1][1] if len(f[1]) > 1 else np.inf for f in found), float, len(found))
-        fine = np.fromiter((f[2] for f in found), bool, len(found))
-        size = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
+        found = [self._word(SPACE + name) for name in names.to_pylist()]
+        odd: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(special).tolist():
+            text = texts[i].as_py()
+            words = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
+            odd[i] = np.arange(len(found), len(found) + len(words))
+            found += [self._word(w) for w in words]
+        best = np.fromiter((f[0][0] for f in found), float, len(found))
+        loss = np.fromiter((f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found), float, len(found))
+        size = np.fromiter((len(f[0][1]) for f in found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join([f[0][1] for f in found]), "<u4")
         starts = np.concatenate(([0], np.cumsum(size)))
-        n_tokens, crc, scores, ok = [], [], [], []
-        least = self.n_best - 1
+        out, least = [], self.n_best - 1
         for i in range(len(texts)):
-            if special[i]:
-                text = texts[i].as_py()
-                words = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
-                own = [self._summary(w) for w in words]
-                ids = b"".join(f[0] for f in own)
-                scores.append(self._n_best_scores([f[1] for f in own]))
-                ok.append(all(f[2] for f in own) and SPACE not in text)
-            else:
-                w = at[offsets[i]:offsets[i + 1]]
-                own_size = size[w]
-                ends = np.cumsum(own_size)
-                ids = flat[np.repeat(starts[w] - (ends - own_size), own_size) + np.arange(ends[-1])]
-                change = w
-                if len(w) > least:
-                    change = w[np.argpartition(loss[w], least - 1)[:least]] if least else w[:0]
-                rest = best[w].sum() - best[change].sum()
-                scores.append([rest + s for s in self._n_best_scores([found[k][1] for k in change.tolist()])])
-                ok.append(bool(fine[w].all()))
-            n_tokens.append(len(ids) // 4 if isinstance(ids, bytes) else len(ids))
-            crc.append(zlib.crc32(ids))
-        return n_tokens, crc, scores, ok
+            w = odd[i] if i in odd else at[offsets[i]:offsets[i + 1]]
+            if not len(w):
+                out.append([(0.0, np.zeros(0, np.uint32))])
+                continue
+            own_size = size[w]
+            ends = np.cumsum(own_size)
+            ids = flat[np.repeat(starts[w] - (ends - own_size), own_size) + np.arange(ends[-1])]
+            places = np.arange(len(w))
+            if len(w) > least:
+                places = np.sort(np.argpartition(loss[w], least - 1)[:least]) if least else places[:0]
+            changes = w[places].tolist()
+            ways: list[tuple[float, tuple[int, ...]]] = [(float(best[w].sum() - best[changes].sum()) if changes else float(best[w].sum()), ())]
+            for k in changes:
+                ways = self.add(ways, [(s, (j,)) for j, (s, _) in enumerate(found[k])])
+            spans = [(int(ends[p] - own_size[p]), int(ends[p])) for p in places.tolist()]
+            texts_ids = []
+            for score, choice in ways:
+                if not any(choice):
+                    texts_ids.append((score, ids))
+                    continue
+                parts, done = [], 0
+                for k, j, (a, b) in zip(changes, choice, spans, strict=True):
+                    parts += [ids[done:a], np.frombuffer(found[k][j][1], "<u4")]
+                    done = b
+                texts_ids.append((score, np.concatenate([*parts, ids[done:]])))
+            out.append(texts_ids)
+        return out
+
+
+def segment_texts(docs: DataFrame, model_path: str, n_best: int = 3, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
+    """(id, scores, ids) of each row, with the text before the scores if ``keep_text``: the N best
+    segmentations as scores and arrays of piece ids, best first (fewer if a text has fewer).
+
+    Null and empty texts: one segmentation without ids, score 0. Repeated rows and null ids get a
+    row each. Narrow: no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice: PieceLattice = model(PieceLattice, model_path, n_best)
+        for batch in batches:
+            done = 0
+            for part in by_bytes(texts_of(batch.column(1)), 2 << 20):
+                found = lattice.segmentations(part)
+                outer = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
+                every = [ids for f in found for _, ids in f]
+                inner = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in every]))), pa.int32())
+                ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.concatenate(every).view(np.int32))))
+                scores = pa.ListArray.from_arrays(outer, pa.array([s for f in found for s, _ in f], pa.float64()))
+                text = [batch.column(1).slice(done, len(part))] if keep_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *text, scores, ids], ["id", *(["text"] if keep_text else []), "scores", "ids"])
+                done += len(part)
+
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    schema = f"id long, {'text string, ' if keep_text else ''}scores array<double>, ids array<array<int>>"
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without nulls."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), offsets - offsets[0]
+
+
+def decode_ids(df: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
+    """``df`` with the text of each row's ids (array<int>). Null ids: null. Narrow."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lattice: PieceLattice = model(PieceLattice, model_path)
+        for column in series:
+            known = column[column.notna()]
+            offsets = np.concatenate(([0], np.cumsum([len(i) for i in known]))).astype(np.int64)
+            texts = lattice.decode_all(np.concatenate([*known, np.zeros(0, np.int64)]).astype(np.int64), offsets)
+            yield pd.Series(texts.to_pylist(), index=known.index, dtype=object).reindex(column.index).where(column.notna(), None)
+
+    return df.withColumn(text_column, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(ids_column))
 
 
 def encode_texts(docs: DataFrame, model_path: str, n_best: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_crc32, scores, decoded_ok) of each row.
+    """(id, n_tokens, ids_crc32, scores, decoded_ok) of each row: digests of ``segment_texts``.
 
     ids_crc32: of the best segmentation's ids as little-endian 32-bit integers; scores: of the N
-    best, best first (fewer if a text has fewer segmentations); decoded_ok: decoding the best gives
-    the text back. Null and empty texts: no tokens, one score of 0. Repeated rows and null ids get
-    a row each. Narrow: no shuffle.
+    best, best first (fewer if a text has fewer segmentations); decoded_ok: decoding the best ids
+    gives the text back. Null and empty texts: no tokens, one score of 0. Repeated rows and null
+    ids get a row each. Narrow: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice: PieceLattice = model(PieceLattice, model_path, n_best)
         for batch in batches:
             done = 0
-            for part in by_bytes(texts_of(batch.column(1)), 16 << 20):
-                cols = lattice.summaries(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                     pa.array(cols[2], pa.list_(pa.float64())), pa.array(cols[3], pa.bool_())],
-                    ["id", "n_tokens", "ids_crc32", "scores", "decoded_ok"])
+            for part in by_bytes(texts_of(batch.column(1)), 2 << 20):
+                own = batch.slice(done, len(part))
+                ids, offsets = _flat(own.column(3))
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                same = pc.equal(lattice.decode_all(ids, offsets), part)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), own.column(2), same],
+                                                 ["id", "n_tokens", "ids_crc32", "scores", "decoded_ok"])
                 done += len(part)
 
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(run, "id long, n_tokens long, ids_crc32 long, scores array<double>, decoded_ok boolean").withColumnRenamed("id", id_column)
+    found = segment_texts(docs, model_path, n_best, id_column, text_column, keep_text=True).select(F.col(id_column).alias("id"), "text", "scores", F.col("ids")[0].alias("best"))
+    return found.mapInArrow(run, "id long, n_tokens long, ids_crc32 long, scores array<double>, decoded_ok boolean").withColumnRenamed("id", id_column)

@@ -8,10 +8,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import cases, empty, table
 from tessera.llm import token_files
-from tessera.llm.lattice import SPACE, PieceLattice, encode_texts
+from tessera.llm.lattice import SPACE, PieceLattice, decode_ids, encode_texts, segment_texts
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.tokens import PieceCounter, WordBpeEncoder
 
@@ -110,3 +111,24 @@ def test_lattice_texts(spark):
         assert got[i]["scores"] == pytest.approx([s for s, _ in best])
         assert lattice.decode(best[0][1]) == (t or "").replace(SPACE, " ") and got[i]["decoded_ok"] == (SPACE not in (t or ""))
     assert encode_texts(empty(spark), PIECES).count() == 0
+
+
+def test_segmentations_and_decoding(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + k, t) for k, (_, t) in enumerate(cases())]
+    lattice = PieceLattice(PIECES, 3)
+    found = segment_texts(table(spark, rows), PIECES)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = lattice.encode(t or "")
+        assert got[i]["scores"] == pytest.approx([s for s, _ in want]) and got[i]["ids"][0] == want[0][1]
+        score = {p: lattice.model.get_score(p) for ids in got[i]["ids"] for p in ids}
+        assert len({tuple(ids) for ids in got[i]["ids"]}) == len(want)
+        for ids, s in zip(got[i]["ids"], got[i]["scores"]):
+            assert lattice.decode(ids) == (t or "").replace(SPACE, " ")
+            if not any(lattice.model.is_byte(p) for p in ids):
+                assert sum(score[p] for p in ids) == pytest.approx(s)
+    for n in range(3):
+        texts = {r["doc_id"]: r["decoded"] for r in decode_ids(found.select("doc_id", F.get("ids", F.lit(n)).alias("own")), PIECES, "own").collect()}
+        assert texts == {i: (t or "").replace(SPACE, " ") if len(got[i]["ids"]) > n else None for i, t in rows}
+    assert segment_texts(empty(spark), PIECES).count() == 0
