@@ -1,14 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: item-sized windows, counts of shared shingles, exact check.
 
 For every size (in words) that a benchmark item has, a window of that size slides over each text.
-A window's SimHash adds up the bits of its five-word shingles, once for each occurrence. The item
-fingerprints are indexed by four 16-bit blocks: fingerprints at most ``radius`` = 15 bits apart
-agree up to 3 bits in one block at least, so every item within the radius is found by looking up
-the window's four blocks among all values up to 3 bits from the items' blocks. What is found is
-checked by the weighted Jaccard similarity of the shingles (weight: number of occurrences).
-
-Windows that hold no shingle of an item of their size have similarity 0 with all of them; their
-fingerprints are not computed.
+A window is as similar to an item as the weighted Jaccard similarity of their five-word shingles
+(weight: number of occurrences). Similar ones have a number of shingles in common that follows from
+the threshold; windows with fewer shingles of items of their size, and items with fewer in a
+window, are left out, and the others compared exactly. So everything at the threshold is found.
+
+A SimHash of each window (sum of the bits of its shingles) gives the ``bits`` of the result. With a
+``radius`` only windows whose fingerprint is that near are reported; for those the item fingerprints
+can be looked up by four 16-bit blocks (``within``): fingerprints at most 15 bits apart agree up to
+3 bits in one block at least.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 class BenchmarkIndex:
     """Items by size, the shingles of each size, and the block index of all fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], radius: int | None = RADIUS):
         self.radius = radius
         offsets, words = word_hashes(pa.array([t or "" for _, t in items], pa.large_string()))
         self.items, self.bags, prints, self.sizes = [], [], [], []
@@ -97,13 +98,22 @@ class BenchmarkIndex:
         self.classes = np.unique(sizes)
         self.known = {int(s): np.unique(np.concatenate([b for b, n in zip(self.bags, self.sizes, strict=True) if n == s])) for s in self.classes}
         self.all_known = np.unique(np.concatenate([*self.known.values(), np.zeros(0, np.uint64)]))
+        #: Of each size: its shingles, and the items that hold each of them.
+        self.holders = {}
+        for n in self.classes.tolist():
+            pairs = [(np.unique(b), i) for i, (b, size) in enumerate(zip(self.bags, self.sizes, strict=True)) if size == n]
+            names, owner = np.concatenate([b for b, _ in pairs]), np.concatenate([np.full(len(b), i, np.int32) for b, i in pairs])
+            order = np.argsort(names, kind="stable")
+            self.holders[n] = names[order], owner[order]
+        self.index = []
+        if radius is None:
+            return
         # Up to floor(radius / 4) bits from an item's block: keys (size class, block value).
         flips = [0]
         for n in range(1, radius // _BLOCKS + 1):
             flips += [sum(1 << b for b in c) for c in itertools.combinations(range(_BITS), n)]
         masks = np.array(flips, np.uint64)
         of_class = np.searchsorted(self.classes, sizes).astype(np.uint64)
-        self.index = []
         for block in range(_BLOCKS):
             keys = (of_class[:, None] << np.uint64(_BITS) | (self._block(self.prints, block)[:, None] ^ masks[None])).reshape(-1)
             owner = np.repeat(np.arange(len(self.items), dtype=np.int32), len(masks))
@@ -132,7 +142,7 @@ class BenchmarkIndex:
         """(text, item, first word, words, bits, similarity): the best window of each pair."""
         best: dict[tuple[int, int], tuple] = {}
         by_shingle: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for number, size in enumerate(self.classes.tolist()):
+        for size in self.classes.tolist():
             k = min(SHINGLE_WORDS, size)
             if k not in by_shingle:
                 h = shingles(words, k)
@@ -153,27 +163,32 @@ class BenchmarkIndex:
             starts = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
             text = np.searchsorted(offsets, starts, "right") - 1
             counts = np.minimum(size, offsets[text + 1] - starts) - k + 1
+            least = threshold / (1 + threshold) * (counts + size - k + 1) - 1e-9  # shingles in common
+            full = np.searchsorted(own, starts + counts) - np.searchsorted(own, starts) >= least
+            starts, counts, text, least = starts[full], counts[full], text[full], least[full]
             for at in range(0, len(starts), 1 << 16):
-                self._windows(h, starts[at:at + (1 << 16)], counts[at:at + (1 << 16)], text[at:at + (1 << 16)], offsets, number, k, threshold, best)
+                own_part = slice(at, at + (1 << 16))
+                self._windows(h, starts[own_part], counts[own_part], text[own_part], least[own_part], offsets, size, k, threshold, best)
         return [(t, self.items[i], *rest) for (t, i), rest in sorted(best.items())]
 
-    def _windows(self, h, starts, counts, text, offsets, number, k, threshold, best) -> None:
-        n = counts
-        used = np.unique(np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-        sums = np.zeros((len(used) + 1, 64), np.int32)
-        np.cumsum(_bits(h[used]), axis=0, dtype=np.int32, out=sums[1:])
-        low = np.searchsorted(used, starts)
-        prints = _simhash(sums[low + counts] - sums[low], counts)
-        for w, i in zip(*(x.tolist() for x in self.within(prints, number)), strict=True):
-            bag = h[starts[w]:starts[w] + counts[w]]
-            alike = similarity(bag, self.bags[i])
-            key = int(text[w]), i
-            if alike >= threshold and alike > best.get(key, (0,) * 4)[3]:
-                bits = int(np.bitwise_count(prints[w] ^ self.prints[i]))
-                best[key] = int(starts[w] - offsets[text[w]]), int(counts[w] + k - 1), bits, alike
-
-
-def _indexes(benchmark: DataFrame, item_column: str, text_column: str, radius: int, max_items: int) -> Iterator[BenchmarkIndex]:
+    def _windows(self, h, starts, counts, text, least, offsets, size, k, threshold, best) -> None:
+        names, owner = self.holders[size]
+        for start, count, place, need in zip(starts.tolist(), counts.tolist(), text.tolist(), least.tolist(), strict=True):
+            bag = h[start:start + count]
+            low, high = np.searchsorted(names, bag, "left"), np.searchsorted(names, bag, "right")
+            n = high - low
+            items, shared = np.unique(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+            for i in items[shared >= need].tolist():
+                alike = similarity(bag, self.bags[i])
+                key = place, i
+                if alike >= threshold and alike > best.get(key, (0,) * 4)[3]:
+                    own = _simhash(_bits(bag).sum(0, dtype=np.int64)[None], np.array([count]))[0]
+                    bits = int(np.bitwise_count(own ^ self.prints[i]))
+                    if self.radius is None or bits <= self.radius:
+                        best[key] = start - int(offsets[place]), count + k - 1, bits, alike
+
+
+def _indexes(benchmark: DataFrame, item_column: str, text_column: str, radius: int | None, max_items: int) -> Iterator[BenchmarkIndex]:
     """Indexes of bounded blocks of the benchmark."""
     items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).alias("text")).where("text is not null")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -183,10 +198,11 @@ def _indexes(benchmark: DataFrame, item_column: str, text_column: str, radius: i
         yield BenchmarkIndex([tuple(r) for r in rows], radius)
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SIMILARITY, radius: int = RADIUS,
+def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SIMILARITY, radius: int | None = None,
                    max_items: int = MAX_ITEMS, id_column: str = "doc_id", item_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """(id, item_id, word_start, n_words, bits, similarity): each text that holds a window within
-    ``radius`` bits of an item and at least ``threshold`` similar to it, with its best window.
+    """(id, item_id, word_start, n_words, bits, similarity): each text that holds a window at least
+    ``threshold`` similar to an item, with its best window: all of them, or with a ``radius`` those
+    of at most so many bits between the fingerprints.
 
     Narrow over the documents. Words are runs of letters and digits, lower-cased. Items of under
     five words are one shingle; items and texts without words match nothing; a text shorter than
@@ -215,7 +231,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN
     return found.withColumnRenamed("id", id_column)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SIMILARITY, radius: int = RADIUS,
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SIMILARITY, radius: int | None = None,
                       max_items: int = MAX_ITEMS, item_column: str = "item_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without a window like an item, all columns as they are."""
     for index in _indexes(benchmark, item_column, text_column, radius, max_items):

@@ -217,3 +217,23 @@ def test_multi_index_finds_all_within_radius():
     w, i = index.within(prints, 0)
     every = np.bitwise_count(prints[:, None] ^ index.prints[None, :]) <= decontamination.RADIUS
     assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(every))))
+
+
+def test_contaminations_reach_the_threshold():
+    """Each item with words changed here and there: whatever is 0.8 similar is found, however far
+    the fingerprint."""
+    rng, far = np.random.default_rng(5), 0
+    items = [(i, prose(3000 + i, 55 if i % 2 else 32)) for i in range(40)]
+    index = decontamination.BenchmarkIndex(items, None)
+    rows = []
+    for i, text in items:
+        for n in range(30):
+            words = text.split()
+            words[int(rng.integers(5, len(words) - 5))] = f"changed{n}x{i}"
+            rows.append((len(rows), " ".join(words)))
+    import pyarrow as pa
+
+    found = index.search(*decontamination.word_hashes(pa.array([t for _, t in rows], pa.large_string())), 0.8)
+    far = sum(r[4] > decontamination.RADIUS for r in found)
+    want = {(d, i, s) for d, t in rows for _, i, s in plain_contaminations([(d, t)], [items[d // 30]])}
+    assert {(r[0], r[1], round(r[5], 9)) for r in found} == want and far > 0
