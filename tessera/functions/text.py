@@ -115,41 +115,97 @@ def redact_list(values: Column, limit: int = 64, text_limit: int = 512) -> Colum
     return F.transform(F.slice(F.filter(values, lambda v: ~sensitive(v)), 1, limit), lambda v: F.substring(v, 1, text_limit))
 
 
+# Keys of identifiers; they come first and their texts are not cut.
+IDENTITY = ["tile_id", "variant_id", "block_id", "canonical_state_id"]
+
+
 def redact_map(values: Column, limit: int = 64, text_limit: int = 512) -> Column:
-    """Entries in key order, without sensitive keys and values, at most ``limit``."""
-    kept = F.filter(F.array_sort(F.map_entries(values)), lambda e: ~sensitive(e["key"]) & ~sensitive(e["value"]))
-    return F.map_from_entries(F.transform(F.slice(kept, 1, limit), lambda e: F.struct(e["key"], F.substring(e["value"], 1, text_limit))))
+    """Entries without sensitive keys and values, identifiers first, then in key order, at most
+    ``limit``; texts are cut to ``text_limit``, those of identifiers not."""
+    kept = F.filter(F.map_entries(values), lambda e: ~sensitive(e["key"]) & ~sensitive(e["value"]))
+    ranked = F.array_sort(F.transform(kept, lambda e: F.struct((~e["key"].isin(IDENTITY)).alias("rank"), e["key"].alias("key"), e["value"].alias("value"))))
+    cut = F.transform(F.slice(ranked, 1, limit), lambda e: F.struct(e["key"].alias("key"), F.when(e["rank"], F.substring(e["value"], 1, text_limit)).otherwise(e["value"]).alias("value")))
+    return F.map_from_entries(cut)
 
 
 @F.pandas_udf(StringType())
 def redact_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bounded copy of free-form JSON: strings to 512, lists and maps to 64, depth 4; sensitive keys
-    and values and non-finite numbers become null; ids first."""
+    """Bounded copy of free-form JSON: strings to 512 (identifiers whole), lists and maps to 64, depth
+    4. Sensitive keys and values and what lies deeper are left out, non-finite numbers become null;
+    identifiers come first. Bad JSON: null."""
     import json
     import math
     import re
 
     pattern = re.compile(SENSITIVE)
 
-    def copy(value, depth):
-        if isinstance(value, str):
-            return None if pattern.search(value) else value[:512]
-        if isinstance(value, float) and not math.isfinite(value):
-            return None
-        if isinstance(value, (list, dict)) and depth >= 4:
+    def stay(value, name, depth):
+        """``value`` bounded, once if it may stay."""
+        match value:
+            case str():
+                if not pattern.search(value):
+                    yield value if name in IDENTITY else value[:512]
+            case float() if not math.isfinite(value):
+                yield None
+            case list() | dict() if depth == 4:
+                return
+            case list():
+                yield [x for v in value[:64] for x in stay(v, None, depth + 1)]
+            case dict():
+                pairs = [(k[:128], x) for k, v in value.items() if not pattern.search(k[:128]) for x in stay(v, k[:128], depth + 1)]
+                yield dict(sorted(pairs, key=lambda p: (p[0] not in IDENTITY, p[0].encode("utf-8")))[:64])
+            case _:
+                yield value
+
+    def one(text):
+        try:
+            return next((json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in stay(json.loads(text), None, 0)), None)
+        except (TypeError, ValueError):
             return None
-        if isinstance(value, list):
-            return [copy(v, depth + 1) for v in value[:64]]
-        if isinstance(value, dict):
-            keys = sorted((k for k in value if not pattern.search(k)), key=lambda k: (not k.endswith("_id"), k))
-            return {k: copy(value[k], depth + 1) for k in keys[:64]}
-        return value
+
+    for series in documents:
+        yield series.map(one, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def canonical_json_text(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Free-form JSON with keys in order and no white space; bad JSON: null."""
+    import json
 
     def one(text):
         try:
-            return json.dumps(copy(json.loads(text), 0), ensure_ascii=False, separators=(",", ":"))
+            return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
         except (TypeError, ValueError):
             return None
 
     for series in documents:
         yield series.map(one, na_action="ignore")
+
+
+def snapshot_hash(path: Column, content: Column) -> Column:
+    """Aggregate: SHA-256 over the files of a group in byte order of their paths, each as path, a zero
+    byte, the content's length in 8 bytes, and the content. A group is one package's files and is
+    put together in one task; larger sets take integrity.table_fingerprint."""
+    raw = F.coalesce(content.cast("binary"), F.lit(b""))
+    framed = F.concat(F.hex(path.cast("binary")), F.lit("00"), F.lpad(F.hex(F.octet_length(raw).cast("long")), 16, "0"), F.hex(raw))
+    ordered = F.array_sort(F.collect_list(F.struct(path.cast("binary").alias("p"), framed.alias("h"))))
+    return hash_text(F.unhex(F.array_join(F.transform(ordered, lambda e: e["h"]), "")))
+
+
+# Shapes of identifiers and times.
+PATTERNS = {
+    "export_id": r"^export_[0-9]{8}T[0-9]{6}Z(?:_(?:0[1-9]|[1-9][0-9]))?$",
+    "hash": r"^sha256:[0-9a-f]{64}$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z$",
+    "entity_id": r"^[a-z0-9_.-]+:[a-z0-9_./-]+$",
+}
+
+
+def has_shape(value: Column, shape: str) -> Column:
+    """Whether the text has the named shape of PATTERNS; false for null."""
+    return F.coalesce(value.rlike(PATTERNS[shape]), F.lit(False))
+
+
+def parse_time(value: Column) -> Column:
+    """Timestamp of an ISO text, null if it is none."""
+    return F.try_to_timestamp(value)

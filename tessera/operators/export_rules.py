@@ -10,8 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import canonical_key, safe_path
-from tessera.operators.integrity import all_issues, duplicate_keys, exactly_one, issues, member_mismatch, missing_evidence, orphans, parent_mismatch
+from tessera.functions.text import PATTERNS, canonical_key, safe_path
+from tessera.operators.integrity import all_issues, duplicate_keys, exactly_one, full_comparison, issues, member_mismatch, missing_evidence, ordered_hash, orphans, parent_mismatch
+from tessera.operators.projections import tint_rule
+from tessera.sources.records import parse_checksum_list
 
 # Shape of an entity id.
 BLOCK_ID = r"^[a-z0-9_.-]+:[a-z0-9_./-]+$"
@@ -80,15 +82,17 @@ def failure_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame, fa
 
 def manifest_issues(manifest: DataFrame, blocks: DataFrame, states: DataFrame, variants: DataFrame, failures: DataFrame) -> DataFrame:
     """Declared counts, the registry's ordered hash, and one export id in all records. manifest: one
-    row (export_id, registry_snapshot_sha256, counts map<string,long>)."""
+    row (export_id, registry_snapshot_sha256, counts map<string,long>). Failures may have a
+    ``review_status``; pending ones are counted too. The registry must fit integrity.ordered_hash."""
     ids = blocks.where(F.col("block_id").rlike(BLOCK_ID)).select("block_id").distinct()
-    registry = ids.agg(F.count("*").alias("n"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.array_sort(F.collect_list("block_id")), "\n"), 256)).alias("h"))
-    one = manifest.crossJoin(registry)  # a row each
+    digest = ordered_hash(ids, "block_id").select(F.concat(F.lit("sha256:"), "set_hash").alias("h"))
+    one = manifest.join(ids.agg(F.count("*").alias("n"))).join(digest)  # a row each
     real = reduce(DataFrame.unionByName, [
         blocks.agg(F.lit("block_records").alias("name"), F.count("*").alias("n")), states.agg(F.lit("state_records").alias("name"), F.count("*").alias("n")),
         variants.agg(F.lit("selected_variant_records").alias("name"), F.count_if(F.col("status") == "selected").alias("n")),
         variants.agg(F.lit("skipped_variant_records").alias("name"), F.count_if(F.col("status") == "skipped").alias("n")),
-        failures.agg(F.lit("failure_records").alias("name"), F.count("*").alias("n"))])
+        failures.agg(F.lit("failure_records").alias("name"), F.count("*").alias("n")),
+        *([failures.agg(F.lit("pending_review_records").alias("name"), F.count_if(F.col("review_status") == "pending").alias("n"))] if "review_status" in failures.columns else [])])
     said = manifest.select(F.explode("counts").alias("name", "said"))
     alien = reduce(DataFrame.unionByName, [t.select(F.col(k).cast("string").alias("subject"), "export_id") for t, k in ((blocks, "block_id"), (states, "state_id"), (variants, "variant_id"), (failures, "failure_id"))])
     return all_issues(
@@ -108,10 +112,15 @@ def render_issues(variants: DataFrame, files: DataFrame) -> DataFrame:
     wanted = reduce(DataFrame.unionByName, [chosen.select("variant_id", F.concat("base", F.lit(n)).alias("relative_path"), F.col(h).alias("said"), F.lit(code).alias("mismatch")) for n, h, code in kinds])
     joined = wanted.join(files.select("relative_path", F.concat(F.lit("sha256:"), "sha256").alias("real")), "relative_path", "left")
     extra = files.where(F.col("relative_path").startswith("renders/")).join(wanted.select("relative_path"), "relative_path", "left_anti")
+    folder = lambda t: t.select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"))
+    real, want = folder(files.where(F.col("relative_path").startswith("renders/"))).distinct(), folder(wanted).distinct()
+    of_skipped = variants.where("status = 'skipped'").select(F.regexp_replace(base, "/$", "").alias("folder"))
+    differ = real.join(want, "folder", "left_anti").unionByName(want.join(real, "folder", "left_anti"))
     return all_issues(
         issues(bad, "RENDER_PATH_INVALID", "block_id"), issues(joined.where("real is null"), "RENDER_FILE_MISSING", "variant_id", "relative_path"),
         joined.where("real <> said").select(F.col("mismatch").alias("code"), F.col("variant_id").alias("subject"), F.col("relative_path").alias("detail")),
-        issues(extra, "RENDER_FILE_SET_INVALID", "relative_path"))
+        issues(extra, "RENDER_FILE_SET_INVALID", "relative_path"), issues(differ, "RENDER_VARIANT_SET_MISMATCH", "folder"),
+        issues(real.join(want, "folder", "left_anti").join(of_skipped, "folder", "left_semi"), "RENDER_SKIPPED_DIRECTORY_PRESENT", "folder"))
 
 
 def image_issues(stats: DataFrame, checkers: DataFrame) -> DataFrame:
@@ -121,6 +130,128 @@ def image_issues(stats: DataFrame, checkers: DataFrame) -> DataFrame:
         issues(stats.where("off_canvas"), "OBJECT_OFF_CANVAS", "image_id"), issues(checkers.where("checker"), "MISSING_TEXTURE", "image_id"))
 
 
+# Files of an export, files of a rendered variant, schemas in order, and what original
+# assets look like.
+REQUIRED_FILES = ["manifest.json", "blocks.jsonl", "states.jsonl", "variants.jsonl", "failures.jsonl", "checksums.sha256", "exporter.log"]
+RENDER_FILES = ["preview.png", "mask.png", "render.json"]
+SCHEMA_IDS = ["export-block.v1", "export-failure.v1", "export-manifest.v1", "export-state.v1", "export-variant.v1", "render-metadata.v1"]
+ASSET_ENDINGS = [".jar", ".zip", ".mcpack", ".mcmeta", ".7z", ".rar"]
+ASSET_FOLDERS = ["assets", "blockstates", "models", "textures", "font", "fonts", "sound", "sounds"]
+
+
+def _of(rows: DataFrame, code: str, detail: Column | str | None = None) -> DataFrame:
+    """Issues of exports: the subject is the export's name."""
+    return issues(rows, code, "export", detail)
+
+
+def directory_issues(exports: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Names of exports (export, manifest_export_id) and their folders. inventory: (export,
+    relative_path)."""
+    staging = F.col("export").startswith(".") & F.col("export").endswith(".staging")
+    files = inventory.select("export").distinct()
+    rendered = inventory.where(F.col("relative_path").startswith("renders/")).select("export").distinct()
+    return all_issues(
+        _of(exports.join(files, "export", "left_anti"), "EXPORT_DIR_MISSING"), _of(exports.where(staging), "EXPORT_DIR_STAGING"),
+        _of(exports.where(~staging & ~F.col("export").rlike(PATTERNS["export_id"])), "EXPORT_DIR_NAME_INVALID"),
+        _of(exports.join(files, "export", "left_semi").join(rendered, "export", "left_anti"), "RENDERS_DIR_MISSING"),
+        _of(exports.where(F.col("manifest_export_id") != F.col("export")), "EXPORT_DIR_NAME_MISMATCH", "manifest_export_id"))
+
+
+def file_issues(inventory: DataFrame) -> DataFrame:
+    """Files that an export lacks or must not have. inventory: (export, relative_path)."""
+    path = F.col("relative_path")
+    wanted = inventory.select("export").distinct().select("export", F.explode(F.array(*map(F.lit, REQUIRED_FILES))).alias("relative_path"))
+    rendered = path.startswith("renders/")
+    ending = F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
+    asset = ending.isin(ASSET_ENDINGS) | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ASSET_FOLDERS)))
+    return all_issues(
+        _of(wanted.join(inventory.select("export", "relative_path"), ["export", "relative_path"], "left_anti"), "REQUIRED_FILE_MISSING", "relative_path"),
+        _of(inventory.where(~rendered & ~path.isin(REQUIRED_FILES)), "UNDECLARED_FILE", "relative_path"),
+        _of(inventory.where(rendered & ~F.regexp_extract(path, r"[^/]*$", 0).isin(RENDER_FILES)), "UNDECLARED_RENDER_FILE", "relative_path"),
+        _of(inventory.where(asset & ~(rendered & ending.isin(".png", ".json"))), "ORIGINAL_ASSET_BLACKLISTED", "relative_path"))
+
+
+def text_issues(files: DataFrame) -> DataFrame:
+    """Line ends of text files (export, relative_path, content)."""
+    text = F.col("content").cast("string")
+    return all_issues(
+        _of(files.where(text.contains("\r")), "TEXT_NOT_LF", "relative_path"),
+        _of(files.where((F.length(text) > 0) & ~text.endswith("\n")), "TEXT_MISSING_FINAL_LF", "relative_path"))
+
+
+def checksum_issues(lines: DataFrame, inventory: DataFrame, exports: DataFrame) -> DataFrame:
+    """Checksum lists (export, line_no, value) against the files (export, relative_path, sha256) that
+    they must name, all but the lists themselves. exports: (export) with a list or not."""
+    parsed = parse_checksum_list(lines.withColumnRenamed("export", "list")).withColumnRenamed("list", "export")
+    key = F.struct("export", "relative_path").alias("file")
+    said = parsed.where("issue is null or issue = 'CHECKSUM_ORDER_INVALID'").withColumnRenamed("path", "relative_path").select(key, "sha256")
+    real = inventory.where("relative_path <> 'checksums.sha256'").select(key, "sha256")
+    named = lines.select("export").distinct()
+    compared = full_comparison(said, real, "file", "sha256").select("file.export", "file.relative_path", "status").join(named, "export", "left_semi")
+    code = F.create_map(*(F.lit(x) for pair in (("missing", "CHECKSUM_FILES_EXTRA"), ("extra", "CHECKSUM_FILES_MISSING"), ("mismatch", "CHECKSUM_MISMATCH")) for x in pair))
+    return all_issues(
+        _of(exports.select("export").join(named, "export", "left_anti"), "CHECKSUM_FILE_READ_FAILED"),
+        parsed.where("issue is not null").select(F.col("issue").alias("code"), F.col("export").alias("subject"), F.col("line_no").cast("string").alias("detail")),
+        compared.select(F.element_at(code, F.col("status")).alias("code"), F.col("export").alias("subject"), F.col("relative_path").alias("detail")))
+
+
+def manifest_document_issues(manifests: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Manifests as JSON texts (export, value) and the schemas that they list. schemas: (schema_id,
+    value) as JSON texts; their hashes are over the text."""
+    parsed = manifests.withColumn("v_", F.try_parse_json("value"))
+    kind = F.schema_of_variant("v_")
+    good = parsed.where(F.col("v_").isNotNull() & kind.startswith("OBJECT")).select(
+        "export", F.try_variant_get("v_", "$.status", "string").alias("status"), F.try_variant_get("v_", "$.platform.os_name", "string").alias("os"), F.try_variant_get("v_", "$.platform.architecture", "string").alias("arch"),
+        F.try_variant_get("v_", "$.platform", "variant").isNotNull().alias("has_platform"), F.from_json("value", "schema_inventory array<struct<schema_id:string,schema_sha256:string>>")["schema_inventory"].alias("listed"))
+    listed = good.where("listed is not null").select("export", F.explode("listed").alias("s")).select("export", "s.*")
+    real = schemas.select("schema_id", F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("real_"))
+    read = schemas.withColumn("v_", F.try_parse_json("value"))
+    return all_issues(
+        _of(parsed.where("v_ is null"), "MANIFEST_READ_FAILED"), _of(parsed.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "MANIFEST_NOT_OBJECT"),
+        _of(good.where("status = 'failed'"), "FAILED_EXPORT_NOT_ACCEPTED"),
+        _of(good.where(F.col("listed").isNotNull() & (F.col("listed.schema_id") != F.array(*map(F.lit, SCHEMA_IDS)))), "SCHEMA_INVENTORY_ORDER"),
+        _of(listed.join(real, "schema_id").where(~F.col("schema_sha256").eqNullSafe(F.col("real_"))), "SCHEMA_INVENTORY_HASH_MISMATCH", "schema_id"),
+        issues(read.where("v_ is null"), "SCHEMA_READ_FAILED", "schema_id"), issues(read.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "SCHEMA_NOT_OBJECT", "schema_id"),
+        _of(good.where(F.col("has_platform") & ~F.coalesce(F.col("os").isin("Windows", "Linux"), F.lit(False))), "PLATFORM_UNSUPPORTED", "os"),
+        _of(good.where(F.col("has_platform") & ~F.col("arch").eqNullSafe(F.lit("x86_64"))), "PLATFORM_ARCHITECTURE_UNSUPPORTED", "arch"))
+
+
+# Issues that fail an export.
+FAILING = [
+    "CHECKSUM_MISMATCH", "CHECKSUM_FILES_MISSING", "CHECKSUM_FILES_EXTRA", "CHECKSUM_LINE_INVALID", "CHECKSUM_PATH_INVALID", "CHECKSUM_ORDER_INVALID",
+    "REQUIRED_FILE_MISSING", "UNDECLARED_FILE", "UNDECLARED_RENDER_FILE", "MANIFEST_READ_FAILED", "JSONL_READ_FAILED",
+    "RENDER_FILE_MISSING", "RENDER_PATH_INVALID", "RENDER_METADATA_PARSE_FAILED", "RENDER_FILE_SET_INVALID", "RENDER_SKIPPED_DIRECTORY_PRESENT", "RENDER_VARIANT_SET_MISMATCH",
+    "VARIANT_ID_BLOCK_MISMATCH", "EXPORT_DIR_NAME_INVALID", "EXPORT_DIR_NAME_MISMATCH", "EXPORT_DIR_STAGING",
+    "BACKGROUND_ONLY_RENDER", "OBJECT_TOO_SMALL", "OBJECT_OFF_CANVAS", "MISSING_TEXTURE", "REGISTRY_COUNT_MISMATCH",
+    "INVENTORY_SYMLINK_REJECTED", "INVENTORY_HARDLINK_REJECTED", "STATE_BLOCK_REFERENCE_INVALID", "VARIANT_BLOCK_REFERENCE_INVALID",
+    "FAILURE_STATE_BLOCK_MISMATCH", "FAILURE_VARIANT_BLOCK_MISMATCH", "BLOCK_ID_DUPLICATE", "STATE_ID_DUPLICATE", "VARIANT_ID_DUPLICATE", "SCHEMA_VALIDATION_FAILED",
+]
+
+
+def status_issues(exports: DataFrame, found: DataFrame) -> DataFrame:
+    """Exports (export, status, pending: number of failures that wait for review) whose status is not the
+    one that their issues (export, code) give: failed, else needs_review with pending ones, else
+    succeeded."""
+    failing = found.where(F.col("code").isin(FAILING)).select("export", F.lit(True).alias("fails_")).distinct()
+    expected = F.when(F.col("fails_"), "failed").when(F.col("pending") > 0, "needs_review").otherwise("succeeded")
+    return _of(exports.join(failing, "export", "left").withColumn("expected_", expected).where(~F.col("status").eqNullSafe(F.col("expected_"))), "MANIFEST_STATUS_MISMATCH", "expected_")
+
+
+def metadata_issues(metadata: DataFrame) -> DataFrame:
+    """Metadata of rendered variants as JSON texts (variant_id, value)."""
+    parsed = metadata.withColumn("v_", F.try_parse_json("value"))
+    kind = F.schema_of_variant("v_")
+    get = lambda path, type_: F.try_variant_get("v_", path, type_)
+    objects = parsed.where(F.col("v_").isNotNull() & kind.startswith("OBJECT"))
+    has_mask = F.coalesce(F.schema_of_variant(get("$.mask", "variant")).startswith("OBJECT"), F.lit(False))
+    return all_issues(
+        issues(parsed.where("v_ is null"), "RENDER_METADATA_PARSE_FAILED", "variant_id"), issues(parsed.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "RENDER_METADATA_NOT_OBJECT", "variant_id"),
+        issues(objects.where(~get("$.variant_id", "string").eqNullSafe(F.col("variant_id"))), "RENDER_METADATA_VARIANT_MISMATCH", "variant_id"),
+        issues(objects.where(~has_mask | ~get("$.mask.format", "string").eqNullSafe(F.lit("PNG-RGBA"))), "MASK_METADATA_FORMAT_INVALID", "variant_id"),
+        issues(objects.where(has_mask & ~get("$.mask.channel", "string").eqNullSafe(F.lit("alpha"))), "MASK_METADATA_CHANNEL_INVALID", "variant_id"),
+        issues(objects.where(~tint_rule(get("$.tint_sensitive", "boolean"), get("$.baseline_biome", "string"))), "TINT_BASELINE_INVALID", "variant_id"))
+
+
 def export_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame, failures: DataFrame, manifest: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """All issues of an export's tables."""
     found = [record_issues(blocks, states, variants), mapping_issues(blocks, states, variants, failures), failure_issues(blocks, states, variants, failures)]

@@ -9,38 +9,38 @@ from pyspark.sql.window import Window
 AXES = ("x", "y", "z")
 
 
-def box_union(boxes: DataFrame, key: str, max_boxes: int = 256) -> DataFrame:
-    """(key, volume, width, height, depth, full_cube, cells): the exact volume and extent of the
-    union of each entity's boxes. Boxes without volume count for nothing; entities left without
-    boxes get zeros.
+def _slabs(boxes: DataFrame, group: list[str], axis: str) -> DataFrame:
+    """Boxes once for each interval of the axis that they cover: the ends of all boxes of a group cut the
+    axis, and a box covers the intervals from its lower end's number to its upper end's."""
+    ends = boxes.select(*group, F.explode(F.array(f"min_{axis}", f"max_{axis}")).alias("end_")).distinct()
+    by = Window.partitionBy(*group).orderBy("end_")
+    numbered = ends.select(*group, "end_", F.row_number().over(by).alias("n_"), F.lead("end_").over(by).alias("next_"))
+    low = numbered.select(*group, F.col("end_").alias(f"min_{axis}"), F.col("n_").alias("from_"))
+    high = numbered.select(*group, F.col("end_").alias(f"max_{axis}"), F.col("n_").alias("to_"))
+    size = numbered.where("next_ is not null").select(*group, F.col("n_").alias(f"i{axis}_"), (F.col("next_") - F.col("end_")).alias(f"d{axis}_"))
+    spread = boxes.join(low, [*group, f"min_{axis}"]).join(high, [*group, f"max_{axis}"]).withColumn(f"i{axis}_", F.explode(F.sequence("from_", F.col("to_") - 1)))
+    return spread.drop("from_", "to_", f"min_{axis}", f"max_{axis}").join(size, [*group, f"i{axis}_"])
 
-    Coordinates of an axis are compressed to intervals by a window, the intervals' cells joined
-    within the entity, and cells inside some box summed: all joins are on the entity. An entity of
-    more than ``max_boxes`` boxes is refused, as cells grow with the cube of that number.
-    """
-    real = boxes.where(" and ".join(f"max_{a} > min_{a}" for a in AXES))
-    most = real.groupBy(key).agg(F.count("*").alias("n"))
-    real = real.join(most, key).where(F.when(F.col("n") > max_boxes, F.raise_error(F.lit("too many boxes for one entity"))).otherwise(F.lit(True)))
 
-    def intervals(axis: str) -> DataFrame:
-        ends = real.select(key, F.explode(F.array(f"min_{axis}", f"max_{axis}")).alias("low")).distinct()
-        high = F.lead("low").over(Window.partitionBy(key).orderBy("low"))
-        return ends.withColumn("high", high).where("high is not null").select(key, F.col("low").alias(f"lo_{axis}"), F.col("high").alias(f"hi_{axis}"))
+def box_union(boxes: DataFrame, key: str) -> DataFrame:
+    """(key, volume, width, height, depth, full_cube): the exact volume and extent of the union of each
+    entity's boxes. Boxes without volume count for nothing; entities left without boxes get zeros.
 
-    cells = intervals("x").join(intervals("y"), key).join(intervals("z"), key)
-    centre = {a: (F.col(f"lo_{a}") + F.col(f"hi_{a}")) / 2 for a in AXES}
-    inside = F.lit(True)
-    for a in AXES:
-        inside = inside & (F.col(f"c.c_{a}") >= F.col(f"b.min_{a}")) & (F.col(f"c.c_{a}") < F.col(f"b.max_{a}"))
-    held = cells.withColumns({f"c_{a}": centre[a] for a in AXES}).alias("c").join(real.alias("b"), (F.col(f"c.{key}") == F.col(f"b.{key}")) & inside, "left_semi")
-    size = lambda a: F.col(f"hi_{a}") - F.col(f"lo_{a}")
-    volume = held.groupBy(key).agg(F.bround(F.sum(size("x") * size("y") * size("z")), 12).alias("volume"), F.count("*").alias("cells"))
+    Boxes are dealt to the slabs between the ends of all boxes along x, within a slab along y, and in
+    each column of slabs the lengths along z are united by a running maximum. Columns are rows of their
+    own, so an entity of very many boxes is spread over tasks.
+    """
+    real = boxes.where(" and ".join(f"max_{a} > min_{a}" for a in AXES)).select(key, *(f"{n}_{a}" for a in AXES for n in ("min", "max"))).distinct()
+    columns = _slabs(_slabs(real, [key], "x"), [key, "ix_", "dx_"], "y")
+    before = F.max("max_z").over(Window.partitionBy(key, "ix_", "iy_").orderBy("min_z", "max_z").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("max_z") - F.greatest("min_z", F.coalesce("before_", F.col("min_z"))), F.lit(0.0))
+    volume = columns.withColumn("before_", before).groupBy(key).agg(F.bround(F.sum(F.col("dx_") * F.col("dy_") * new), 12).alias("volume"))
     extent = real.groupBy(key).agg(*(f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))))
     full = F.abs(F.col("volume") - 1) <= 1e-12
     for a in AXES:
         full = full & (F.abs(F.col(f"min_{a}")) <= 1e-12) & (F.abs(F.col(f"max_{a}") - 1) <= 1e-12)
-    found = extent.join(volume, key).select(key, "volume", *((F.col(f"max_{a}") - F.col(f"min_{a}")).alias(n) for a, n in zip(AXES, ("width", "height", "depth"), strict=True)), full.alias("full_cube"), "cells")
-    zero = {"volume": 0.0, "width": 0.0, "height": 0.0, "depth": 0.0, "full_cube": False, "cells": 0}
+    found = extent.join(volume, key).select(key, "volume", *((F.col(f"max_{a}") - F.col(f"min_{a}")).alias(n) for a, n in zip(AXES, ("width", "height", "depth"), strict=True)), full.alias("full_cube"))
+    zero = {"volume": 0.0, "width": 0.0, "height": 0.0, "depth": 0.0, "full_cube": False}
     return boxes.select(key).distinct().join(found, key, "left").select(key, *(F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()))
 
 

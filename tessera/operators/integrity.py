@@ -105,9 +105,10 @@ def union_fields(rows: DataFrame, tag: str, fields: dict[str, list[str]]) -> Dat
 
 
 def full_comparison(declared: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, status): missing, extra or mismatch."""
-    joined = declared.select(key, F.col(value).alias("said")).join(actual.select(key, F.col(value).alias("real")), key, "full_outer")
-    status = F.when(F.col("real").isNull(), "missing").when(F.col("said").isNull(), "extra").when(F.col("said") != F.col("real"), "mismatch")
+    """(key, status): missing, extra or mismatch. A null value is a value: equal to null alone."""
+    said, real = (t.select(key, F.struct(value).alias(n)) for t, n in ((declared, "said"), (actual, "real")))
+    joined = said.join(real, key, "full_outer")
+    status = F.when(F.col("real").isNull(), "missing").when(F.col("said").isNull(), "extra").when(~F.col(f"said.{value}").eqNullSafe(F.col(f"real.{value}")), "mismatch")
     return joined.select(key, status.alias("status")).where("status is not null")
 
 
@@ -131,19 +132,34 @@ def unsorted_lines(lines: DataFrame, by: str, number: str, value: str) -> DataFr
     return lines.withColumn("before_", before).where(F.col(value) < F.col("before_")).drop("before_")
 
 
-def ordered_hash(rows: DataFrame, key: str) -> DataFrame:
-    """One row: SHA-256 of the byte-sorted keys joined by line feeds. For registries that fit a
-    task; large tables take table_fingerprint."""
+def ordered_hash(rows: DataFrame, key: str, max_keys: int = 1_000_000) -> DataFrame:
+    """One row: SHA-256 of the byte-sorted keys joined by line feeds. The text is put together in one
+    task, so a registry of more than ``max_keys`` keys is an error; large tables take
+    table_fingerprint."""
+    n = rows.count()
+    if n > max_keys:
+        raise ValueError(f"{n} keys are too many for one ordered hash; use table_fingerprint")
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("set_hash"))
 
 
-def table_fingerprint(rows: DataFrame, buckets: int = 256) -> DataFrame:
-    """(n, fingerprint): independent of row order and safe for any size. Row hashes are dealt to
-    buckets by their first byte, sorted and hashed there, and the buckets' hashes hashed."""
+def table_fingerprint(rows: DataFrame, rows_per_bucket: int = 65_536) -> DataFrame:
+    """(n, fingerprint): independent of row order. Row hashes are dealt to buckets by their first two
+    digits (four, six, ... for larger tables, so that a bucket has about ``rows_per_bucket`` rows),
+    sorted and hashed there; 256 buckets at most are then hashed to one, until one is left. Repeated
+    rows share a bucket: they are counted first, and the count is hashed with the row."""
     named = F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
-    hashed = rows.select(F.sha2(named, 256).alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    partial = hashed.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return partial.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.format_string("%03d", "b"), "h"))), ""), 256).alias("fingerprint"))
+    digits = 2
+    total = rows.count()
+    while total > rows_per_bucket * 16**digits:
+        digits += 2
+    level = rows.select(F.sha2(named, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")).select(
+        F.substring("h", 1, digits).alias("b"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("h"), "n")
+    while digits >= 0:
+        hashed = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
+        level = level.groupBy("b").agg(F.sum("n").alias("n"), hashed.alias("h")).select(
+            F.substring("b", 1, max(0, digits - 2)).alias("b"), F.concat_ws(":", "b", "h").alias("h"), "n", F.col("h").alias("own"))
+        digits -= 2
+    return level.select("n", F.col("own").alias("fingerprint")) if total else rows.sparkSession.sql("SELECT 0L AS n, sha2('', 256) AS fingerprint")
 
 
 def duplicate_content(rows: DataFrame, key: str, *content: str) -> DataFrame:

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.integrity import row_difference
+from tessera.functions.text import canonical_json_text, hash_text
+from tessera.operators.integrity import domain_violations, full_comparison, ordered_hash, row_difference
+from tessera.operators.schema_rules import violations as schema_violations
+from tessera.operators.search import eligible, verified
 
 # Gate names in the order of the report.
 GATES = [
@@ -39,6 +42,56 @@ def registry_coverage(registry: DataFrame, workspace: DataFrame, key: str) -> Da
     return counted.where("coalesce(r, 0) <> 1 or coalesce(w, 0) <> 1").select(key)
 
 
+def registry_hash_differs(declared: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """The row of ``declared`` (count, sha256) if the registry has another number of distinct keys or another
+    ordered hash."""
+    keys = registry.select(key).distinct()
+    one = declared.join(keys.agg(F.count("*").alias("n_"))).join(ordered_hash(keys, key))  # a row each
+    return one.where(~(F.col("count").eqNullSafe(F.col("n_")) & F.col("sha256").eqNullSafe(F.concat(F.lit("sha256:"), "set_hash")))).select("count", "sha256")
+
+
+def machine_violations(sources: dict[str, tuple[DataFrame, str, str, list]], expected: DataFrame, workspace: DataFrame, states: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(code, subject) of what breaks the machine facts: records against their schema's rules (name ->
+    table, key, JSON column, rules), a workspace that is not the projection of its source, and states
+    whose properties are not in their block's domain."""
+    wrong = [schema_violations(t, key, record, rules).select(F.lit("MACHINE_SCHEMA_INVALID").alias("code"), "subject").distinct() for t, key, record, rules in sources.values()]
+    drift = row_difference(expected, workspace).select(F.lit("MACHINE_FACTS_MISMATCH").alias("code"), F.col(expected.columns[0]).cast("string").alias("subject"))
+    outside = domain_violations(states, "state_id", "block_id", "properties", blocks, "domain").select(F.lit("MACHINE_FACTS_MISMATCH").alias("code"), F.col("state_id").cast("string").alias("subject"))
+    return reduce(DataFrame.unionByName, [*wrong, drift, outside]).distinct()
+
+
+def semantic_violations(variants: DataFrame, blocks: DataFrame, annotations: DataFrame, complete: DataFrame, rules: list, lineage: DataFrame | None = None) -> DataFrame:
+    """(code, subject) of what breaks the written facts: annotations (annotation_id, subject_id, record_json,
+    source struct with verified) against the rules or of no known subject, eligible variants without a
+    verified annotation that are not complete by hand, and breaks of lineage (code, subject)."""
+    subjects = variants.select(F.col("variant_id").alias("subject_id")).union(blocks.select("block_id")).distinct()
+    bad = schema_violations(annotations, "annotation_id", "record_json", rules).select("subject").distinct()
+    lost = annotations.join(subjects, "subject_id", "left_anti").select(F.col("annotation_id").cast("string").alias("subject"))
+    bare = eligible(variants).select("variant_id").join(verified(annotations).select(F.col("subject_id").alias("variant_id")), "variant_id", "left_anti").join(complete.select("variant_id"), "variant_id", "left_anti")
+    found = [bad.union(lost).distinct().select(F.lit("AI_SCHEMA_INVALID").alias("code"), "subject"), bare.select(F.lit("AI_SEMANTIC_MISSING").alias("code"), F.col("variant_id").cast("string").alias("subject"))]
+    if lineage is not None:
+        found.append(lineage.select(F.lit("AI_LINEAGE_INVALID").alias("code"), "subject"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def open_reviews(reviews: DataFrame) -> DataFrame:
+    return reviews.where("status = 'open' and severity in ('high', 'normal')")
+
+
+def written_files(checksums: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(path, status) of files that a written release lacks, has too many or has with another hash."""
+    return full_comparison(checksums, inventory, "path", "sha256")
+
+
+def artifact_mismatches(declared: DataFrame, actual: DataFrame) -> DataFrame:
+    """Artifacts (path, sha256, hash_mode) whose file (path, content) is missing or has another hash: of
+    its bytes, or in the mode ``jcs`` of its canonical JSON."""
+    text = F.col("content").cast("string")
+    real = F.when(F.col("hash_mode") == "jcs", hash_text(canonical_json_text(text))).otherwise(hash_text(F.col("content").cast("binary")))
+    joined = declared.join(actual.select("path", "content"), "path", "left").withColumn("real_", real)
+    return joined.where(~F.col("sha256").eqNullSafe(F.col("real_"))).select("path")
+
+
 def image_violations(declared: DataFrame, actual: DataFrame, side: int = 512) -> DataFrame:
     """Images (path, sha256) that are missing, unreadable, of another size or hash."""
     joined = declared.join(actual.select("path", F.col("sha256").alias("real_"), "width", "height", "error"), "path", "left")

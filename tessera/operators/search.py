@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.color import weighted_score
-from tessera.functions.text import normalize_text, substring_score
+from tessera.functions.color import color_similarity, weighted_score
+from tessera.functions.text import contains_any, like_wildcards, normalize_text, substring_score
+
+
+def verified(annotations: DataFrame, source: str = "source") -> DataFrame:
+    """Annotations whose source is verified: true, not unknown."""
+    return annotations.where(F.coalesce(F.col(f"{source}.verified"), F.lit(False)))
 
 
 def eligible(rows: DataFrame, column: str = "candidate_qualification") -> DataFrame:
@@ -55,57 +60,149 @@ def input_rules(requests: DataFrame) -> DataFrame:
     return requests.withColumn("input_error", wrong).withColumn("limit", F.coalesce(F.col("limit"), F.lit(8)))
 
 
-def postings(documents: DataFrame, size: int = 3) -> DataFrame:
-    """(gram, doc_id): distinct character grams of each text (doc_id, text)."""
-    # By the array of characters: a substring by position walks the text from its start.
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("chars_") - size), lambda i: F.concat(*(F.get("chars_", i + k) for k in range(size)))))
-    texts = documents.where(F.length("text") >= size).select("doc_id", F.split("text", "").alias("chars_"))
-    return texts.select("doc_id", F.explode(grams).alias("gram")).select("gram", "doc_id")
+def postings(documents: DataFrame, size: int = 3, only: list[str] | None = None) -> DataFrame:
+    """(gram, doc_id): distinct character grams of each text (doc_id, text); with ``only`` those grams
+    alone. Store it (write_index) to serve many requests."""
+    # An empty match with a look ahead at each place: one pass over the text.
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({'.' * size}))"), 1))
+    if only is not None:
+        grams = F.array_intersect(grams, F.array(*map(F.lit, only)).cast("array<string>"))
+    return documents.select("doc_id", F.explode(grams).alias("gram")).select("gram", "doc_id")
+
+
+def write_index(documents: DataFrame, path: str, size: int = 3, buckets: int = 64) -> None:
+    """The posting table of ``documents`` in folders by a hash of the gram: a lookup of a few grams reads
+    a few folders (read_index)."""
+    by = F.pmod(F.xxhash64("gram"), F.lit(buckets))
+    postings(documents, size).withColumn("bucket", by).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("bucket").mode("errorifexists").parquet(path)
+
 
+def read_index(spark: SparkSession, path: str, grams: list[str], buckets: int = 64) -> DataFrame:
+    """(gram, doc_id) of the stored table for the named grams; other folders are not read."""
+    index = spark.read.parquet(path)
+    wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(buckets))).distinct().collect()]
+    return index.where(F.col("bucket").isin(wanted) & F.col("gram").isin(grams)).select("gram", "doc_id")
 
-def recall(documents: DataFrame, tokens: DataFrame, index: DataFrame | None = None, size: int = 3) -> DataFrame:
-    """(request_id, doc_id): documents that hold any token of the request as a substring.
 
-    With a posting ``index``, tokens of ``size`` characters or more look up only their rarest gram
-    and verify the text, so hot grams are not joined; shorter tokens, and all without an index,
-    scan the texts against the stated tokens.
+def recall(documents: DataFrame, tokens: DataFrame, index: DataFrame | None = None, size: int = 3, requests: DataFrame | None = None) -> DataFrame:
+    """(request_id, doc_id): documents that hold any token of the request.
+
+    With a posting ``index``, tokens of ``size`` characters or more are substrings: each looks up only
+    its rarest gram and verifies the text, so hot grams are not joined. Shorter tokens, and all without
+    an index, are LIKE patterns: their own ``%`` and ``_`` are wildcards. With ``requests``, one without
+    tokens recalls every document. Tokens are a stated table; it is sent to the tasks if Spark finds it
+    small enough.
     """
+    like = lambda some: documents.join(some, like_wildcards(F.col("text"), F.col("token")))
     if index is None:
-        found = documents.join(F.broadcast(tokens), F.col("text").contains(F.col("token")))
-        return found.select("request_id", "doc_id").distinct()
-    distinct = tokens.select("token").distinct()
-    grams = distinct.where(F.length("token") >= size).select(
-        "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - (size - 1)), lambda i: F.substring(F.col("token"), i, F.lit(size))))).alias("gram"))
-    wanted = index.join(F.broadcast(grams.select("gram").distinct()), "gram", "left_semi")
-    rarity = wanted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(rarity, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    long = wanted.join(rarest, "gram").join(documents, "doc_id").where(F.col("text").contains(F.col("token"))).select("token", "doc_id")
-    short = documents.join(F.broadcast(distinct.where(F.length("token") < size)), F.col("text").contains(F.col("token"))).select("token", "doc_id")
-    return long.unionByName(short).join(tokens, "token").select("request_id", "doc_id").distinct()
+        found = like(tokens).select("request_id", "doc_id").distinct()
+    else:
+        distinct = tokens.select("token").distinct()
+        grams = distinct.where(F.length("token") >= size).select(
+            "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - (size - 1)), lambda i: F.substring(F.col("token"), i, F.lit(size))))).alias("gram"))
+        wanted = index.join(grams.select("gram").distinct(), "gram", "left_semi")
+        rarity = wanted.groupBy("gram").agg(F.count("*").alias("n"))
+        rarest = grams.join(rarity, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        long = wanted.join(rarest, "gram").join(documents, "doc_id").where(F.col("text").contains(F.col("token"))).select("token", "doc_id")
+        short = like(distinct.where(F.length("token") < size)).select("token", "doc_id")
+        found = long.unionByName(short).join(tokens, "token").select("request_id", "doc_id").distinct()
+    if requests is None:
+        return found
+    bare = requests.select("request_id").join(tokens.select("request_id"), "request_id", "left_anti").distinct()
+    return found.unionByName(bare.join(documents.select("doc_id")))
 
 
 def rank(candidates: DataFrame, matches: dict[str, Column], limit: int | Column = 8, pool: int = 24, key: str = "doc_id", by: str = "request_id") -> DataFrame:
-    """Scored candidates of each request, best first, ties by key; candidate ids T01, T02, ..."""
+    """Scored candidates of each request, best first, ties by key; candidate ids T01, T02, ... A match
+    that is null is a dimension that the request does not have."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col(key).asc())
     scored = candidates.withColumns({f"match_{k}": F.coalesce(m, F.lit(0.0)) for k, m in matches.items()} | {"score": weighted_score(matches)})
     top = scored.withColumn("position", F.row_number().over(order)).where((F.col("position") <= pool) & (F.col("position") <= limit))
     return top.withColumn("candidate_id", F.format_string("T%02d", "position"))
 
 
+# Texts of the reasons.
 def match_reason(matches: list[str], summary: Column | None = None) -> Column:
     named = F.array_compact(F.array(*(F.when(F.col(f"match_{m}") > 0, m) for m in matches)))
     other = F.coalesce(F.substring(F.nullif(summary, F.lit("")), 1, 500) if summary is not None else F.lit(None), F.lit("Deterministic release candidate."))
     return F.when(F.size(named) > 0, F.concat(F.lit("Matches "), F.array_join(named, ", "), F.lit("."))).otherwise(other)
 
 
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r_")).select(*keys, "r_.*").select(*rows.columns)
+
+
 def phrase_query(documents: DataFrame, phrase: str, limit: int = 24, prelimit: bool = True) -> DataFrame:
-    """(doc_id, score): texts that hold the phrase. With ``prelimit`` the first ``limit`` ids are
-    taken before they are scored; without it the best ``limit``."""
-    query = F.lit(" ".join(phrase.casefold().split()))
-    hits = documents.where(F.col("text").contains(query)).select("doc_id", substring_score(query, F.col("text")).alias("score"))
+    """(doc_id, score): texts that hold the phrase (of under three characters: as a LIKE pattern). With
+    ``prelimit`` the first ``limit`` ids are taken before they are scored; without it the best
+    ``limit``, which is held within 1 to 100. An empty phrase matches nothing; quotes count as
+    spaces for the match."""
+    words, limit = " ".join(phrase.casefold().split()), max(1, min(100, limit))
+    query = F.lit(words)
+    if not words:
+        hit = F.lit(False)
+    else:
+        hit = F.col("text").contains(F.lit(words.replace('"', " "))) if len(words) >= 3 else like_wildcards(F.col("text"), query)
+    hits = documents.where(hit).select("doc_id", substring_score(query, F.col("text")).alias("score"))
     if prelimit:
         hits = hits.orderBy("doc_id").limit(limit)
-    return hits.dropDuplicates(["doc_id"]).orderBy(F.desc("score"), "doc_id").limit(limit)
+    return keep_first(hits, ["doc_id"], ["score"]).orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
+def candidates_of(variants: DataFrame, states: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Variants with the columns of their canonical state and their block; without either they drop out.
+    Columns of states and blocks that variants have too are left out."""
+    own = lambda t, key: t.select(key, *(c for c in t.columns if c != key and c not in variants.columns))
+    of_state = own(states.withColumnRenamed("state_id", "canonical_state_id"), "canonical_state_id")
+    return variants.join(of_state, "canonical_state_id").join(own(blocks, "block_id"), "block_id")
+
+
+def first_per_group(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """The row with the lowest key of each group."""
+    return keep_first(rows, [group], [key])
+
+
+def stable_byte_sort(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by the key's bytes; null counts as an empty text. Equal keys by the other columns."""
+    rest = [c for c, kind in rows.dtypes if c != key and not kind.startswith(("map", "variant"))]
+    return rows.orderBy(F.coalesce(F.col(key), F.lit("")), *rest)
+
+
+#: Dimensions of the score, and the vocabulary of each (``behavior`` has none).
+DIMENSIONS = {"shape": "shape_terms", "color": "colors", "use": "uses", "name_synonym": "keywords", "style": "styles"}
+
+
+def search(requests: DataFrame, catalog: DataFrame, vocabulary: DataFrame, colors: DataFrame, index: DataFrame | None = None,
+           conditions: list[tuple[str, str, str | bool]] = (), pool: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Candidates and exclusions of requests (request_id, keywords, limit).
+
+    Requests that break the input rules have no result. catalog: rows (doc_id, text, names, shapes,
+    uses, styles: arrays of texts; lab, oklab; candidate_qualification, summary; columns of the
+    conditions). Rows that are not eligible or fail a condition are never candidates. Each dimension
+    that a request has words for scores 0 to 1; the score is their weighted mean. Candidates:
+    (request_id, candidate_id, doc_id, score, match_<dimension>, reason). Exclusions: (request_id,
+    reason, count): rows not eligible, rows that fail a condition, eligible rows not recalled.
+    """
+    asked = input_rules(requests).where("input_error is null").select("request_id", "keywords", "limit")
+    tokens = keyword_tokens(asked)
+    terms = keyword_intent(tokens, vocabulary).groupBy("request_id").pivot("dimension", list(DIMENSIONS.values())).agg(F.array_sort(F.collect_set("token")))
+    targets = tokens.join(colors, "token").groupBy("request_id").agg(F.collect_list(F.struct("lab", "oklab")).alias("targets"))
+    fit = eligible(catalog)
+    kept, _ = hard_filter(fit, list(conditions))
+    found = recall(kept.select("doc_id", "text"), tokens, index, requests=asked)
+    rows = found.join(kept, "doc_id").join(asked.select("request_id", "limit"), "request_id").join(terms, "request_id", "left").join(targets, "request_id", "left")
+    has = lambda dimension: F.coalesce(F.size(DIMENSIONS[dimension]), F.lit(0)) > 0
+    of = {"shape": "shapes", "use": "uses", "name_synonym": "names", "style": "styles"}
+    matches = {d: F.when(has(d), contains_any(F.col(of[d]), F.col(DIMENSIONS[d])) if d in of else color_similarity(F.col("lab"), F.col("oklab"), F.col("targets"))) for d in DIMENSIONS}
+    ranked = rank(rows, matches, F.col("limit"), pool)
+    out = ranked.withColumn("reason", match_reason(list(matches), F.col("summary"))).select("request_id", "candidate_id", "doc_id", "score", *(f"match_{d}" for d in DIMENSIONS), "reason")
+    numbers = catalog.agg(F.count("*").alias("all")).join(fit.agg(F.count("*").alias("fit"))).join(kept.agg(F.count("*").alias("kept")))  # a row each
+    recalled = asked.select("request_id").join(found.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").join(numbers)
+    reasons = {"not_eligible": F.col("all") - F.col("fit"), "condition": F.col("fit") - F.col("kept"), "not_recalled": F.col("kept") - F.coalesce("n", F.lit(0))}
+    excluded = recalled.select("request_id", *(c.alias(r) for r, c in reasons.items())).unpivot(["request_id"], list(reasons), "reason", "count").where("count > 0")
+    return out, excluded
 
 
 def exclusion_summary(counts: dict[str, Column], rows: DataFrame) -> DataFrame:
@@ -132,12 +229,13 @@ def entity_details(entities: DataFrame, children: DataFrame, key: str, order: li
     return entities.join(nested, key, "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
 
 
-def entity_compare(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(field, values): fields in which the rows differ, with each row's value."""
-    text = rows.select(key, *(F.col(f).cast("string").alias(f) for f in fields))
-    long = text.unpivot([key], fields, "field", "value")
-    return long.groupBy("field").agg(F.count("value").alias("n"), F.count_distinct("value").alias("different"),
-                                     F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "value")))).alias("values")).where("n >= 2 and different > 1").select("field", "values")
+def entity_compare(rows: DataFrame, key: str, fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, field, values): fields in which the rows (of each group) differ, with each row's value. A
+    group is a stated handful of entities; its values are one map."""
+    text = rows.select(*by, key, *(F.col(f).cast("string").alias(f) for f in fields))
+    long = text.unpivot([*by, key], fields, "field", "value")
+    return long.groupBy(*by, "field").agg(F.count("value").alias("n"), F.count_distinct("value").alias("different"),
+                                     F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "value")))).alias("values")).where("n >= 2 and different > 1").select(*by, "field", "values")
 
 
 def contact_sheet(rows: DataFrame, by: str, order: str, columns: int = 4, tiles: int = 16) -> DataFrame:

@@ -94,19 +94,20 @@ def priority_match(spark, sf_dir):
 
 
 @query("""
-SELECT sha256(string_agg(n_name, chr(10) ORDER BY n_name)) AS set_hash FROM nation
+SELECT sha256(string_agg(p_partkey::VARCHAR, chr(10) ORDER BY p_partkey::VARCHAR)) AS set_hash FROM part
 """)
 def registry_hash(spark, sf_dir):
-    return integrity.ordered_hash(read(spark, sf_dir, "nation"), "n_name")
+    return integrity.ordered_hash(read(spark, sf_dir, "part"), "p_partkey")
 
 
 @query("""
-WITH h AS (SELECT sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS h FROM region),
-b AS (SELECT (('0x' || substr(h, 1, 8))::BIGINT % 256) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, sha256(string_agg(printf('%03d', b) || ':' || h, '' ORDER BY b)) AS fingerprint FROM b
+WITH h AS (SELECT sha256('{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '"}') AS h FROM lineitem),
+d AS (SELECT h, count(*) AS n FROM h GROUP BY 1),
+b AS (SELECT substr(h, 1, 2) AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, '' ORDER BY h || ':' || n)) AS h FROM d GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || h, '' ORDER BY b || ':' || h)) AS fingerprint FROM b
 """)
 def table_fingerprint(spark, sf_dir):
-    return integrity.table_fingerprint(read(spark, sf_dir, "region"))
+    return integrity.table_fingerprint(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1")
@@ -202,7 +203,7 @@ def hash_sample(spark, sf_dir):
 _TASKS_SQL = """
 found AS (SELECT doc_id::VARCHAR AS target_id, CASE WHEN quality = 0 THEN 'low_quality' ELSE 'toxic' END AS reason_code, CASE WHEN quality = 0 THEN 'high' ELSE 'normal' END AS severity
   FROM labels WHERE quality = 0 OR toxic = 1),
-tasks AS (SELECT DISTINCT 'review_' || substr(sha256('document' || chr(0) || target_id || chr(0) || reason_code), 1, 32) AS review_id, 'document' AS target_type, target_id, reason_code, severity, 'open' AS status FROM found)
+tasks AS (SELECT DISTINCT 'review_' || substr(sha256('{"dedupe_key":null,"reason_code":"' || reason_code || '","severity":"' || severity || '","target_id":"' || target_id || '","target_type":"document"}'), 1, 32) AS review_id, 'document' AS target_type, target_id, reason_code, severity, 'open' AS status FROM found)
 """
 
 
@@ -232,7 +233,7 @@ def reconcile_tasks(spark, sf_dir):
 
 
 @query("""
-SELECT printf('ai_batch_%04d', 1 + (rn - 1) // 12) AS batch_key, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members
+SELECT printf('ai_batch_%04d', (rn - 1) // 12) AS batch_key, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members
 FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part WHERE p_size > 10) GROUP BY 1
 """)
 def fixed_batches(spark, sf_dir):
@@ -240,24 +241,69 @@ def fixed_batches(spark, sf_dir):
     return lineage.fixed_batches(rows, "p_partkey").select("batch_key", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@query("SELECT user_id, sha256(string_agg(event_id || '|' || event_type, chr(10) ORDER BY event_id)) AS plan_hash FROM events GROUP BY 1")
-def plan_hash(spark, sf_dir):
-    return lineage.plan_hash(read(spark, sf_dir, "events"), "user_id", "event_id", "event_id", "event_type")
+# Jobs made from events; the text is read by Spark and by DuckDB.
+_JOBS = """
+SELECT concat('run', user_id % 5) AS run_id, concat('c', user_id % 5) AS effective_config_hash, concat('j', event_id) AS job_id, CASE WHEN event_id % 11 = 0 THEN 'VALIDATE' ELSE 'AI_ANNOTATE' END AS stage,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'needs_review' ELSE 'succeeded' END AS status,
+  CASE event_id % 4 WHEN 0 THEN 'PROVIDER_TIMEOUT' WHEN 1 THEN 'PROVIDER_AUTH_FAILED' WHEN 2 THEN 'PROVIDER_STORAGE_UNSUPPORTED' END AS error_code,
+  CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN concat('k', event_id - 2, ':retry:0123abcd') ELSE concat('k', event_id) END AS logical_key,
+  concat('s', event_id * 31) AS input_signature, CASE WHEN event_type = 'click' THEN concat('j', event_id - 1) END AS retry_of_job_id
+FROM {events}
+"""
+_WAVE = f"""
+jobs AS ({_JOBS.format(events="events")}), own AS (SELECT * FROM jobs WHERE stage = 'AI_ANNOTATE'),
+open AS (SELECT * FROM own j WHERE status IN ('failed', 'needs_review') AND coalesce(error_code, '') <> 'PROVIDER_AUTH_FAILED'
+  AND NOT EXISTS (SELECT 1 FROM own k WHERE k.run_id = j.run_id AND k.retry_of_job_id = j.job_id)
+  AND NOT EXISTS (SELECT 1 FROM own k WHERE k.run_id = j.run_id AND split_part(k.logical_key, ':retry:', 1) = j.logical_key AND contains(k.logical_key, ':retry:'))),
+nonces AS (SELECT *, 'sha256:' || sha256(job_id || chr(0) || input_signature) AS nonce FROM open),
+wave AS (SELECT run_id, effective_config_hash, job_id AS source_job_id, logical_key AS source_logical_key, input_signature AS source_input_signature, logical_key || ':retry:' || substr(nonce, 8, 8) AS logical_key,
+  'sha256:' || sha256(input_signature || chr(0) || nonce) AS child_input_signature FROM nonces),
+children AS (SELECT *, 'job_' || substr(sha256(run_id || chr(0) || logical_key || chr(0) || child_input_signature), 1, 32) AS child_job_id FROM wave)
+"""
+
+
+def _jobs(spark, sf_dir):
+    return spark.sql(_JOBS, events=read(spark, sf_dir, "events"))
 
 
-_JOBS = "SELECT event_id::VARCHAR AS job_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN event_id % 3 = 0 THEN 'TIMEOUT' ELSE 'SCHEMA' END AS error_code, CASE WHEN event_type = 'click' THEN (event_id - 1)::VARCHAR END AS retry_of_job_id FROM events"
+@query(f"""
+WITH jobs AS ({_JOBS.format(events="events")})
+SELECT run_id, 'sha256:' || sha256('{{"effective_config_hash":"' || max(effective_config_hash) || '","jobs":[' || string_agg('{{"job_id":"' || job_id || '","logical_key":"' || logical_key
+  || '","recomputed_payload_signature":"' || input_signature || '"}}', ',' ORDER BY logical_key, job_id) || '],"run_id":"' || run_id || '"}}') AS plan_hash FROM jobs GROUP BY run_id
+""")
+def plan_hash(spark, sf_dir):
+    return lineage.plan_hash(_jobs(spark, sf_dir).withColumn("recomputed_payload_signature", F.col("input_signature")))
 
 
 @query(f"""
-WITH jobs AS ({_JOBS})
-SELECT 'job_' || substr(sha256(job_id || chr(0) || 'w1'), 1, 32) AS job_id, job_id AS retry_of_job_id, 'retry:' || job_id AS logical_key, 'pending' AS status
-FROM jobs j WHERE status = 'failed' AND error_code = 'TIMEOUT' AND NOT EXISTS (SELECT 1 FROM jobs k WHERE k.retry_of_job_id = j.job_id)
+WITH {_WAVE}
+SELECT run_id, 'sha256:' || sha256('{{"effective_config_hash":"' || max(effective_config_hash) || '","jobs":[' || string_agg('{{"child_input_signature":"' || child_input_signature || '","child_job_id":"' || child_job_id
+  || '","source_input_signature":"' || source_input_signature || '","source_job_id":"' || source_job_id || '"}}', ',' ORDER BY source_logical_key, source_job_id) || '],"run_id":"' || run_id || '"}}') AS wave_hash FROM children GROUP BY run_id
 """)
+def wave_hash(spark, sf_dir):
+    return lineage.wave_hash(lineage.retry_wave(_jobs(spark, sf_dir)))
+
+
+@query(f"WITH {_WAVE} SELECT run_id, source_job_id, logical_key, child_input_signature, child_job_id FROM children")
 def retry_wave(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    jobs = e.select(F.col("event_id").cast("string").alias("job_id"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"),
-                    F.when(F.col("event_id") % 3 == 0, "TIMEOUT").otherwise("SCHEMA").alias("error_code"), F.when(F.col("event_type") == "click", (F.col("event_id") - 1).cast("string")).alias("retry_of_job_id"))
-    return lineage.retry_wave(jobs, ["TIMEOUT"], "w1")
+    return lineage.retry_wave(_jobs(spark, sf_dir)).select("run_id", "source_job_id", "logical_key", "child_input_signature", "child_job_id")
+
+
+@query(f"""
+WITH jobs AS ({_JOBS.format(events="events")})
+SELECT job_id, CASE WHEN error_code = 'PROVIDER_AUTH_FAILED' THEN 'fatal' ELSE 'item_local' END AS class FROM jobs
+""")
+def error_classes(spark, sf_dir):
+    return _jobs(spark, sf_dir).select("job_id", lineage.error_class(F.col("error_code")).alias("class"))
+
+
+@query(f"""
+WITH jobs AS ({_JOBS.format(events="events")})
+SELECT DISTINCT run_id, stage, job_id FROM jobs WHERE status = 'needs_review' AND (run_id, stage) NOT IN (SELECT run_id, stage FROM jobs WHERE status = 'failed' AND job_id LIKE '%7')
+""")
+def no_active_work(spark, sf_dir):
+    status = F.when(F.col("status") == "needs_review", "pending").when((F.col("status") == "failed") & F.col("job_id").endswith("7"), "running").otherwise("done")
+    return lineage.no_active_sibling(_jobs(spark, sf_dir).withColumn("status", status)).select("run_id", "stage", "job_id")
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars % 4 <> 0")
@@ -274,7 +320,7 @@ def status_grouping_sets(spark, sf_dir):
 
 
 @query("""
-SELECT event_type AS stage, count(*) FILTER (WHERE value > 10) AS completed, count(*) AS total, round(100.0 * count(*) FILTER (WHERE value > 10) / count(*), 2)::DOUBLE AS percent FROM events GROUP BY GROUPING SETS ((event_type), ())
+SELECT event_type AS stage, count(*) FILTER (WHERE value > 10) AS completed, count(*) AS total, round_even(100.0 * count(*) FILTER (WHERE value > 10) / count(*), 0)::DOUBLE AS percent FROM events GROUP BY GROUPING SETS ((event_type), ())
 """)
 def stage_progress(spark, sf_dir):
     events = read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.when(F.col("value") > 10, "succeeded").otherwise("pending").alias("status"))
@@ -301,16 +347,12 @@ def latest_events(spark, sf_dir):
     return progress.latest_events(read(spark, sf_dir, "events"), F.col("user_id") == 7, ["view", "click"], time="ts").select("event_id", "event_type")
 
 
-@query(r"""
-SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(?i:api[_-]?key|authorization|bearer\s|secret|password|token\s*=|usage\s*=|cost\s*=|budget\s*=)|^[A-Za-z]:[\\/]|^/|\\\\')
-""")
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{text.SENSITIVE}')")
 def sensitive_text(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").where(text.sensitive(F.col("text"))).select("conv_id", "turn")
+    return read(spark, sf_dir, "documents").where(text.sensitive(F.col("text"))).select("doc_id")
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN NOT regexp_matches(text, '(?i:api[_-]?key|authorization|bearer\s|secret|password|token\s*=|usage\s*=|cost\s*=|budget\s*=)|^[A-Za-z]:[\\/]|^/|\\\\') THEN substr(text, 1, 512) END AS text FROM documents
-""")
+@query(f"SELECT doc_id, CASE WHEN NOT regexp_matches(text, '{text.SENSITIVE}') THEN substr(text, 1, 512) END AS text FROM documents")
 def bounded_redaction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 

@@ -77,8 +77,10 @@ SELECT DISTINCT request_id, doc_id FROM documents, tokens WHERE contains(trim(re
 def trigram_recall_documents(spark, sf_dir):
     """Posting-table recall with verification; a short token scans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", normalize_text(F.col("text")).alias("text"))
-    tokens = spark.createDataFrame([("q1", "idiot"), ("q2", "licensed"), ("q2", "apache"), ("q3", "+1"), ("q4", "zzzzqq")], "request_id string, token string")
-    return search.recall(docs, tokens, search.postings(docs))
+    asked = [("q1", "idiot"), ("q2", "licensed"), ("q2", "apache"), ("q3", "+1"), ("q4", "zzzzqq")]
+    tokens = spark.createDataFrame(asked, "request_id string, token string")
+    grams = sorted({t[i:i + 3] for _, t in asked for i in range(len(t) - 2)})
+    return search.recall(docs, tokens, search.postings(docs, only=grams))
 
 
 @query("""
@@ -233,14 +235,14 @@ def entity_details(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT * FROM part WHERE p_partkey IN (3, 5, 8, 13)),
-l AS (SELECT p_partkey, 'p_name' AS field, p_name AS value FROM p UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM p UNION ALL SELECT p_partkey, 'p_type', p_type FROM p UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM p)
-SELECT field, string_agg(p_partkey || '=' || value, ',' ORDER BY p_partkey) AS vals FROM l GROUP BY field HAVING count(value) >= 2 AND count(DISTINCT value) > 1
+WITH l AS (SELECT p_brand, p_size, p_partkey, 'p_name' AS field, p_name AS value FROM part UNION ALL SELECT p_brand, p_size, p_partkey, 'p_type', p_type FROM part UNION ALL SELECT p_brand, p_size, p_partkey, 'brand_again', p_brand FROM part)
+SELECT p_brand, p_size, field, string_agg(p_partkey || '=' || value, ',' ORDER BY p_partkey) AS vals FROM l GROUP BY ALL HAVING count(value) >= 2 AND count(DISTINCT value) > 1
 """)
 def entity_compare(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").where(F.col("p_partkey").isin(3, 5, 8, 13))
-    out = search.entity_compare(rows, "p_partkey", ["p_name", "p_brand", "p_type", "p_size"])
-    return out.select("field", F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])), ",").alias("vals"))
+    """Parts of one brand and size are compared with each other."""
+    rows = read(spark, sf_dir, "part").withColumn("brand_again", F.col("p_brand"))
+    out = search.entity_compare(rows, "p_partkey", ["p_name", "p_type", "brand_again"], ("p_brand", "p_size"))
+    return out.select("p_brand", "p_size", "field", F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])), ",").alias("vals"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,21 +70,23 @@ def _quoted(text: str) -> str:
 
 
 def parse_checksum_list(lines: DataFrame) -> DataFrame:
-    """(line_no, sha256, path, issue) of rows (line_no, value): bad line, bad path, repeated path or
-    wrong order."""
+    """(list, line_no, sha256, path, issue) of rows (list, line_no, value): bad line, bad path, repeated
+    path or wrong order, each within its list. Without a column ``list`` all lines are one list."""
+    if "list" not in lines.columns:
+        lines = lines.withColumn("list", F.lit(""))
     pattern = r"^([0-9a-f]{64})  (.+)$"
-    rows = lines.select("line_no", "value", F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("sha256"), F.nullif(F.regexp_extract("value", pattern, 2), F.lit("")).alias("path"))
+    rows = lines.select("list", "line_no", "value", F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("sha256"), F.nullif(F.regexp_extract("value", pattern, 2), F.lit("")).alias("path"))
     bad_path = F.col("path").rlike(r"[\\\x00]|^/|^[A-Za-z]:") | F.exists(F.split("path", "/"), lambda p: p.isin("", ".", ".."))
-    repeated = rows.where("path is not null").groupBy("path").agg(F.min("line_no").alias("first_"))
-    cuts = F.lag("path").over(Window.partitionBy(F.lit(0)).orderBy("line_no"))  # one list is one small file
-    rows = rows.join(repeated, "path", "left").withColumn("before_", cuts)
+    repeated = rows.where("path is not null").groupBy("list", "path").agg(F.min("line_no").alias("first_"))
+    cuts = F.lag("path").over(Window.partitionBy("list").orderBy("line_no"))
+    rows = rows.join(repeated, ["list", "path"], "left").withColumn("before_", cuts)
     issue = (F.when(F.col("path").isNull(), "CHECKSUM_LINE_INVALID").when(bad_path, "CHECKSUM_PATH_INVALID").when(F.col("line_no") > F.col("first_"), "CHECKSUM_PATH_DUPLICATE")
              .when(F.col("path") < F.col("before_"), "CHECKSUM_ORDER_INVALID"))
-    return rows.select("line_no", "sha256", "path", issue.alias("issue"))
+    return rows.select("list", "line_no", "sha256", "path", issue.alias("issue"))
 
 
 def scan_checksum_list(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("list"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "value"))
     return parse_checksum_list(lines)
 
 
@@ -92,16 +96,23 @@ def parse_payload(rows: DataFrame, payload: str, schema: T.StructType | str) ->
 
 
 def scan_release(spark: SparkSession, root: str, version: str, release_id: str, table: str) -> DataFrame:
-    """One table of one release; the partition columns prune the rest."""
-    return spark.read.parquet(f"{root}/{table}").where((F.col("version") == version) & (F.col("release_id") == release_id))
+    """One table of one release: its partition alone is read."""
+    return spark.read.parquet(release_path(root, table, version, release_id)).withColumns({"version": F.lit(version), "release_id": F.lit(release_id)})
+
+
+def release_path(root: str, table: str, version: str, release_id: str) -> str:
+    for name in (version, release_id):
+        if not re.fullmatch(r"[A-Za-z0-9_.\-]+", name):
+            raise ValueError(f"not a name of a version or release: {name!r}")
+    return f"{root}/{table}/version={version}/release_id={release_id}"
 
 
 def resolve_release(pointers: DataFrame, requested: str | None = None) -> DataFrame:
-    """(status, version, release_id, available): the requested version's release or the default's;
-    a missing version yields the versions that exist."""
-    latest = pointers.groupBy("version").agg(F.max_by(F.struct("release_id", "is_default"), "updated_at").alias("p")).select("version", "p.*")
-    hit = (F.col("version") == requested) if requested is not None else F.col("is_default")
-    found = latest.agg(F.max(F.when(hit, F.struct("version", "release_id"))).alias("r"), F.array_sort(F.collect_set("version")).alias("available"))
+    """(status, version, release_id, available): the requested version's release, else that of the
+    version which was made the default last; a missing version yields the versions that exist."""
+    latest = pointers.groupBy("version").agg(F.max_by("release_id", "updated_at").alias("release_id"), F.max(F.when(F.col("is_default"), F.col("updated_at"))).alias("default_at"))
+    hit = (F.col("version") == requested) if requested is not None else F.col("default_at").isNotNull()
+    found = latest.agg(F.max(F.when(hit, F.struct("default_at", "version", "release_id"))).alias("r"), F.array_sort(F.collect_set("version")).alias("available"))
     return found.select(F.when(F.col("r").isNull(), "missing").otherwise("ok").alias("status"), F.col("r.version").alias("version"), F.col("r.release_id").alias("release_id"),
                         F.when(F.col("r").isNull(), F.col("available")).alias("available"))
 

@@ -29,12 +29,37 @@ def session_counts(events: DataFrame, time: str, gap: str, *keys: str, late: str
 
 
 def status_counts(events: DataFrame, key: str, status: str, order: str, *by: str) -> DataFrame:
-    """Counts of the keys' latest statuses (batch twin; on a stream run it in foreachBatch over
-    latest_statuses)."""
+    """Counts of the keys' latest statuses, of a table; stream_status_counts is the same on a stream."""
     latest = events.groupBy(key, *by).agg(F.max_by(status, F.struct(order, status)).alias(status))
     return latest.groupBy(*by, status).agg(F.count("*").alias("n"))
 
 
+def stream_status_counts(source: DataFrame, key: str, status: str, order: str, latest_path: str, checkpoint: str):
+    """Start a stream that keeps the latest status of each key as a table of versions below
+    ``latest_path`` (one folder for each batch, the highest number current); current_status_counts
+    reads it. A batch that is run again rewrites its own folder."""
+    from pyspark.errors import AnalysisException
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, batch.select(key, status, order)
+        for before in range(number - 1, -1, -1):
+            try:
+                new = spark.read.parquet(f"{latest_path}/batch={before}").select(key, status, order).unionByName(new)
+                break
+            except AnalysisException:  # that batch had no rows to write
+                continue
+        now = new.groupBy(key).agg(F.max_by(status, F.struct(order, status)).alias(status), F.max(order).alias(order))
+        now.write.mode("overwrite").parquet(f"{latest_path}/batch={number}")
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_status_counts(versions: DataFrame, status: str) -> DataFrame:
+    """Counts of statuses in the newest version (column ``batch``) that stream_status_counts wrote."""
+    newest = versions.agg(F.max("batch").alias("batch"))
+    return versions.join(F.broadcast(newest), "batch", "left_semi").groupBy(status).agg(F.count("*").alias("n"))
+
+
 def stale_heartbeats(jobs: DataFrame, now, seconds: int = 300) -> DataFrame:
     """Running items whose heartbeat is older than ``seconds``; an item's marker stands for its
     stage's."""
@@ -85,28 +110,40 @@ def invalid_transitions(events: DataFrame, key: str, status: str, order: list[st
     return changes.where(~F.array_contains(pairs, F.concat("previous", F.lit(">"), status)))
 
 
-def stream_invalid_transitions(events: DataFrame, key: str, status: str, time: str, legal: list[tuple[str, str]] = TRANSITIONS) -> DataFrame:
-    """The same on a stream; each key keeps its last status."""
+def stream_invalid_transitions(events: DataFrame, key: str, status: str, time: str, legal: list[tuple[str, str]] = TRANSITIONS, late: str = "1 hour", forget_s: int = 7 * 86_400) -> DataFrame:
+    """The same on a stream; each key keeps its last status until it has been silent for ``forget_s``
+    seconds of event time."""
     allowed = set(legal)
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, bad = (state.get[0] if state.exists else None), []
-        for now in pd.concat(list(frames)).sort_values(time)[status]:
+        rows = pd.concat(list(frames)).sort_values(time)
+        for now in rows[status]:
             if last is not None and now != last and (last, now) not in allowed:
                 bad.append((name[0], last, now))
             last = now
         state.update((last,))
+        state.setTimeoutTimestamp(max(int(rows[time].max().value // 1_000_000), state.getCurrentWatermarkMs()) + forget_s * 1000)
         yield pd.DataFrame(bad, columns=[key, "previous", status])
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, status, time).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, previous string, {status} string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def progress_regressions(events: DataFrame, key: str, phase: str, done: str, order: str) -> DataFrame:
-    """Progress events that go back, or change the unit within a phase."""
-    before = F.lag(done).over(Window.partitionBy(key, phase).orderBy(order))
-    return events.withColumn("before", before).where(F.col(done) < F.col("before"))
+    return events.select(key, status, time).withWatermark(time, late).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, previous string, {status} string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def progress_regressions(events: DataFrame, key: str, phase: str, done: str, order: str, unit: str | None = None) -> DataFrame:
+    """Progress events that go back, or (with the column ``unit``) change the unit within a phase; with
+    the value and unit ``before``."""
+    by = Window.partitionBy(key, phase).orderBy(order)
+    seen = events.withColumn("before", F.lag(done).over(by))
+    wrong = F.col(done) < F.col("before")
+    if unit:
+        seen = seen.withColumn("unit_before", F.lag(unit).over(by))
+        wrong = wrong | (F.col("unit_before") != F.col(unit))
+    return seen.where(F.coalesce(wrong, F.lit(False)))
 
 
 def incremental(source: DataFrame, transform: Callable[[DataFrame], DataFrame], known: Callable[[], DataFrame | None], key: list[str], path: str, checkpoint: str):

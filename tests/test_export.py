@@ -89,7 +89,9 @@ def test_projections(spark):
     assert row["machine_facts"]["geometry"]["is_full_cube"] and row["machine_facts"]["geometry"]["geometry_classes"] == ["full_cube"] and row["machine_facts"]["machine_tags"] == ["full_cube", "x"]
     view = projections.metadata_view(made).first()
     assert view["behavior"]["transparent"] == "false" and view["geometry"]["width"] == 1
-    assert json.loads(projections.index_rows(made, "r").first()["record_json"])["block_id"] == "m:stone"
+    assert json.loads(projections.index_rows(made, features).first()["record_json"])["block_id"] == "m:stone"
+    flat = projections.index_rows(made.withColumn("variant_id", F.lit("minecraft:stone")), features.withColumn("variant_id", F.lit("minecraft:stone"))).first()
+    assert flat["mask_path"] == "previews/minecraft/stone/mask.png" and flat["image_sha256"] == "sha256:p" and json.loads(flat["feature_json"])["input_sha256"] == "h"
     assert projections.behavior_of_canonical_state(variants.where("status = 'selected'"), states).first()["behavior"]["emission_level"] == 0
     text = spark.range(1).select(projections.payload_text(F.array(F.struct(F.lit("<a").alias("t"))), F.array(F.struct(F.lit(1).alias("m"))))).first()[0]
     assert text == '{"tiles":[{"t":"\\u003ca"}],"metadata":[{"m":1}]}'
