@@ -4,6 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def strip_fields(rows: DataFrame, volatile: list[str]) -> DataFrame:
+    """``rows`` without the named fields at any depth: columns, fields of structs, and structs in
+    arrays."""
+
+    def stripped(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            kept = [stripped(value[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name not in volatile]
+            return F.when(value.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            return F.transform(value, lambda v: stripped(v, kind.elementType))
+        return value
+
+    return rows.select(*(stripped(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in volatile))
 
 
 def content_hash(columns: list[str], volatile: list[str] = ()) -> Column:
@@ -38,11 +54,12 @@ def targeted_merge(old: DataFrame, new: DataFrame, key: str, targets: DataFrame,
 
 
 def transition_violations(old: DataFrame, new: DataFrame, key: str, field: str, before: str, after: str, free: list[str]) -> DataFrame:
-    """(key, problem): rows that do not go from one state to the other with only free fields changed."""
+    """(key, problem): rows that do not go from one state to the other with only free fields changed:
+    missing, state or field."""
     same = content_hash([c for c in old.columns if c != key], [field, *free])
     a, b = (t.select(key, F.col(field).alias(f"{n}state"), same.alias(f"{n}hash")) for t, n in ((old, "old_"), (new, "new_")))
-    problem = F.when((F.col("old_state") != before) | (F.col("new_state") != after), "state").when(F.col("old_hash") != F.col("new_hash"), "field")
-    return a.join(b, key).select(key, problem.alias("problem")).where("problem is not null")
+    problem = F.when(F.col("new_hash").isNull(), "missing").when((F.col("old_state") != before) | (F.col("new_state") != after), "state").when(F.col("old_hash") != F.col("new_hash"), "field")
+    return a.join(b, key, "left").select(key, problem.alias("problem")).where("problem is not null")
 
 
 def rewrite_lineage(rows: DataFrame, values: dict[str, Column], struct: str = "source") -> DataFrame:

@@ -188,14 +188,15 @@ def search(requests: DataFrame, catalog: DataFrame, vocabulary: DataFrame, color
     asked = input_rules(requests).where("input_error is null").select("request_id", "keywords", "limit")
     tokens = keyword_tokens(asked)
     terms = keyword_intent(tokens, vocabulary).groupBy("request_id").pivot("dimension", list(DIMENSIONS.values())).agg(F.array_sort(F.collect_set("token")))
+    terms = terms.select("request_id", *(F.col(v).alias(f"asked_{d}") for d, v in DIMENSIONS.items()))
     targets = tokens.join(colors, "token").groupBy("request_id").agg(F.collect_list(F.struct("lab", "oklab")).alias("targets"))
     fit = eligible(catalog)
     kept, _ = hard_filter(fit, list(conditions))
     found = recall(kept.select("doc_id", "text"), tokens, index, requests=asked)
     rows = found.join(kept, "doc_id").join(asked.select("request_id", "limit"), "request_id").join(terms, "request_id", "left").join(targets, "request_id", "left")
-    has = lambda dimension: F.coalesce(F.size(DIMENSIONS[dimension]), F.lit(0)) > 0
+    has = lambda dimension: F.coalesce(F.size(f"asked_{dimension}"), F.lit(0)) > 0
     of = {"shape": "shapes", "use": "uses", "name_synonym": "names", "style": "styles"}
-    matches = {d: F.when(has(d), contains_any(F.col(of[d]), F.col(DIMENSIONS[d])) if d in of else color_similarity(F.col("lab"), F.col("oklab"), F.col("targets"))) for d in DIMENSIONS}
+    matches = {d: F.when(has(d), contains_any(F.col(of[d]), F.col(f"asked_{d}")) if d in of else color_similarity(F.col("lab"), F.col("oklab"), F.col("targets"))) for d in DIMENSIONS}
     ranked = rank(rows, matches, F.col("limit"), pool)
     out = ranked.withColumn("reason", match_reason(list(matches), F.col("summary"))).select("request_id", "candidate_id", "doc_id", "score", *(f"match_{d}" for d in DIMENSIONS), "reason")
     numbers = catalog.agg(F.count("*").alias("all")).join(fit.agg(F.count("*").alias("fit"))).join(kept.agg(F.count("*").alias("kept")))  # a row each
