@@ -20,12 +20,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import filter_texts
 from tessera.llm.tokens import by_bytes, distinct_pieces, texts_of
 
 SHINGLE_WORDS = 5
@@ -215,7 +215,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = 0
-                for part in by_bytes(texts_of(batch.column(1)), 8 << 20):
+                for part in by_bytes(texts_of(batch.column(1)), 4 << 20):
                     rows = sent.value.search(*word_hashes(part), threshold) if len(sent.value.items) else []
                     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                     ids = batch.column(0).take(pa.array([at + t for t in cols[0]], pa.int64()))
@@ -237,15 +237,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     for index in _indexes(benchmark, item_column, text_column, radius, max_items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def clean(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            for series in texts:
-                flags, at = np.ones(len(series), bool), 0
-                for part in by_bytes(texts_of(pa.array(series, pa.large_string(), from_pandas=True)), 8 << 20):
-                    if len(sent.value.items):
-                        for row in sent.value.search(*word_hashes(part), threshold):
-                            flags[at + row[0]] = False
-                    at += len(part)
-                yield pd.Series(flags)
+        def clean(texts: pa.Array, sent=sent) -> np.ndarray:
+            flags = np.ones(len(texts), bool)
+            if len(sent.value.items):
+                flags[[row[0] for row in sent.value.search(*word_hashes(texts), threshold)]] = False
+            return flags
 
-        docs = docs.where(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)(text_column))
+        docs = filter_texts(docs, clean, text_column)
     return docs

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import filter_texts, materialize
 from tessera.llm.tokens import by_bytes, distinct_pieces, split_words, texts_of
 
 #: Bound of the labelled rows that the forest and its threshold are fitted on.
@@ -54,7 +54,7 @@ def _repeated(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def statistics(texts: pa.Array) -> pd.DataFrame:
     """COUNTS and FEATURES of every whole text."""
     frames = []
-    for part in by_bytes(texts, 8 << 20):
+    for part in by_bytes(texts, 2 << 20):
         offsets, at, words = split_words(part)
         n_words = np.diff(offsets)
         chars = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -227,10 +227,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     few = docs.select(id_column, text_column).join(chosen, F.col(id_column) == F.col("labelled_id_"), "left_semi")
     model = docs.sparkSession.sparkContext.broadcast(fit_on(statistics_table(few, id_column, text_column), labels, max_labelled, id_column))
 
-    @F.pandas_udf("boolean")
-    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            stats = statistics(texts_of(pa.array(series, pa.large_string(), from_pandas=True)))
-            yield pd.Series(verdicts(model.value, stats))
-
-    return docs.where(good(text_column))
+    return filter_texts(docs, lambda texts: verdicts(model.value, statistics(texts)), text_column)
