@@ -15,7 +15,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import by_bytes, distinct_pieces, model, texts_of
 
-#: Entries in a worker's table of units; a full one is emptied.
-CACHE_ENTRIES = 300_000
+#: Entries in a worker's tables of units and of words of several units; a full one is emptied.
+CACHE_ENTRIES, CACHE_WORDS = 400_000, 60_000
+#: Bytes of text that are segmented at once.
+SLICE_BYTES = 4 << 20
 SPACE = "▁"
 
 
@@ -72,6 +74,7 @@ class PieceLattice:
         self.spelled_size, self.spelled_start = np.array(size, np.int64), np.cumsum([0, *size])[:-1]
         self.spelled_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
         self.units: dict[str, tuple[tuple[float, bytes], ...]] = {}
+        self.words: dict[str, list[tuple[float, bytes]]] = {}
 
     def _fallback(self, char: str) -> tuple[tuple[int, ...], float]:
         raw = char.encode("utf-8")
@@ -201,11 +204,17 @@ class PieceLattice:
     def _word(self, word: str) -> tuple[tuple[float, bytes], ...] | list[tuple[float, bytes]]:
         """``word`` with the ids as bytes, from the table of units."""
         found = self.units.get(word)  # most words are one unit
+        if found is None:
+            found = self.words.get(word)
         if found is None:
             units = self.cut(word)
             found = self._unit(units[0])
             for unit in units[1:]:
                 found = self.add(found, self._unit(unit))
+            if len(units) > 1:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def segmentations(self, texts: pa.Array) -> list[list[tuple[float, np.ndarray]]]:
@@ -263,38 +272,45 @@ class PieceLattice:
         return out
 
 
-def segment_texts(docs: DataFrame, model_path: str, n_best: int = 3, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, scores, ids) of each row, with the text before the scores if ``keep_text``: the N best
-    segmentations as scores and arrays of piece ids, best first (fewer if a text has fewer).
+def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values one after the other, and where each array begins."""
+    return np.concatenate([np.zeros(0, np.uint32), *arrays]), np.concatenate(([0], np.cumsum([len(a) for a in arrays], dtype=np.int64)))
 
-    Null and empty texts: one segmentation without ids, score 0. Repeated rows and null ids get a
-    row each. Narrow: no shuffle.
-    """
+
+def _segmented(docs: DataFrame, model_path: str, n_best: int, id_column: str, text_column: str, columns: str,
+               rows: Callable[[PieceLattice, pa.Array, list], list[pa.Array]]) -> DataFrame:
+    """(id, columns) of each row: ``rows`` makes the columns of a slice of whole texts from its N best."""
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice: PieceLattice = model(PieceLattice, model_path, n_best)
         for batch in batches:
             done = 0
-            for part in by_bytes(texts_of(batch.column(1)), 2 << 20):
-                found = lattice.segmentations(part)
-                outer = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
-                every = [ids for f in found for _, ids in f]
-                inner = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in every]))), pa.int32())
-                ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.concatenate(every).view(np.int32))))
-                scores = pa.ListArray.from_arrays(outer, pa.array([s for f in found for s, _ in f], pa.float64()))
-                text = [batch.column(1).slice(done, len(part))] if keep_text else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *text, scores, ids], ["id", *(["text"] if keep_text else []), "scores", "ids"])
+            for part in by_bytes(texts_of(batch.column(1)), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *rows(lattice, part, lattice.segmentations(part))], names)
                 done += len(part)
+        pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    schema = f"id long, {'text string, ' if keep_text else ''}scores array<double>, ids array<array<int>>"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return source.mapInArrow(run, f"id long, {columns}").withColumnRenamed("id", id_column)
+
+
+def segment_texts(docs: DataFrame, model_path: str, n_best: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, scores, ids) of each row: the N best segmentations as scores and arrays of piece ids, best
+    first (fewer if a text has fewer).
+
+    Whole texts of any length; null and empty ones: one segmentation without ids, score 0. Ties by the
+    order of discovery, which depends on the text alone. Repeated rows and null ids get a row each,
+    an empty table none; other columns do not matter. Narrow: no shuffle.
+    """
 
+    def rows(_: PieceLattice, part: pa.Array, found: list) -> list[pa.Array]:
+        outer = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
+        values, inner = _flat([ids for f in found for _, ids in f])
+        ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values.view(np.int32))))
+        return [pa.ListArray.from_arrays(outer, pa.array([s for f in found for s, _ in f], pa.float64())), ids]
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column without nulls."""
-    offsets = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), offsets - offsets[0]
+    return _segmented(docs, model_path, n_best, id_column, text_column, "scores array<double>, ids array<array<int>>", rows)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
@@ -304,34 +320,27 @@ def decode_ids(df: DataFrame, model_path: str, ids_column: str = "ids", text_col
         lattice: PieceLattice = model(PieceLattice, model_path)
         for column in series:
             known = column[column.notna()]
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in known]))).astype(np.int64)
-            texts = lattice.decode_all(np.concatenate([*known, np.zeros(0, np.int64)]).astype(np.int64), offsets)
+            texts = lattice.decode_all(*_flat([np.asarray(i, np.uint32) for i in known]))
             yield pd.Series(texts.to_pylist(), index=known.index, dtype=object).reindex(column.index).where(column.notna(), None)
 
     return df.withColumn(text_column, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(ids_column))
 
 
 def encode_texts(docs: DataFrame, model_path: str, n_best: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_crc32, scores, decoded_ok) of each row: digests of ``segment_texts``.
+    """(id, n_tokens, ids_crc32, scores, decoded_ok) of each row: digests of the same segmentations as
+    segment_texts gives, made where they are found.
 
     ids_crc32: of the best segmentation's ids as little-endian 32-bit integers; scores: of the N
-    best, best first (fewer if a text has fewer segmentations); decoded_ok: decoding the best ids
-    gives the text back. Null and empty texts: no tokens, one score of 0. Repeated rows and null
-    ids get a row each. Narrow: no shuffle.
+    best, best first; decoded_ok: decoding the best ids gives the text back. Odd input as in
+    segment_texts. Narrow: no shuffle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice: PieceLattice = model(PieceLattice, model_path, n_best)
-        for batch in batches:
-            done = 0
-            for part in by_bytes(texts_of(batch.column(1)), 2 << 20):
-                own = batch.slice(done, len(part))
-                ids, offsets = _flat(own.column(3))
-                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                same = pc.equal(lattice.decode_all(ids, offsets), part)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), own.column(2), same],
-                                                 ["id", "n_tokens", "ids_crc32", "scores", "decoded_ok"])
-                done += len(part)
+    def rows(lattice: PieceLattice, part: pa.Array, found: list) -> list[pa.Array]:
+        best = [f[0][1] for f in found]
+        crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in best]
+        lists = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in found]))), pa.int32())
+        scores = pa.ListArray.from_arrays(lists, pa.array([s for f in found for s, _ in f], pa.float64()))
+        same = pc.equal(lattice.decode_all(*_flat(best)), part)
+        return [pa.array([len(ids) for ids in best], pa.int64()), pa.array(crc, pa.int64()), scores, same]
 
-    found = segment_texts(docs, model_path, n_best, id_column, text_column, keep_text=True).select(F.col(id_column).alias("id"), "text", "scores", F.col("ids")[0].alias("best"))
-    return found.mapInArrow(run, "id long, n_tokens long, ids_crc32 long, scores array<double>, decoded_ok boolean").withColumnRenamed("id", id_column)
+    return _segmented(docs, model_path, n_best, id_column, text_column, "n_tokens long, ids_crc32 long, scores array<double>, decoded_ok boolean", rows)
