@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import STRIP_CHARS, text_or_empty
+from tessera.llm.common import STRIP_CHARS, materialize, text_or_empty
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BOTH = ["ld_key_1_", "ld_key_2_"]
+#: A key is hot from this many lines on, and from this part of all lines: so many keys can be.
+HOT_LINES, HOT_KEYS = 1000, 1000
 
 
 def line_key(line: Column) -> Column:
@@ -19,21 +21,28 @@ def line_key(line: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, id_column: str, text_column: str) -> DataFrame:
     """(ld_id_, ld_text_, ld_dropped_): for each document that loses lines, their positions.
 
-    A line travels as two 64-bit hashes of its key, never as text. The count per key is combined
-    before the shuffle, so a line of a third of all documents is a few rows there. The join back is
-    skewed by such a line on one side only; adaptive execution splits that side.
+    A line travels as two 64-bit hashes of its key, never as text; lines are taken apart and hashed
+    once, into a written table. The count per key is combined before the shuffle, so a line of a third
+    of all documents is a few rows there. Hot keys (with a thousandth of all lines or more: a thousand
+    at most) are sent to the lines; the others are joined by key.
     """
     lines = docs.select(
         F.col(id_column).alias("ld_id_"), F.xxhash64(text_column).alias("ld_text_"),
         F.posexplode(F.transform(F.split(text_or_empty(text_column), "\n"), line_key)).alias("ld_pos_", "ld_line_"),
     ).where(F.char_length("ld_line_") >= min_chars)
     lines = lines.select("ld_id_", "ld_text_", "ld_pos_", F.xxhash64("ld_line_").alias(_BOTH[0]), F.xxhash64(F.lit(1), "ld_line_").alias(_BOTH[1]))
+    lines = materialize(lines)
+    hot_lines = max(HOT_LINES, lines.count() // HOT_KEYS)
     keys = lines.groupBy(*_BOTH)
     if min_docs == 2:  # two documents or more: the least id and the greatest differ
-        common = keys.agg(F.min("ld_id_").alias("ld_first_"), F.max("ld_id_").alias("ld_last_")).where("ld_first_ < ld_last_")
+        common = keys.agg(F.min("ld_id_").alias("ld_first_"), F.max("ld_id_").alias("ld_last_"), F.count("*").alias("ld_n_")).where("ld_first_ < ld_last_")
     else:
-        common = keys.agg(F.min("ld_id_").alias("ld_first_"), F.count_distinct("ld_id_").alias("ld_docs_")).where(F.col("ld_docs_") >= min_docs)
-    return (lines.join(common.select(*_BOTH, "ld_first_"), _BOTH).where("ld_id_ > ld_first_")
+        common = keys.agg(F.min("ld_id_").alias("ld_first_"), F.count_distinct("ld_id_").alias("ld_docs_"), F.count("*").alias("ld_n_")).where(F.col("ld_docs_") >= min_docs)
+    common = materialize(common.select(*_BOTH, "ld_first_", "ld_n_"))
+    hot = F.broadcast(common.where(F.col("ld_n_") >= hot_lines).drop("ld_n_"))
+    cold = common.where(F.col("ld_n_") < hot_lines).drop("ld_n_")
+    found = lines.join(hot, _BOTH).unionByName(lines.join(hot.select(*_BOTH), _BOTH, "left_anti").join(cold, _BOTH))
+    return (found.where("ld_id_ > ld_first_")
             .groupBy("ld_id_", "ld_text_").agg(F.collect_set("ld_pos_").alias("ld_dropped_")))
 
 
