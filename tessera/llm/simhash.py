@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 from tessera.llm.tokens import by_bytes, texts_of
 
-#: Fingerprints from which the upper levels of the tree are grown; bounds what the driver gets.
-SAMPLE_SIZE = 8192
-#: Distinct fingerprints for each shard, before those of neighbouring shards are added.
-SHARD_SIZE = 16_384
+#: Fingerprints from which the upper levels of the tree are grown, at least, and for each shard: what
+#: the driver gets is at most 8 of each SHARD_SIZE fingerprints, 64 bytes of 32 768.
+SAMPLE_SIZE, SAMPLE_PER_SHARD = 8192, 8
+#: Distinct fingerprints for each shard, before those of neighbouring shards are added. There are as
+#: many shards as this asks for, so a shard does not grow with the input.
+SHARD_SIZE = 4096
 #: A leaf of a shard compares all its fingerprints with each other.
 LEAF_SIZE = 256
 
@@ -175,9 +177,9 @@ def linked_pairs(distinct: DataFrame, radius: int) -> DataFrame:
     of at most ``radius`` bits."""
     spark = distinct.sparkSession
     total = distinct.count()
+    shards = max(1, math.ceil(total / SHARD_SIZE))
     # Ordered by a hash of the fingerprint: the same sample on every run.
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_SIZE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    shards = max(1, min(math.ceil(total / SHARD_SIZE), SAMPLE_SIZE // 8))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(max(SAMPLE_SIZE, SAMPLE_PER_SHARD * shards)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = grow(sample, shards, np.random.default_rng(1), iter(range(1 << 30)))
     half = math.ceil(radius / 2)
     sent = spark.sparkContext.broadcast(tree)
@@ -196,7 +198,9 @@ def linked_pairs(distinct: DataFrame, radius: int) -> DataFrame:
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    dealt = distinct.select("fp").mapInPandas(deal, "shard int, fp long")
+    # A number of partitions of its own: shards are few bytes and much work, and would be put together.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards, 20_000))
+    dealt = distinct.select("fp").mapInPandas(deal, "shard int, fp long").repartition(parts, "shard")
     return dealt.groupBy("shard").applyInPandas(link, "a long, b long").distinct()
 
 
