@@ -129,6 +129,72 @@ def test_katz(spark):
     assert ngram_lm.score_texts(empty(spark)).count() == 0
 
 
+def katz_of_order(rows, order):
+    """(id, n_tokens, score) of each row by recursion over plain counters."""
+    texts = [(i, [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
+    grams = [Counter() for _ in range(order + 1)]
+    of_context = [Counter() for _ in range(order + 1)]
+    padded = lambda w: [b"\t"] * (order - 1) + w
+    for i, w in texts:
+        if train(i):
+            p = padded(w)
+            for at in range(order - 1, len(p)):
+                for n in range(1, order + 1):
+                    gram = tuple(p[at - n + 1:at + 1])
+                    grams[n][gram] += 1
+                    of_context[n][gram[:-1]] += 1
+    total, distinct = sum(grams[1].values()), len(grams[1])
+    d = [None, None]
+    for n in range(2, order + 1):
+        of = Counter(grams[n].values())
+        d.append(ngram_lm.discounts({r: of[r] for r in range(1, 7)}))
+    cut = lambda n, c: c * (d[n][c] if c < len(d[n]) else 1)
+    followers = [None] + [{} for _ in range(order)]
+    for n in range(2, order + 1):
+        for gram, c in grams[n].items():
+            followers[n].setdefault(gram[:-1], []).append((gram[-1], c))
+
+    def p(n, context, w):
+        if n == 1:
+            return (grams[1][(w,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        size = of_context[n][context]
+        if not size:
+            return p(n - 1, context[1:], w)
+        size += ngram_lm.UNSEEN
+        if grams[n][(*context, w)]:
+            return cut(n, grams[n][(*context, w)]) / size
+        seen = sum(cut(n, c) for _, c in followers[n][context]) / size
+        below = sum(p(n - 1, context[1:], x) for x, _ in followers[n][context])
+        return (1 - seen) / (1 - below) * p(n - 1, context[1:], w)
+
+    out = []
+    for i, w in texts:
+        x = padded(w)
+        out.append((i, len(w), sum(math.log10(p(order, tuple(x[at - order + 1:at]), x[at])) for at in range(order - 1, len(x)))))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order(spark, order, tmp_path):
+    rows = [c for c in cases() if c[0] != 40] + [(1000 + i, prose(i % 7, 40 + i, 60)) for i in range(40)]
+    plain = lambda found: sorted(((r[0] is None, r[0] or 0, r[1], round(r[2], 7)) for r in found))
+    got = ngram_lm.score_texts(table(spark, rows), order=order, path=str(tmp_path / "model")).select("doc_id", "n_tokens", "score").collect()
+    assert plain(got) == plain(katz_of_order(rows, order))
+    stored = ngram_lm.score_stored(table(spark, rows), str(tmp_path / "model")).select("doc_id", "n_tokens", "score").collect()
+    assert plain(stored) == plain(got)
+
+
+def test_katz_counts_repeated_rows(spark):
+    """A table united with itself: equal blocks stay apart, everything counts twice."""
+    rows = [(i, prose(i % 5, 30)) for i in range(20)] + [(None, None)]
+    docs = table(spark, rows).coalesce(1)
+    once, twice = ngram_lm.score_texts(docs).collect(), ngram_lm.score_texts(docs.unionByName(docs)).collect()
+    assert len(twice) == 2 * len(once) and twice[0]["train_tokens"] == 2 * once[0]["train_tokens"]
+    want = katz_of_order(rows * 2, 2)
+    assert sorted(round(r["score"], 7) for r in twice) == sorted(round(x[2], 7) for x in want)
+
+
 def test_discounts():
     assert (ngram_lm.discounts({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6})[1:] < 1).all()
     assert len(ngram_lm.discounts({})) == 6 and (ngram_lm.discounts({1: 3})[1:] > 0).all()
@@ -195,3 +261,22 @@ def test_pipeline(spark, tmp_path):
     assert not ids & {5001, 5002, 6000} and {1, 5000, 6001, 6002} <= ids
     assert not ids & {i for i, _, q in rows if not q}
     assert len(ids & {i for i, _, q in rows if q}) >= 0.95 * sum(q for *_, q in rows)
+
+
+def test_surrogates_are_no_entities_and_surnames_stay_one(spark):
+    """A dense block of phones, so that permuted ones hit others; surnames with and without given names."""
+    phones = [("phone", f"(2{i // 1000:02d}) 555-{i % 1000:04d}") for i in range(3000)] + [("phone", f"2{i // 1000:02d}-555-{i % 1000:04d}") for i in range(0, 3000, 3)]
+    letters = "abcdefghijklmnopqrst"
+    people = [("person", f"{t} {g}{a.upper()}{b}{c}son") for a in letters for b in letters for c in letters[:3] for t, g in (("Mr.", "Adam "), ("Mrs.", ""))]
+    done = pii.surrogate_table(spark.createDataFrame(phones + people, "kind string, entity string"), "k").collect()
+    assert len(done) == len(phones) + len(people) and len({(r["kind"], r["surrogate"]) for r in done}) == len(done)
+    digits = lambda s: re.sub(r"\D", "", s)
+    known = {digits(e) for k, e in phones}
+    own = {}
+    for r in done:
+        if r["kind"] == "phone":
+            assert digits(r["surrogate"]) not in known
+            assert own.setdefault(digits(r["entity"]), digits(r["surrogate"])) == digits(r["surrogate"])
+        else:
+            assert own.setdefault(r["entity"].split()[-1], r["surrogate"].split()[-1]) == r["surrogate"].split()[-1]
+    assert len(set(own.values())) == len(own)
