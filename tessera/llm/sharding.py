@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import materialize, text_or_empty
 
-#: Most (node, bucket) sums that one pass sends to the driver.
-MAX_SUMS = 1 << 17
+#: Most (node, bucket) sums that one pass sends to the driver, and the fewest buckets of a node in it.
+MAX_SUMS, MIN_BUCKETS = 1 << 17, 16
+#: The groups' places are written each so many levels of the tree.
+LEVELS_AT_ONCE = 3
 #: Rows whose slots one task numbers.
 SLOT_ROWS = 100_000
 
@@ -31,8 +33,10 @@ def _tree(groups: DataFrame, dims: int, leaves: int) -> DataFrame:
 
     The weighted median is found by histograms: each pass sums the weights of all open nodes in
     buckets of the coordinate and then looks into the one that holds the median, until that is a
-    single coordinate or a hundredth of a leaf. The driver holds a bounded number of sums.
+    single coordinate or a hundredth of a leaf. The driver holds at most MAX_SUMS sums, of as many nodes
+    at once as that allows, and a few numbers of each node.
     """
+    level = 0
     spark = groups.sparkSession
     nodes = {1: (0, leaves)}  # node -> first shard, number of shards
     done: dict[int, int] = {}
@@ -44,7 +48,7 @@ def _tree(groups: DataFrame, dims: int, leaves: int) -> DataFrame:
         if not nodes:
             break
         spans = placed.groupBy("node_").agg(F.sum("weight_").alias("w"), *(f(f"c{i}_").alias(f"{n}{i}") for i in range(dims) for n, f in (("low", F.min), ("high", F.max))))
-        open_, buckets = {}, max(16, min(1024, MAX_SUMS // len(nodes)))
+        open_ = {}
         for r in spans.collect():
             if r["node_"] in nodes:
                 dim = max(range(dims), key=lambda i: r[f"high{i}"] - r[f"low{i}"])
@@ -53,7 +57,9 @@ def _tree(groups: DataFrame, dims: int, leaves: int) -> DataFrame:
             done[node] = nodes[node][0]
         cuts = {}
         while open_:
-            rows = [(n, o["dim"], o["low"], (o["high"] - o["low"]) // buckets + 1, o["high"]) for n, o in open_.items()]
+            chosen = list(open_.items())[:MAX_SUMS // MIN_BUCKETS]
+            buckets = max(MIN_BUCKETS, min(1024, MAX_SUMS // len(chosen)))
+            rows = [(n, o["dim"], o["low"], (o["high"] - o["low"]) // buckets + 1, o["high"]) for n, o in chosen]
             look = F.broadcast(spark.createDataFrame(rows, "node_ long, dim_ int, low_ long, width_ long, high_ long"))
             sums = (placed.join(look, "node_").withColumn("at_", coordinate(F.col("dim_"))).where("at_ between low_ and high_")
                     .groupBy("node_", F.expr("(at_ - low_) div width_").alias("bucket_")).agg(F.sum("weight_").alias("w")).collect())
@@ -90,6 +96,9 @@ def _tree(groups: DataFrame, dims: int, leaves: int) -> DataFrame:
             table = F.broadcast(spark.createDataFrame([(n, d, c) for n, (d, c, _) in cuts.items()], "node_ long, dim_ int, cut_ long"))
             placed = placed.join(table, "node_", "left").withColumn(
                 "node_", F.when(F.col("dim_").isNull(), F.col("node_")).otherwise(2 * F.col("node_") + (coordinate(F.col("dim_")) >= F.col("cut_")).cast("long"))).drop("dim_", "cut_")
+            level += 1
+            if level % LEVELS_AT_ONCE == 0:  # else each level's plan holds the joins of all before it
+                placed = materialize(placed)
     shards = F.broadcast(spark.createDataFrame(list(done.items()), "node_ long, shard_ int"))
     return placed.join(shards, "node_")
 
