@@ -280,3 +280,29 @@ def test_surrogates_are_no_entities_and_surnames_stay_one(spark):
         else:
             assert own.setdefault(r["entity"].split()[-1], r["surrogate"].split()[-1]) == r["surrogate"].split()[-1]
     assert len(set(own.values())) == len(own)
+
+
+def test_pipeline_stages_on_odd_input(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing names and empty tables, in every stage."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, q, 0) for i, _, q in labelled(64)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(5, 40)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = table(spark, cases())
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, empty(spark), str(tmp_path))
+        assert none.count() == 0, name
+        if name == "sentencepiece":
+            assert out.count() == docs.count()
+            continue
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        kept = Counter(r["doc_id"] for r in out.collect())
+        assert kept <= Counter(i for i, _ in cases()), name
+        if name == "line_dedup":
+            assert sum(kept.values()) == len(cases())
+        if name == "quality_rules":
+            assert not kept[31] and not kept[33]
+        if name == "simhash_dedup":
+            assert kept[10] == 1 and not kept[11] and kept[40] == 1
+        if name == "decontamination":
+            assert not kept[40] and kept[30] == 1
