@@ -25,6 +25,9 @@ def test_pieces_give_the_ids_of_whole_texts():
     encoder = WordBpeEncoder(WORDS, cache_entries=50)  # the table is emptied often
     mine = [ids.tolist() for sizes, flat in encoder.encode(texts) for ids in np.split(flat, np.cumsum(sizes)[:-1])]
     assert mine == [e.ids for e in encoder.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    assert encoder.safe
+    encoder.safe = False
+    assert mine == [ids.tolist() for sizes, flat in encoder.encode(texts) for ids in np.split(flat, np.cumsum(sizes)[:-1])]
     counter = PieceCounter(PIECES, cache_entries=10)
     assert counter.safe
     assert [n for part in counter.count(texts) for n in part.tolist()] == [len(i) for i in counter.model.encode(texts.to_pylist())]
