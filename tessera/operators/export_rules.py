@@ -111,15 +111,18 @@ def render_issues(variants: DataFrame, files: DataFrame) -> DataFrame:
     kinds = (("preview.png", "image_sha256", "PREVIEW_HASH_MISMATCH"), ("mask.png", "mask_sha256", "MASK_HASH_MISMATCH"), ("render.json", "render_metadata_sha256", "RENDER_METADATA_HASH_MISMATCH"))
     wanted = reduce(DataFrame.unionByName, [chosen.select("variant_id", F.concat("base", F.lit(n)).alias("relative_path"), F.col(h).alias("said"), F.lit(code).alias("mismatch")) for n, h, code in kinds])
     joined = wanted.join(files.select("relative_path", F.concat(F.lit("sha256:"), "sha256").alias("real")), "relative_path", "left")
-    extra = files.where(F.col("relative_path").startswith("renders/")).join(wanted.select("relative_path"), "relative_path", "left_anti")
     folder = lambda t: t.select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"))
     real, want = folder(files.where(F.col("relative_path").startswith("renders/"))).distinct(), folder(wanted).distinct()
+    name = F.regexp_extract("relative_path", r"[^/]*$", 0)
+    inside = files.select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"), name.alias("name")).join(want, "folder", "left_semi")
+    own = F.col("name").isin(RENDER_FILES)
+    odd = inside.groupBy("folder").agg(F.count_distinct(F.when(own, F.col("name"))).alias("n"), F.count_if(~own).alias("other")).where(F.col("other") + len(RENDER_FILES) - F.col("n") > 0)
     of_skipped = variants.where("status = 'skipped'").select(F.regexp_replace(base, "/$", "").alias("folder"))
     differ = real.join(want, "folder", "left_anti").unionByName(want.join(real, "folder", "left_anti"))
     return all_issues(
         issues(bad, "RENDER_PATH_INVALID", "block_id"), issues(joined.where("real is null"), "RENDER_FILE_MISSING", "variant_id", "relative_path"),
         joined.where("real <> said").select(F.col("mismatch").alias("code"), F.col("variant_id").alias("subject"), F.col("relative_path").alias("detail")),
-        issues(extra, "RENDER_FILE_SET_INVALID", "relative_path"), issues(differ, "RENDER_VARIANT_SET_MISMATCH", "folder"),
+        issues(odd, "RENDER_FILE_SET_INVALID", "folder"), issues(differ, "RENDER_VARIANT_SET_MISMATCH", "folder"),
         issues(real.join(want, "folder", "left_anti").join(of_skipped, "folder", "left_semi"), "RENDER_SKIPPED_DIRECTORY_PRESENT", "folder"))
 
 

@@ -149,7 +149,7 @@ files AS (SELECT base || name AS path, CASE WHEN n % 11 = 0 THEN 'other' ELSE 'h
 dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM files), want AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM wanted)
 SELECT 'RENDER_FILE_MISSING' AS code, 'v' || n AS subject, path AS detail FROM wanted WHERE path NOT IN (SELECT path FROM files)
 UNION ALL SELECT CASE w.name WHEN 'preview.png' THEN 'PREVIEW_HASH_MISMATCH' WHEN 'mask.png' THEN 'MASK_HASH_MISMATCH' ELSE 'RENDER_METADATA_HASH_MISMATCH' END, 'v' || w.n, w.path FROM wanted w JOIN files f ON f.path = w.path WHERE h <> 'h'
-UNION ALL SELECT 'RENDER_FILE_SET_INVALID', path, NULL FROM files WHERE path NOT IN (SELECT path FROM wanted)
+UNION ALL SELECT 'RENDER_FILE_SET_INVALID', d, NULL FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS d, count(DISTINCT path) FILTER (WHERE path IN (SELECT path FROM wanted)) AS good, count(*) FILTER (WHERE path NOT IN (SELECT path FROM wanted)) AS other FROM files GROUP BY 1) WHERE d IN (FROM want) AND (good < 3 OR other > 0)
 UNION ALL SELECT 'RENDER_VARIANT_SET_MISMATCH', d, NULL FROM ((FROM dirs EXCEPT FROM want) UNION (FROM want EXCEPT FROM dirs))
 UNION ALL SELECT 'RENDER_SKIPPED_DIRECTORY_PRESENT', d, NULL FROM dirs WHERE d IN (SELECT rtrim(base, '/') FROM f WHERE NOT chosen)
 """)

@@ -72,7 +72,7 @@ def test_manifest_and_files(spark):
     assert codes(manifest=manifest(spark, digest="sha256:0")) == {"REGISTRY_SNAPSHOT_HASH_MISMATCH"}
     assert codes(manifest=manifest(spark, registry_blocks=3, failure_records=2)) == {"REGISTRY_COUNT_MISMATCH", "MANIFEST_COUNT_MISMATCH"}
     rows = (("renders/m/stone/preview.png", "other"), ("renders/m/stone/mask.png", "m"), ("renders/m/extra/mask.png", "m"))
-    assert codes(files=files(spark, rows)) == {"PREVIEW_HASH_MISMATCH", "RENDER_FILE_MISSING", "RENDER_FILE_SET_INVALID"}
+    assert codes(files=files(spark, rows)) == {"PREVIEW_HASH_MISMATCH", "RENDER_FILE_MISSING", "RENDER_FILE_SET_INVALID", "RENDER_VARIANT_SET_MISMATCH"}
     p = package()
     p["states"][0][0] = "other"
     assert {r["code"] for r in export_rules.export_issues(*frames(spark, p), manifest(spark)).collect()} == {"EXPORT_ID_MISMATCH"}
