@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, table
+from tessera.llm.hard_negatives import HARD_NEGATIVES_SQL
 from tessera.llm.line_dedup import LINE_DEDUP_SQL
 
 
@@ -73,6 +74,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op7_lm_scoring, op8_token_counts, op9_pii, op10_simhash_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hard_negatives import mine_hard_negatives
 
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90), scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op7_lm_scoring, op8_token_counts, op9_pii, op10_simhash_dedup, op11_hard_negatives)}
+
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
