@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_dir, table
 from tessera.llm.hard_negatives import HARD_NEGATIVES_SQL
 from tessera.llm.line_dedup import LINE_DEDUP_SQL
+from tessera.llm.prefix_trie import PREFIX_TRIE_SQL
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,23 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90), scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op7_lm_scoring, op8_token_counts, op9_pii, op10_simhash_dedup, op11_hard_negatives)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.common import materialize
+    from tessera.llm.prefix_trie import graft_heads, number_turns, prefix_trie
 
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
+    turns = materialize(number_turns(table(spark, sf_dir, "conversations")))
+    convs = turns.select("conv").distinct()
+    conv = F.col("conv")
+    built = graft_heads(turns, convs, F.crc32(conv.cast("string").cast("binary")) % 6, conv - conv % 100, longest_head=5)
+    return prefix_trie(built, convs)
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.imatch import edit_and_fingerprint
+
+    return edit_and_fingerprint(table(spark, sf_dir, "documents"), min_idf=3.0, max_idf=8.0)
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_quality_rules, op3_line_dedup, op4_sharding, op5_token_binary, op6_sentencepiece, op7_lm_scoring, op8_token_counts, op9_pii, op10_simhash_dedup, op11_hard_negatives, op12_prefix_trie, op13_document_fingerprints)}
+
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL}
