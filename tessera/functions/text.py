@@ -119,54 +119,6 @@ def redact_list(values: Column, limit: int = 64, text_limit: int = 512) -> Colum
 IDENTITY = ["tile_id", "variant_id", "block_id", "canonical_state_id"]
 
 
-def redact_map(values: Column, limit: int = 64, text_limit: int = 512) -> Column:
-    """Entries without sensitive keys and values, identifiers first, then in key order, at most
-    ``limit``; texts are cut to ``text_limit``, those of identifiers not."""
-    kept = F.filter(F.map_entries(values), lambda e: ~sensitive(e["key"]) & ~sensitive(e["value"]))
-    ranked = F.array_sort(F.transform(kept, lambda e: F.struct((~e["key"].isin(IDENTITY)).alias("rank"), e["key"].alias("key"), e["value"].alias("value"))))
-    cut = F.transform(F.slice(ranked, 1, limit), lambda e: F.struct(e["key"].alias("key"), F.when(e["rank"], F.substring(e["value"], 1, text_limit)).otherwise(e["value"]).alias("value")))
-    return F.map_from_entries(cut)
-
-
-@F.pandas_udf(StringType())
-def redact_json(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bounded copy of free-form JSON: strings to 512 (identifiers whole), lists and maps to 64, depth
-    4. Sensitive keys and values and what lies deeper are left out, non-finite numbers become null;
-    identifiers come first. Bad JSON: null."""
-    import json
-    import math
-    import re
-
-    pattern = re.compile(SENSITIVE)
-
-    def stay(value, name, depth):
-        """``value`` bounded, once if it may stay."""
-        match value:
-            case str():
-                if not pattern.search(value):
-                    yield value if name in IDENTITY else value[:512]
-            case float() if not math.isfinite(value):
-                yield None
-            case list() | dict() if depth == 4:
-                return
-            case list():
-                yield [x for v in value[:64] for x in stay(v, None, depth + 1)]
-            case dict():
-                pairs = [(k[:128], x) for k, v in value.items() if not pattern.search(k[:128]) for x in stay(v, k[:128], depth + 1)]
-                yield dict(sorted(pairs, key=lambda p: (p[0] not in IDENTITY, p[0].encode("utf-8")))[:64])
-            case _:
-                yield value
-
-    def one(text):
-        try:
-            return next((json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in stay(json.loads(text), None, 0)), None)
-        except (TypeError, ValueError):
-            return None
-
-    for series in documents:
-        yield series.map(one, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def canonical_json_text(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Free-form JSON with keys in order and no white space; bad JSON: null."""

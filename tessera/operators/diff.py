@@ -62,12 +62,28 @@ def transition_violations(old: DataFrame, new: DataFrame, key: str, field: str,
     return a.join(b, key, "left").select(key, problem.alias("problem")).where("problem is not null")
 
 
-def rewrite_lineage(rows: DataFrame, values: dict[str, Column], struct: str = "source") -> DataFrame:
-    """New values for fields of the lineage struct."""
-    out = F.col(struct)
-    for name, value in values.items():
-        out = out.withField(name, value)
-    return rows.withColumn(struct, out)
+def rewrite_lineage(rows: DataFrame, values: dict[str, Column], columns: list[str] | None = None) -> DataFrame:
+    """New values for the fields of these names wherever they stand: as columns, in structs, and in structs
+    within arrays and maps, at any depth. ``columns``: those that are searched (all by default). Fields whose
+    new value is null stay as they are. nested.rewrite_json does the same to free-form JSON."""
+
+    def rewritten(value: Column, kind: T.DataType, name: str) -> Column | None:
+        """None where nothing is to be changed."""
+        if name in values:
+            return F.coalesce(values[name].cast(kind), value)
+        if isinstance(kind, T.StructType):
+            new = {f.name: n for f in kind.fields if (n := rewritten(value[f.name], f.dataType, f.name)) is not None}
+            if not new:
+                return None
+            return F.when(value.isNotNull(), F.struct(*(new.get(f.name, value[f.name]).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, T.ArrayType) and rewritten(F.lit(None), kind.elementType, "") is not None:
+            return F.transform(value, lambda item: rewritten(item, kind.elementType, ""))
+        if isinstance(kind, T.MapType) and rewritten(F.lit(None), kind.valueType, "") is not None:
+            return F.transform_values(value, lambda _, item: rewritten(item, kind.valueType, ""))
+        return None
+
+    changed = {f.name: rewritten(F.col(f"`{f.name}`"), f.dataType, f.name) for f in rows.schema.fields if columns is None or f.name in columns}
+    return rows.withColumns({n: c for n, c in changed.items() if c is not None})
 
 
 def equal_candidates(candidates: DataFrame, run: str, fingerprint: str, least: int = 2) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.nested import MACHINE_FIELDS, forbidden_keys
+
 KEYS = ["subject", "field"]
 
 
@@ -59,8 +61,7 @@ def valid_overrides(records: DataFrame, schema: str, raw: str = "record_json", t
     return parsed.where((F.col("record").isNotNull()) & (F.col("record.scope.variant_id") == F.col(target)))
 
 
-def forbidden_fields(operations: DataFrame, forbidden: DataFrame, names: str = "operations") -> DataFrame:
-    """Operations (a map) that touch machine-owned fields: (override_id, field)."""
-    stripped = F.transform(F.map_keys(names), lambda k: F.regexp_replace(k, "^(set_|add_|remove_)", ""))
-    keys = operations.select("override_id", F.explode(stripped).alias("field"))
-    return keys.join(F.broadcast(forbidden), "field", "left_semi").distinct()
+def forbidden_fields(records: DataFrame, raw: str = "record_json", key: str = "override_id", forbidden: list[str] = MACHINE_FIELDS) -> DataFrame:
+    """(key, field): keys of override records (JSON) that name fields which only machines write, at any depth, as
+    they stand or behind ``set_``, ``add_`` and ``remove_``."""
+    return records.select(key, F.explode(forbidden_keys(F.col(raw), forbidden)).alias("field"))

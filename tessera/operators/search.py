@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.color import color_similarity, weighted_score
-from tessera.functions.text import contains_any, like_wildcards, normalize_text, substring_score
+from tessera.functions.text import contains_any, like_wildcards, normalize_text, search_document, substring_score
+from tessera.operators.text_index import TextIndex, recall_indexed
 
 
 def verified(annotations: DataFrame, source: str = "source") -> DataFrame:
@@ -60,30 +61,6 @@ def input_rules(requests: DataFrame) -> DataFrame:
     return requests.withColumn("input_error", wrong).withColumn("limit", F.coalesce(F.col("limit"), F.lit(8)))
 
 
-def postings(documents: DataFrame, size: int = 3, only: list[str] | None = None) -> DataFrame:
-    """(gram, doc_id): distinct character grams of each text (doc_id, text); with ``only`` those grams
-    alone. Store it (write_index) to serve many requests."""
-    # An empty match with a look ahead at each place: one pass over the text.
-    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({'.' * size}))"), 1))
-    if only is not None:
-        grams = F.array_intersect(grams, F.array(*map(F.lit, only)).cast("array<string>"))
-    return documents.select("doc_id", F.explode(grams).alias("gram")).select("gram", "doc_id")
-
-
-def write_index(documents: DataFrame, path: str, size: int = 3, buckets: int = 64) -> None:
-    """The posting table of ``documents`` in folders by a hash of the gram: a lookup of a few grams reads
-    a few folders (read_index)."""
-    by = F.pmod(F.xxhash64("gram"), F.lit(buckets))
-    postings(documents, size).withColumn("bucket", by).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).write.partitionBy("bucket").mode("errorifexists").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, grams: list[str], buckets: int = 64) -> DataFrame:
-    """(gram, doc_id) of the stored table for the named grams; other folders are not read."""
-    index = spark.read.parquet(path)
-    wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(buckets))).distinct().collect()]
-    return index.where(F.col("bucket").isin(wanted) & F.col("gram").isin(grams)).select("gram", "doc_id")
-
-
 def recall(documents: DataFrame, tokens: DataFrame, index: DataFrame | None = None, size: int = 3, requests: DataFrame | None = None) -> DataFrame:
     """(request_id, doc_id): documents that hold any token of the request.
 
@@ -170,20 +147,49 @@ def stable_byte_sort(rows: DataFrame, key: str) -> DataFrame:
     return rows.orderBy(F.coalesce(F.col(key), F.lit("")), *rest)
 
 
+# Reasons of exclusion, and the qualification that the first one counts.
+BY_QUALIFICATION, BY_RECALL, EXCLUDED = "excluded qualification", "text recall", "excluded"
+
 #: Dimensions of the score, and the vocabulary of each (``behavior`` has none).
 DIMENSIONS = {"shape": "shape_terms", "color": "colors", "use": "uses", "name_synonym": "keywords", "style": "styles"}
 
 
-def search(requests: DataFrame, catalog: DataFrame, vocabulary: DataFrame, colors: DataFrame, index: DataFrame | None = None,
+#: Columns of the catalog that candidates carry where the catalog has them.
+CARRIED = ["block_id", "display_name", "recommended_state_id", "candidate_qualification", "warnings"]
+
+
+def search_catalog(variants: DataFrame, states: DataFrame, blocks: DataFrame, annotations: DataFrame, features: DataFrame) -> DataFrame:
+    """The catalog that ``search`` reads: variants whose canonical state and block exist, with names, text
+    and features.
+
+    variants: variant_id, block_id, canonical_state_id, candidate_qualification, warnings, machine_tags;
+    blocks: block_id, zh_cn, en_us; annotations (a row for each annotated variant): variant_id,
+    summary_en and the lists synonyms_zh, synonyms_en, building_roles, style_tags; features: variant_id,
+    geometry_classes, lab, oklab.
+    """
+    joined = candidates_of(variants, states, blocks).join(annotations, "variant_id", "left").join(features, "variant_id")
+    names = F.array_compact(F.array("zh_cn", "en_us"))
+    lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("synonyms_zh", "synonyms_en", "building_roles", "style_tags", "machine_tags", "geometry_classes")}
+    rows = joined.withColumns(lists)
+    document = normalize_text(search_document(names, *(F.col(c) for c in lists), F.array("summary_en")))
+    return rows.select(
+        F.col("variant_id").alias("doc_id"), document.alias("text"), F.concat(names, "synonyms_zh", "synonyms_en").alias("names"), F.col("geometry_classes").alias("shapes"),
+        F.col("building_roles").alias("uses"), F.col("style_tags").alias("styles"), "lab", "oklab", F.col("summary_en").alias("summary"), "candidate_qualification", "warnings", "block_id",
+        F.coalesce(F.nullif("zh_cn", F.lit("")), F.nullif("en_us", F.lit("")), "variant_id").alias("display_name"), F.col("canonical_state_id").alias("recommended_state_id"))
+
+
+def search(requests: DataFrame, catalog: DataFrame, vocabulary: DataFrame, colors: DataFrame, index: TextIndex | DataFrame | None = None,
            conditions: list[tuple[str, str, str | bool]] = (), pool: int = 24) -> tuple[DataFrame, DataFrame]:
     """Candidates and exclusions of requests (request_id, keywords, limit).
 
     Requests that break the input rules have no result. catalog: rows (doc_id, text, names, shapes,
     uses, styles: arrays of texts; lab, oklab; candidate_qualification, summary; columns of the
-    conditions). Rows that are not eligible or fail a condition are never candidates. Each dimension
-    that a request has words for scores 0 to 1; the score is their weighted mean. Candidates:
-    (request_id, candidate_id, doc_id, score, match_<dimension>, reason). Exclusions: (request_id,
-    reason, count): rows not eligible, rows that fail a condition, eligible rows not recalled.
+    conditions; any of CARRIED), as search_catalog makes them. Rows that are not eligible or fail a
+    condition are never candidates. Each dimension that a request has words for scores 0 to 1; the
+    score is their weighted mean. ``index``: a stored text index of the catalog's texts, or postings.
+    Candidates: (request_id, candidate_id, doc_id, score, match_<dimension>, reason, carried columns).
+    Exclusions: (request_id, reason, count) without zeros: rows whose qualification is ``excluded``, eligible
+    rows that fail each condition (named by it), and rows that keyword recall left out.
     """
     asked = input_rules(requests).where("input_error is null").select("request_id", "keywords", "limit")
     tokens = keyword_tokens(asked)
@@ -191,19 +197,24 @@ def search(requests: DataFrame, catalog: DataFrame, vocabulary: DataFrame, color
     terms = terms.select("request_id", *(F.col(v).alias(f"asked_{d}") for d, v in DIMENSIONS.items()))
     targets = tokens.join(colors, "token").groupBy("request_id").agg(F.collect_list(F.struct("lab", "oklab")).alias("targets"))
     fit = eligible(catalog)
-    kept, _ = hard_filter(fit, list(conditions))
-    found = recall(kept.select("doc_id", "text"), tokens, index, requests=asked)
+    kept, failed = hard_filter(fit, list(conditions))
+    if index is None or isinstance(index, DataFrame):
+        found = recall(kept.select("doc_id", "text"), tokens, index, requests=asked)
+    else:
+        found = recall_indexed(index, tokens, requests=asked, among=kept)
     rows = found.join(kept, "doc_id").join(asked.select("request_id", "limit"), "request_id").join(terms, "request_id", "left").join(targets, "request_id", "left")
     has = lambda dimension: F.coalesce(F.size(f"asked_{dimension}"), F.lit(0)) > 0
     of = {"shape": "shapes", "use": "uses", "name_synonym": "names", "style": "styles"}
     matches = {d: F.when(has(d), contains_any(F.col(of[d]), F.col(f"asked_{d}")) if d in of else color_similarity(F.col("lab"), F.col("oklab"), F.col("targets"))) for d in DIMENSIONS}
     ranked = rank(rows, matches, F.col("limit"), pool)
-    out = ranked.withColumn("reason", match_reason(list(matches), F.col("summary"))).select("request_id", "candidate_id", "doc_id", "score", *(f"match_{d}" for d in DIMENSIONS), "reason")
-    numbers = catalog.agg(F.count("*").alias("all")).join(fit.agg(F.count("*").alias("fit"))).join(kept.agg(F.count("*").alias("kept")))  # a row each
-    recalled = asked.select("request_id").join(found.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").join(numbers)
-    reasons = {"not_eligible": F.col("all") - F.col("fit"), "condition": F.col("fit") - F.col("kept"), "not_recalled": F.col("kept") - F.coalesce("n", F.lit(0))}
-    excluded = recalled.select("request_id", *(c.alias(r) for r, c in reasons.items())).unpivot(["request_id"], list(reasons), "reason", "count").where("count > 0")
-    return out, excluded
+    carried = [c for c in CARRIED if c in catalog.columns]
+    out = ranked.withColumn("reason", match_reason(list(matches), F.col("summary"))).select("request_id", "candidate_id", "doc_id", "score", *(f"match_{d}" for d in DIMENSIONS), "reason", *carried)
+    # A row for each fixed reason, whatever the catalog's size; then recall, which differs by request.
+    fixed = catalog.agg(F.count_if(F.col("candidate_qualification") == EXCLUDED).alias("count")).select(F.lit(BY_QUALIFICATION).alias("reason"), "count")
+    fixed = fixed.unionByName(failed.select(F.col("condition").alias("reason"), F.col("excluded").alias("count")))
+    recalled = asked.select("request_id").join(found.groupBy("request_id").agg(F.count("*").alias("n")), "request_id", "left").join(kept.agg(F.count("*").alias("kept")))
+    missed = recalled.select("request_id", F.lit(BY_RECALL).alias("reason"), (F.col("kept") - F.coalesce("n", F.lit(0))).alias("count"))
+    return out, asked.select("request_id").join(fixed).unionByName(missed).where("count > 0")
 
 
 def exclusion_summary(counts: dict[str, Column], rows: DataFrame) -> DataFrame:

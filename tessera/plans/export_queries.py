@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import diff, export_rules, integrity, lineage, overrides, projections, release, review, search
 from tessera.operators.schema_rules import Rule, violations
 from tessera.plans.registry import query, read
+from tessera.sources.shared import shared_folder
 
 _BLOCK_ID = "CASE WHEN p_partkey % 101 = 100 THEN concat('Bad Id ', p_partkey) WHEN p_partkey % 103 = 102 THEN 'm:p0' ELSE concat('m:p', p_partkey) END"
 BLOCKS = f"""SELECT p_partkey AS n, {_BLOCK_ID} AS block_id, CASE WHEN p_partkey % 97 = 96 THEN 'other' ELSE 'e' END AS export_id, concat('m:p', p_partkey, '[k=', p_size % 7, ']') AS default_state_id,
@@ -403,56 +404,93 @@ def lineage_gate(spark, sf_dir):
 
 
 _GATES = _RECORDS + f""", plain AS {_BACK}, known AS (SELECT * FROM manual WHERE schema_id <> 'unknown.v1'), ids AS (SELECT DISTINCT block_id FROM blocks),
+targets AS (SELECT block_id AS t FROM blocks UNION SELECT state_id FROM states UNION SELECT variant_id FROM variants), vs AS (SELECT DISTINCT variant_id FROM variants),
 ws AS (SELECT p_partkey AS k FROM part WHERE p_size > 5), reg AS (SELECT p_partkey AS k FROM part WHERE p_size < 45 UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 90 = 1 AND p_size < 45),
-texts AS (SELECT p_partkey, p_name FROM part), g AS (
-SELECT 'REGISTRY_COVERAGE_100' AS gate, count(*) AS observed FROM (SELECT k FROM (SELECT k, 1 AS r, 0 AS w FROM reg UNION ALL SELECT k, 0, 1 FROM ws) GROUP BY k HAVING sum(r) <> 1 OR sum(w) <> 1)
-UNION ALL SELECT 'BLOCK_VARIANT_OR_AUDITED_SKIP', count(*) FROM blocks WHERE block_id NOT IN (SELECT block_id FROM variants WHERE status = 'selected')
-UNION ALL SELECT 'EXCLUDED_QUALIFICATION_REVIEW_VALID', count(*) FROM (SELECT DISTINCT variant_id FROM variants WHERE candidate_qualification = 'excluded') WHERE variant_id NOT IN (SELECT v.variant_id FROM variants v JOIN reviews r ON r.review_id = v.review_ref AND r.target_id = v.variant_id AND r.qualification = 'excluded' WHERE v.candidate_qualification = 'excluded' AND v.n % 7 <> 6)
-UNION ALL SELECT 'IMAGE_READABLE_AND_HASHED', count(*) FROM part WHERE p_partkey % 9 IN (0, 1, 2, 3)
-UNION ALL SELECT 'LEGAL_STATE_VALID', count(*) FROM (SELECT block_id FROM states GROUP BY 1 HAVING count(*) FILTER (WHERE is_default) <> 1)
-UNION ALL SELECT 'MACHINE_SCHEMA_VALID', (SELECT count(*) FROM (SELECT DISTINCT n FROM own WHERE k > 90)) + (SELECT count(*) FROM part WHERE p_partkey % 21 = 20) + (SELECT count(DISTINCT state_id) FROM states WHERE k > 6 AND block_id IN (FROM ids))
-UNION ALL SELECT 'AI_SCHEMA_VALID', (SELECT count(*) FROM annotations WHERE (record_json->>'$.k')::INT > 90 OR subject_id NOT IN (SELECT variant_id FROM variants UNION SELECT block_id FROM blocks))
-  + (SELECT count(*) FROM variants WHERE candidate_qualification <> 'excluded' AND variant_id NOT IN (SELECT subject_id FROM annotations WHERE verified) AND variant_id NOT IN (SELECT variant_id FROM variants WHERE n % 11 = 3))
-UNION ALL SELECT 'OVERRIDE_REFERENCES_VALID', count(*) FROM known WHERE note LIKE '%password%'
-UNION ALL SELECT 'NO_FALSE_IDS', count(*) FROM states WHERE block_id NOT IN (FROM ids)
-UNION ALL SELECT 'HIGH_REVIEW_ZERO', count(*) FROM labels WHERE quality = 0
-UNION ALL SELECT 'FTS_READY', 2 * count(*) FROM part WHERE p_partkey % 33 = 5
-UNION ALL SELECT 'RELEASE_HASH_MANIFEST', count(*) FROM part WHERE p_partkey % 14 IN (1, 2, 3))
-SELECT gate, CASE WHEN observed = 0 THEN 'pass' ELSE 'fail' END AS status, observed, CASE WHEN observed > 0 THEN 'GATE_' || gate END AS error_code FROM g
+held AS (SELECT n, list(DISTINCT state_id) AS shown FROM states WHERE NOT (n % 59 = 58 AND k = 1) GROUP BY 1),
+full_variants AS (SELECT o.*, coalesce(shown, []) AS shown FROM own o LEFT JOIN held USING (n)),
+own_blocks AS (SELECT block_id, min(default_state_id) AS default_state_id FROM blocks GROUP BY 1),
+d AS (SELECT block_id, count(*) AS n, min(state_id) AS s FROM states WHERE is_default GROUP BY 1), chosen AS (SELECT block_id, list_sort(list(DISTINCT variant_id)) AS c FROM variants GROUP BY 1),
+mapped AS (SELECT block_id, list_sort(list(DISTINCT state_id)) AS m FROM states WHERE mapping_status = 'mapped' GROUP BY 1),
+legal AS (
+  SELECT 0 AS rank FROM own_blocks b LEFT JOIN d USING (block_id) WHERE coalesce(d.n, 0) <> 1 OR d.s IS DISTINCT FROM b.default_state_id
+  UNION ALL SELECT 0 FROM states WHERE block_id NOT IN (FROM ids)
+  UNION ALL SELECT 1 FROM states s LEFT JOIN chosen USING (block_id) WHERE block_id IN (FROM ids)
+    AND CASE WHEN variant_ref IS NULL THEN [] ELSE [variant_ref] END <> CASE WHEN mapping_status = 'mapped' THEN coalesce(c, []) ELSE [] END
+  UNION ALL SELECT 2 FROM full_variants v LEFT JOIN own_blocks b USING (block_id) LEFT JOIN mapped USING (block_id)
+    WHERE NOT coalesce(canonical_state_id = default_state_id AND list_contains(shown, canonical_state_id) AND list_sort(shown) = coalesce(m, []), false)),
+lies AS (
+  SELECT 'v' AS kind, variant_id AS id FROM full_variants v WHERE variant_id <> block_id OR block_id NOT IN (FROM ids) OR canonical_state_id IS NULL OR canonical_state_id NOT IN (SELECT state_id FROM states)
+    OR (ref IS NOT NULL AND ref NOT IN (SELECT annotation_id FROM annotations)) OR EXISTS (SELECT 1 FROM (SELECT unnest(v.shown) AS x) WHERE (x, v.block_id) NOT IN (SELECT (state_id, block_id) FROM states))
+  UNION SELECT 's', state_id FROM states WHERE block_id NOT IN (FROM ids) OR (variant_ref IS NOT NULL AND variant_ref NOT IN (FROM vs))
+  UNION SELECT 'a', annotation_id FROM annotations WHERE subject_id NOT IN (FROM ids) AND subject_id NOT IN (FROM vs)),
+drift AS (
+  SELECT 0 AS rank FROM (SELECT DISTINCT n FROM own WHERE k > 90)
+  UNION ALL SELECT 1 FROM part WHERE p_partkey % 21 = 20 UNION ALL SELECT 1 FROM (SELECT DISTINCT state_id FROM states WHERE k > 6 AND block_id IN (FROM ids))),
+told AS (
+  SELECT 0 AS rank FROM annotations WHERE (record_json->>'$.k')::INT > 90 OR subject_id NOT IN (SELECT variant_id FROM variants UNION SELECT block_id FROM blocks)
+  UNION ALL SELECT 1 FROM variants WHERE candidate_qualification <> 'excluded' AND variant_id NOT IN (SELECT subject_id FROM annotations WHERE verified) AND variant_id NOT IN (SELECT variant_id FROM variants WHERE n % 11 = 3)),
+broken AS (
+  SELECT record_id FROM manual WHERE schema_id = 'unknown.v1' UNION ALL SELECT record_id FROM known WHERE note LIKE '%password%' UNION ALL SELECT record_id FROM known WHERE target_id NOT IN (FROM targets)
+  UNION ALL SELECT record_id FROM known WHERE schema_id = 'skip-review.v1' AND failure_ref NOT IN (SELECT failure_id FROM failures)
+  UNION ALL SELECT record_id FROM known WHERE schema_id = 'qualification-review.v1' AND target_id NOT IN (FROM vs)
+  UNION ALL SELECT record_id FROM known WHERE target_id IN (FROM vs) AND CASE WHEN schema_id = 'qualification-review.v1' THEN (target_id, record_id) NOT IN (FROM qual) ELSE (target_id, record_id) NOT IN (FROM plain) END),
+g AS (
+SELECT 'REGISTRY_COVERAGE_100' AS gate, (SELECT count(*) FROM reg) AS observed, count(*) AS violations, 'REGISTRY_COVERAGE_INVALID' AS code FROM (SELECT k FROM (SELECT k, 1 AS r, 0 AS w FROM reg UNION ALL SELECT k, 0, 1 FROM ws) GROUP BY k HAVING sum(r) <> 1 OR sum(w) <> 1)
+UNION ALL SELECT 'BLOCK_VARIANT_OR_AUDITED_SKIP', (SELECT count(*) FROM blocks), count(*), 'BLOCK_VARIANT_OR_AUDITED_SKIP_INVALID' FROM blocks WHERE block_id NOT IN (SELECT block_id FROM variants WHERE status = 'selected')
+UNION ALL SELECT 'EXCLUDED_QUALIFICATION_REVIEW_VALID', (SELECT count(*) FROM variants WHERE candidate_qualification = 'excluded'), count(*), 'EXCLUDED_QUALIFICATION_REVIEW_INVALID' FROM (SELECT DISTINCT variant_id FROM variants WHERE candidate_qualification = 'excluded') WHERE variant_id NOT IN (SELECT v.variant_id FROM variants v JOIN reviews r ON r.review_id = v.review_ref AND r.target_id = v.variant_id AND r.qualification = 'excluded' WHERE v.candidate_qualification = 'excluded' AND v.n % 7 <> 6)
+UNION ALL SELECT 'IMAGE_READABLE_AND_HASHED', (SELECT count(*) FROM part WHERE p_partkey % 9 <> 4), count(*), 'IMAGE_ARTIFACT_INVALID' FROM part WHERE p_partkey % 9 IN (0, 1, 2, 3)
+UNION ALL SELECT 'LEGAL_STATE_VALID', (SELECT count(*) FROM states), count(*), ['LEGAL_STATE_INVALID', 'STATE_VARIANT_RELATION_INVALID', 'VARIANT_STATE_RELATION_INVALID'][min(rank) + 1] FROM legal
+UNION ALL SELECT 'MACHINE_SCHEMA_VALID', (SELECT count(*) FROM variants) + (SELECT count(*) FROM states), count(*), ['MACHINE_SCHEMA_INVALID', 'MACHINE_FACTS_MISMATCH'][min(rank) + 1] FROM drift
+UNION ALL SELECT 'AI_SCHEMA_VALID', (SELECT count(*) FROM annotations), count(*), ['AI_SCHEMA_INVALID', 'AI_SEMANTIC_MISSING'][min(rank) + 1] FROM told
+UNION ALL SELECT 'OVERRIDE_REFERENCES_VALID', (SELECT count(*) FROM manual), count(*), 'OVERRIDE_REFERENCE_INVALID' FROM broken
+UNION ALL SELECT 'NO_FALSE_IDS', (SELECT count(*) FROM variants), count(*), 'FALSE_ID_REFERENCE' FROM lies
+UNION ALL SELECT 'HIGH_REVIEW_ZERO', (SELECT count(*) FROM labels), count(*), 'OPEN_REVIEW_EXISTS' FROM labels WHERE quality = 9
+UNION ALL SELECT 'FTS_READY', (SELECT count(*) FROM part), 2 * count(*), 'FTS_NOT_READY' FROM part WHERE p_partkey % 33 = 5
+UNION ALL SELECT 'RELEASE_HASH_MANIFEST', 0, 0, NULL)
+SELECT gate, CASE WHEN gate = 'RELEASE_HASH_MANIFEST' THEN 'not_run' WHEN violations = 0 THEN 'passed' ELSE 'failed' END AS status, observed, violations, CASE WHEN violations > 0 THEN code END AS error_code FROM g
 """
 
 
 @query(_GATES)
 def quality_gates(spark, sf_dir):
-    """All twelve gates, each fed with violations."""
-    part, states, variants, reviews = read(spark, sf_dir, "part"), _states(spark, sf_dir), _variants(spark, sf_dir).dropDuplicates(["n"]), _made(spark, sf_dir, "reviews")
+    """The gates before a release is built: one that passes, the last not run yet, the others fed with
+    violations. The made tables are written once and read by all gates."""
+    path = shared_folder(spark, "gates")
+
+    def stored(name, rows):
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    part, labels, states = read(spark, sf_dir, "part"), read(spark, sf_dir, "labels"), stored("states", _states(spark, sf_dir))
+    variants, reviews, manual = stored("variants", _variants(spark, sf_dir).dropDuplicates(["n"])), _made(spark, sf_dir, "reviews"), _made(spark, sf_dir, "manual")
+    blocks, annotations = _blocks(spark, sf_dir), _made(spark, sf_dir, "annotations").withColumn("source", F.struct("verified"))
+    own_blocks = blocks.groupBy("block_id").agg(F.min("default_state_id").alias("default_state_id"))
     keys = part.select(F.col("p_partkey").alias("k"), "p_size")
     registry = keys.where("p_size < 45").unionByName(keys.where("k % 90 = 1 and p_size < 45"))
-    blocks = _blocks(spark, sf_dir)
     nine = F.col("p_partkey") % 9
     declared = part.where(nine != 4).select(F.col("p_name").alias("name"), F.col("p_partkey").alias("path"), F.lit("h").alias("sha256"))
     actual = part.where(nine != 0).select(F.col("p_partkey").alias("path"), F.when(nine == 1, "x").otherwise("h").alias("sha256"), F.when(nine == 2, 256).otherwise(512).alias("width"), F.lit(512).alias("height"), F.when(nine == 3, "chunk").alias("error"))
     facts = part.select("p_partkey", "p_name")
     workspace = part.select("p_partkey", F.when(F.col("p_partkey") % 21 == 20, "changed").otherwise(F.col("p_name")).alias("p_name"))
-    domains = blocks.select("block_id").distinct().withColumn("domain", F.create_map(F.lit("k"), F.array(*(F.lit(str(i)) for i in range(1, 7)))))
-    annotations = _made(spark, sf_dir, "annotations").withColumn("source", F.struct("verified"))
+    domains = own_blocks.select("block_id").withColumn("domain", F.create_map(F.lit("k"), F.array(*(F.lit(str(i)) for i in range(1, 7)))))
     broken_text = part.select("p_partkey", F.when(F.col("p_partkey") % 33 == 5, "stale").otherwise(F.col("p_name")).alias("p_name"))
-    sums = lambda rows, changed: rows.select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 14 == changed, "x").otherwise("h").alias("sha256"))
-    overridden = review.override_violations(_made(spark, sf_dir, "manual"), blocks, states, variants, _failures(spark, sf_dir))
-    machine = release.machine_violations({"variants": (_records(spark, sf_dir).withColumn("key_", F.concat(F.lit("m:p"), "n")), "key_", "record_json", _NUMBER)}, facts, workspace, states, domains)
-    return release.quality_report({
+    records = variants.withColumns({"record_json": F.concat(F.lit('{"k":'), (F.col("n") * 7 % 100).cast("string"), F.lit("}")), "key_": F.concat(F.lit("m:p"), "n")})
+    tasks = labels.withColumns({"status": F.lit("open"), "severity": F.when(F.col("quality") == 9, "high").otherwise("low")})
+    excluded = variants.where("candidate_qualification = 'excluded'")
+    return release.gate_report({
         "REGISTRY_COVERAGE_100": release.registry_coverage(registry, keys.where("p_size > 5"), "k"),
         "BLOCK_VARIANT_OR_AUDITED_SKIP": review.audited_skips(blocks, variants.withColumn("failure_id", F.lit("none")), reviews.select("target_id", "failure_ref")),
         "EXCLUDED_QUALIFICATION_REVIEW_VALID": review.qualified_exclusions(variants.withColumn("review_refs", F.col("qualification_review_refs")), reviews.withColumn("value", F.col("qualification"))),
         "IMAGE_READABLE_AND_HASHED": release.image_violations(declared, actual),
-        "LEGAL_STATE_VALID": integrity.exactly_one(states, "block_id", F.col("is_default"), "state_id"),
-        "MACHINE_SCHEMA_VALID": machine,
+        "LEGAL_STATE_VALID": release.state_violations(own_blocks, states, variants),
+        "MACHINE_SCHEMA_VALID": release.machine_violations({"variants": (records, "key_", "record_json", _NUMBER)}, facts, workspace, states, domains),
         "AI_SCHEMA_VALID": release.semantic_violations(variants, blocks, annotations, _complete(spark, sf_dir), _NUMBER),
-        "OVERRIDE_REFERENCES_VALID": overridden.where("code = 'OVERRIDE_TEXT_SENSITIVE'"),
-        "NO_FALSE_IDS": integrity.orphans(states, blocks.select("block_id").distinct(), "block_id", "block_id"),
-        "HIGH_REVIEW_ZERO": release.open_reviews(read(spark, sf_dir, "labels").where("quality = 0").withColumns({"status": F.lit("open"), "severity": F.lit("high")})),
+        "OVERRIDE_REFERENCES_VALID": review.override_violations(manual, blocks, states, variants, _failures(spark, sf_dir)),
+        "NO_FALSE_IDS": release.false_ids(own_blocks, states, variants, annotations),
+        "HIGH_REVIEW_ZERO": release.open_reviews(tasks),
         "FTS_READY": release.index_parity(facts, broken_text),
-        "RELEASE_HASH_MANIFEST": release.written_files(sums(part.where("p_partkey % 14 <> 2"), 1), sums(part.where("p_partkey % 14 <> 3"), -1))})
+    }, {"REGISTRY_COVERAGE_100": registry, "BLOCK_VARIANT_OR_AUDITED_SKIP": blocks, "EXCLUDED_QUALIFICATION_REVIEW_VALID": excluded, "IMAGE_READABLE_AND_HASHED": declared, "LEGAL_STATE_VALID": states,
+        "MACHINE_SCHEMA_VALID": variants.select("n").unionByName(states.select("n")), "AI_SCHEMA_VALID": annotations, "OVERRIDE_REFERENCES_VALID": manual, "NO_FALSE_IDS": variants, "HIGH_REVIEW_ZERO": labels, "FTS_READY": part})
 
 
 # --- Projections, changes, overrides
@@ -537,8 +575,8 @@ def override_rules(spark, sf_dir):
     """Fields that overrides may not touch, records that are valid, subjects that are complete by hand."""
     n = F.col("c_custkey")
     customers = read(spark, sf_dir, "customer")
-    names = F.when(n % 4 == 0, F.create_map(F.lit("set_shape"), F.lit("1"))).when(n % 4 == 1, F.create_map(F.lit("add_color"), F.lit("1"))).otherwise(F.create_map(F.lit("set_note"), F.lit("1")))
-    touched = overrides.forbidden_fields(customers.where(n % 3 == 0).select(n.alias("override_id"), names.alias("operations")), spark.createDataFrame([("shape",), ("color",)], "field string"))
+    names = F.when(n % 4 == 0, '{"operations":{"set_shape":"1"}}').when(n % 4 == 1, '{"operations":[{"add_color":1}]}').otherwise('{"operations":{"set_note":"shape"}}')
+    touched = overrides.forbidden_fields(customers.where(n % 3 == 0).select(n.alias("override_id"), names.alias("record_json")), forbidden=["shape", "color"])
     record = F.when(n % 5 == 3, "{").otherwise(F.concat(F.lit('{"scope":{"variant_id":"'), F.when(n % 5 == 4, "other").otherwise(n.cast("string")), F.lit('"}}')))
     valid = overrides.valid_overrides(customers.select(n.alias("c_custkey"), record.alias("record_json"), n.cast("string").alias("target_id")), "scope struct<variant_id:string>")
     lists = customers.select(n.alias("subject"), F.explode(F.when(n % 6 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x")))).alias("field"))

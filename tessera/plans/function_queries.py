@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.color import rgb_to_lab, rgb_to_oklab
 from tessera.functions.vocabulary import color_targets, vocabulary
-from tessera.operators import diff, geometry, integrity, overrides, pixels, progress, projections, release, review, search
+from tessera.operators import diff, geometry, integrity, overrides, pixels, progress, projections, release, review, search, text_index
 from tessera.plans.registry import query, read
-from tessera.plans.search_queries import _PIXELS_SQL, _RGB_SQL, _pixels
+from tessera.plans.search_queries import _PIXELS_SQL, _RGB_SQL, _pixels, part_index
 from tessera.sources import records, sinks
+from tessera.sources.shared import shared_folder
 from tessera.streaming import monitor
+from tessera.streaming.exactly_once import commit_batch, committed
 
 
 def _folder(spark) -> str:
-    """A new folder that all executors reach (a temporary one where the session names none)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    """A new folder that all executors reach."""
+    return shared_folder(spark, "round-trip")
 
 
 @query("""
@@ -290,7 +288,7 @@ def search_requests(spark, sf_dir):
 
 @query(f"""
 WITH {_RGB_SQL}, {_SEARCHED}, n AS (SELECT (SELECT count(*) FROM p) AS a, (SELECT count(*) FROM fit) AS f, (SELECT count(*) FROM kept) AS k, (SELECT count(*) FROM sc) AS r)
-SELECT * FROM (SELECT q AS request_id, 'not_eligible' AS reason, a - f AS count FROM n, (VALUES ('q'), ('all')) v(q) UNION ALL SELECT q, 'condition', f - k FROM n, (VALUES ('q'), ('all')) v(q) UNION ALL SELECT 'q', 'not_recalled', k - r FROM n) WHERE count > 0
+SELECT * FROM (SELECT q AS request_id, 'excluded qualification' AS reason, a - f AS count FROM n, (VALUES ('q'), ('all')) v(q) UNION ALL SELECT q, 'usable eq yes', f - k FROM n, (VALUES ('q'), ('all')) v(q) UNION ALL SELECT 'q', 'text recall', k - r FROM n) WHERE count > 0
 """)
 def search_exclusions(spark, sf_dir):
     return _searched(spark, sf_dir)[1]
@@ -306,7 +304,7 @@ def _searched(spark, sf_dir):
     requests = spark.createDataFrame([("q", ["Red", " economy"], 10), ("all", ["\t"], None), ("bad", ["red", "red "], 3)], "request_id string, keywords array<string>, `limit` int")
     blank = F.when(F.col("request_id") == "all", F.array(F.lit(" "))).otherwise(F.col("keywords"))
     words = vocabulary(spark, {"shape_terms": ["economy", "small", "medium", "promo", "standard", "large"]})
-    return search.search(requests, catalog, words, color_targets(spark), conditions=[("usable", "eq", "yes")])
+    return search.search(requests, catalog, words, color_targets(spark), part_index(spark, sf_dir, catalog), conditions=[("usable", "eq", "yes")])
 
 
 @query("""
@@ -333,7 +331,7 @@ def recall_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
     tokens = spark.createDataFrame([("w1", "q_"), ("w2", "apache")], "request_id string, token string")
     requests = spark.createDataFrame([("w1",), ("w2",), ("none",)], "request_id string")
-    found = search.recall(docs, tokens, search.postings(docs, only=["apa", "pac", "ach", "che"]), requests=requests).select(F.col("request_id").alias("q"), "doc_id")
+    found = search.recall(docs, tokens, text_index.postings(docs, only=["apa", "pac", "ach", "che"]), requests=requests).select(F.col("request_id").alias("q"), "doc_id")
     first = search.keep_first(read(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"]).select(F.lit("first"), "doc_id")
     ordered = search.stable_byte_sort(read(spark, sf_dir, "documents").select("lang", "doc_id"), "lang").agg(F.count("*"))
     return found.union(first).union(ordered.select(F.lit("sorted"), "count(1)"))
@@ -442,26 +440,50 @@ def image_decoding(spark, sf_dir):
     return codes.union(table.groupBy(F.col("image_id").alias("subject")).agg(F.lit("pixels").alias("code"), F.count("*").alias("n")).select("subject", "code", "n"))
 
 
-def _stream(spark, sf_dir):
-    schema = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+def _stream(spark, sf_dir, rows=None):
+    """Events as a stream of several batches: the table (or ``rows`` of it) dealt to files by time."""
+    rows = read(spark, sf_dir, "events") if rows is None else rows
+    path, bounds = _folder(spark), rows.agg(F.percentile_approx("ts", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):  # one file after the other: the stream reads them in that order
+        part = rows if low is None else rows.where(F.col("ts") >= low)
+        (part if high is None else part.where(F.col("ts") < high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) GROUP BY 1")
 def stream_latest_statuses(spark, sf_dir):
-    """The latest status of each user kept by a stream, then counted."""
+    """The latest status of each user kept as a stream's state; the changes of the counts, summed."""
+    path = _folder(spark)
+    monitor.stream_status_counts(_stream(spark, sf_dir).withColumn("status", F.col("event_type")), "user_id", "status", "event_id", f"{path}/counts", f"{path}/state").awaitTermination()
+    return monitor.current_status_counts(spark, f"{path}/counts", "status string")
+
+
+@query("""
+WITH h AS (SELECT user_id AS run_id, event_type AS stage, CASE WHEN event_id % 3 > 0 THEN event_id % 7 END AS item, CASE WHEN event_id % 11 = 0 THEN 'succeeded' ELSE 'running' END AS status, ts FROM events),
+l AS (SELECT run_id, stage, item, arg_max(status, (epoch_ms(ts), status)) AS status, max(epoch_ms(ts)) AS seen FROM h GROUP BY ALL),
+stale AS (SELECT * FROM l WHERE status = 'running' AND seen + 86400000 < (SELECT max(epoch_ms(ts)) FROM events))
+SELECT run_id, stage, item FROM stale s WHERE item IS NOT NULL OR NOT EXISTS (SELECT 1 FROM stale i WHERE i.run_id = s.run_id AND i.stage = s.stage AND i.item IS NOT NULL)
+""")
+def stream_stale_markers(spark, sf_dir):
+    """Markers of stages and items that are silent for a day, by timers and retractions of a stream."""
     path = _folder(spark)
-    monitor.stream_status_counts(_stream(spark, sf_dir).withColumn("status", F.col("event_type")), "user_id", "status", "event_id", f"{path}/latest", f"{path}/state").awaitTermination()
-    return monitor.current_status_counts(spark.read.parquet(f"{path}/latest"), "status")
+    hearts = _stream(spark, sf_dir).select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 7).alias("item"),
+        F.when(F.col("event_id") % 11 == 0, "succeeded").otherwise("running").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    changes = monitor.stream_stale(hearts, ["run_id", "stage", "item"], "status", "ts", 86_400)
+    schema = "run_id long, stage string, item long, last_seen timestamp, change int"
+    changes.writeStream.foreachBatch(lambda batch, number: commit_batch(batch, number, f"{path}/changes") and None).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return monitor.current_stale_markers(committed(spark, f"{path}/changes", schema))
 
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def stream_incremental(spark, sf_dir):
-    """A stream that writes what has no output yet: users' event types once each."""
+    """A stream that writes what has no output yet: users' event types once each, over several batches."""
     path = _folder(spark)
     source = _stream(spark, sf_dir).select("user_id", "event_type")
-    monitor.incremental(source, lambda rows: rows, lambda: None, ["user_id", "event_type"], f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+    schema = "user_id long, event_type string"
+    monitor.incremental(source, lambda rows: rows, ["user_id", "event_type"], schema, f"{path}/out", f"{path}/state").awaitTermination()
+    return committed(spark, f"{path}/out", schema).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(DISTINCT user_id * 10 + length(event_type)) AS n FROM events")

@@ -11,7 +11,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Register a query under its function's name, which may be taken only once."""
+
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import nested, text
 from tessera.operators import diff, integrity, lineage, overrides, progress, release, review
 from tessera.plans.registry import query, read
 from tessera.sources import records
@@ -357,6 +357,41 @@ def bounded_redaction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
+def _nested(rows, *more):
+    """Each document's text within lists and structs, beside keys that may not leave."""
+    deep = F.struct(F.struct(F.struct(F.struct(F.lit(1).alias("e")).alias("d"), F.lit(2).alias("f")).alias("c")).alias("b"))
+    fields = [F.col("n_chars").alias("z"), F.concat(F.lit("m:"), "doc_id").alias("variant_id"), F.lit("p").alias("image_path"), F.lit("k").alias("API-Key"),
+              F.lit("v").alias("token_count"), F.array("text", F.lit("plain")).alias("kept"), deep.alias("deep"), *more]
+    return rows.select("doc_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+_SENSITIVE_TEXT = f"coalesce(regexp_matches(text, '{text.SENSITIVE}'), false)"
+
+
+@query(f"""
+SELECT doc_id, '{{"variant_id":"m:' || doc_id || '","deep":{{"b":{{"c":{{"f":2}}}}}},"kept":[' || CASE WHEN text IS NULL THEN 'null,' WHEN {_SENSITIVE_TEXT} THEN '' ELSE to_json(substr(text, 1, 512)) || ',' END || '"plain"],"z":' || n_chars || '}}' AS json FROM documents
+""")
+def nested_redaction(spark, sf_dir):
+    """Bounded copies of nested JSON: depth, sensitive keys and texts, identifiers first."""
+    return _nested(read(spark, sf_dir, "documents")).select("doc_id", nested.redact_json(F.col("json")).alias("json"))
+
+
+@query(f"""
+SELECT doc_id, {_SENSITIVE_TEXT} AS sensitive, CASE doc_id % 4 WHEN 0 THEN 'shape' WHEN 1 THEN 'image_path' ELSE '' END AS fields,
+  '{{"created_at":"new","items":[{{"export_id":"e$1","n":1}},[{{"created_at":"new"}}]]}}' AS lineage FROM documents
+""")
+def nested_screens(spark, sf_dir):
+    """Sensitive strings and forbidden keys at any depth, and lineage that is rewritten at any depth."""
+    n = F.col("doc_id")
+    name = F.when(n % 4 == 0, "set_add_shape").when(n % 4 == 1, "image_path").otherwise("add_note")
+    level = F.concat(F.lit('{"'), name, F.lit('":'), F.to_json(F.array("text"), {"ignoreNullFields": "false"}), F.lit("}"))
+    for i in range(9):
+        level = F.concat(F.lit(f'[{i},{{"k{i}":'), level, F.lit("}]"))
+    old = F.lit('{"items": [{"export_id": "old, \\" one", "n": 1}, [{"created_at": 7}]], "created_at": null}')
+    made = nested.rewrite_json(old, {"export_id": F.lit("e$1"), "created_at": F.lit("new"), "producer_version": F.lit(None).cast("string")})
+    return read(spark, sf_dir, "documents").select("doc_id", nested.sensitive_json(level).alias("sensitive"), F.array_join(nested.forbidden_keys(level), ",").alias("fields"), made.alias("lineage"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'bad_json' ELSE 'not_object' END END AS error FROM events
 """)
@@ -373,7 +408,8 @@ UNION ALL SELECT 'LEGAL_STATE_VALID', count(*) FROM (SELECT l_orderkey FROM line
 UNION ALL SELECT 'NO_FALSE_IDS', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'HIGH_REVIEW_ZERO', count(*) FROM labels WHERE quality = 0)
 """)
-def quality_gates(spark, sf_dir):
+def gate_violation_counts(spark, sf_dir):
+    """Violations of four gates over whole tables."""
     customers = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
     lines = read(spark, sf_dir, "lineitem")
     report = release.quality_report({

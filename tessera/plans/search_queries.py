@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tessera.functions.color import color_similarity, rgb_to_lab, rgb_to_oklab
 from tessera.functions.text import canonical_key, contains_any, normalize_text, search_document
-from tessera.operators import geometry, pixels, search
+from tessera.operators import geometry, pixels, search, text_index
 from tessera.plans.registry import query, read
+from tessera.sources.shared import shared_folder, shared_root
 
 _PART_TEXT = "lower(p_name || ' ' || p_brand || ' ' || p_type)"
 
@@ -16,13 +19,18 @@ def _catalog(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type", "p_brand", "p_size", F.expr(_PART_TEXT).alias("text"))
 
 
+def part_index(spark, sf_dir, texts):
+    """The stored index of the parts' texts: built once in the shared folder, then kept up with the table."""
+    return text_index.ensure_index(texts.select("doc_id", "text"), f"{shared_root(spark)}/part-index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}", buckets=4)
+
+
 def _search(spark, sf_dir, requests):
-    """Recall, rank and cut for a table of requests (request_id, keywords)."""
+    """Recall in the stored index, rank and cut for a table of requests (request_id, keywords)."""
     catalog = _catalog(spark, sf_dir)
     asked = spark.createDataFrame(requests, "request_id string, keywords array<string>")
     tokens = search.keyword_tokens(asked)
     terms = tokens.groupBy("request_id").agg(F.array_sort(F.collect_list("token")).alias("terms"))
-    found = search.recall(catalog.select("doc_id", "text"), tokens).join(catalog, "doc_id").join(F.broadcast(terms), "request_id")
+    found = text_index.recall_indexed(part_index(spark, sf_dir, catalog), tokens).join(catalog, "doc_id").join(terms, "request_id")
     shapes = F.filter("terms", lambda t: t.isin("economy", "small", "medium", "promo", "standard", "large"))
     matches = {
         "shape": F.when(F.size(shapes) > 0, contains_any(F.array("p_type"), shapes)),
@@ -80,7 +88,38 @@ def trigram_recall_documents(spark, sf_dir):
     asked = [("q1", "idiot"), ("q2", "licensed"), ("q2", "apache"), ("q3", "+1"), ("q4", "zzzzqq")]
     tokens = spark.createDataFrame(asked, "request_id string, token string")
     grams = sorted({t[i:i + 3] for _, t in asked for i in range(len(t) - 2)})
-    return search.recall(docs, tokens, search.postings(docs, only=grams))
+    return search.recall(docs, tokens, text_index.postings(docs, only=grams))
+
+
+_CHANGED = "CASE WHEN doc_id % 100 = 1 THEN text || ' zebra quagga' ELSE text END"
+
+
+@query(f"""
+WITH before AS (SELECT doc_id, lower(text) AS t FROM documents),
+after AS (SELECT doc_id, lower({_CHANGED}) AS t FROM documents WHERE doc_id % 100 <> 2 UNION ALL SELECT doc_id + 1000000000, lower(text) FROM documents WHERE doc_id % 100 = 3),
+tokens AS (SELECT * FROM (VALUES ('a', 'licensed'), ('b', 'zebra'), ('b', 'apache'), ('c', 'qu'), ('d', 'no-such-token')) v(request_id, token))
+SELECT DISTINCT 'before' AS stage, request_id, doc_id FROM before, tokens WHERE contains(t, token)
+UNION ALL SELECT DISTINCT stage, request_id, doc_id FROM after, tokens, (VALUES ('after'), ('compacted')) s(stage) WHERE contains(t, token)
+UNION ALL SELECT 'parity', 'stale texts', count(*) FROM documents WHERE doc_id % 100 IN (1, 2, 3) AND text IS NOT NULL
+UNION ALL SELECT 'parity', 'changed documents kept', 0 UNION ALL SELECT 'parity', 'unequal buckets', 0
+""")
+def text_index_update(spark, sf_dir):
+    """Recall before and after an update of some hundredths of the texts (changed, removed, added) and after
+    compaction; parity of the old index with the new texts, and of the new one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lower = lambda d: d.withColumn("text", F.lower("text"))
+    now = docs.withColumn("text", F.expr(_CHANGED)).where("doc_id % 100 <> 2").unionByName(docs.where("doc_id % 100 = 3").withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
+    tokens = spark.createDataFrame([("a", "licensed"), ("b", "zebra"), ("b", "apache"), ("c", "qu"), ("d", "no-such-token")], "request_id string, token string")
+    first = text_index.create_index(lower(docs), shared_folder(spark, "text-index"))
+    second = text_index.update_index(first, lower(now))
+    third = text_index.compact(second)
+    out = None
+    for stage, index in (("before", first), ("after", second), ("compacted", third)):
+        own = text_index.recall_indexed(index, tokens).select(F.lit(stage).alias("stage"), "request_id", "doc_id")
+        out = own if out is None else out.unionByName(own)
+    counted = lambda name, rows: rows.agg(F.count("*").alias("doc_id")).select(F.lit("parity").alias("stage"), F.lit(name).alias("request_id"), "doc_id")
+    return (out.unionByName(counted("stale texts", text_index.text_parity(first, lower(now)))).unionByName(counted("changed documents kept", text_index.text_parity(second, lower(now))))
+            .unionByName(counted("unequal buckets", text_index.posting_parity(second).where("not equal"))))
 
 
 @query("""

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.window import Window
 
+from tessera.streaming.exactly_once import commit_batch, committed, is_committed
+
 # Legal changes of a run's or stage's status.
 TRANSITIONS = [
     ("pending", "running"), ("running", "paused"), ("running", "needs_review"), ("running", "failed"), ("running", "succeeded"),
@@ -34,30 +39,65 @@ def status_counts(events: DataFrame, key: str, status: str, order: str, *by: str
     return latest.groupBy(*by, status).agg(F.count("*").alias("n"))
 
 
-def stream_status_counts(source: DataFrame, key: str, status: str, order: str, latest_path: str, checkpoint: str):
-    """Start a stream that keeps the latest status of each key as a table of versions below
-    ``latest_path`` (one folder for each batch, the highest number current); current_status_counts
-    reads it. A batch that is run again rewrites its own folder."""
-    from pyspark.errors import AnalysisException
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LatestStatus(StatefulProcessor):
+    """For each key the latest (order, status). A change gives the old status back (-1) and counts the
+    new one (+1); older events than the one held change nothing."""
+
+    def __init__(self, keys: list[str], state: str, status: str, order: str):
+        self.keys, self.state, self.status, self.order = keys, state, status, order
+
+    def _change(self, key: tuple, status: str, change: int) -> Row:
+        return Row(**dict(zip(self.keys, key, strict=True)), **{self.status: status, "change": change})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.state)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = tuple(self.last.get()) if self.last.exists() else None
+        best = max((r[self.order], r[self.status]) for r in rows)
+        if held is not None and best <= held:
+            return
+        self.last.update(best)
+        if held is not None and held[1] != best[1]:
+            yield self._change(key, held[1], -1)
+        if held is None or held[1] != best[1]:
+            yield self._change(key, best[1], 1)
+
+    def close(self) -> None:
+        pass
+
+
+def status_changes(source: DataFrame, key: str, status: str, order: str, *by: str) -> DataFrame:
+    """The stream of (by, key, status, change): +1 where a key takes a status, -1 where it leaves it. Rows without
+    key, status or order are left out. State: one small row for each key."""
+    source.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = dict(source.dtypes)
+    keys = [*by, key]
+    out = ", ".join(f"{c} {kinds[c]}" for c in [*keys, status]) + ", change int"
+    processor = LatestStatus(keys, f"at {kinds[order]}, status {kinds[status]}", status, order)
+    return source.select(*keys, status, order).dropna(subset=[key, status, order]).groupBy(*keys).transformWithState(processor, out, "Append", "None")
+
+
+def stream_status_counts(source: DataFrame, key: str, status: str, order: str, path: str, checkpoint: str, *by: str):
+    """Start a stream that keeps the latest status of each key as state and writes, for each batch, by how much
+    the counts of (by, status) changed: work and output are linear in the batch. current_status_counts
+    sums them. A batch that is run again is written once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, batch.select(key, status, order)
-        for before in range(number - 1, -1, -1):
-            try:
-                new = spark.read.parquet(f"{latest_path}/batch={before}").select(key, status, order).unionByName(new)
-                break
-            except AnalysisException:  # that batch had no rows to write
-                continue
-        now = new.groupBy(key).agg(F.max_by(status, F.struct(order, status)).alias(status), F.max(order).alias(order))
-        now.write.mode("overwrite").parquet(f"{latest_path}/batch={number}")
+        commit_batch(batch.groupBy(*by, status).agg(F.sum("change").alias("n")).where("n <> 0"), number, path)
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    changes = status_changes(source, key, status, order, *by)
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_status_counts(versions: DataFrame, status: str) -> DataFrame:
-    """Counts of statuses in the newest version (column ``batch``) that stream_status_counts wrote."""
-    newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(F.broadcast(newest), "batch", "left_semi").groupBy(status).agg(F.count("*").alias("n"))
+def current_status_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(by, status, n) as of the last committed batch; schema: the by columns and the status."""
+    changes = committed(spark, path, f"{schema}, n long")
+    names = [c for c in changes.columns if c != "n"]
+    return changes.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def stale_heartbeats(jobs: DataFrame, now, seconds: int = 300) -> DataFrame:
@@ -79,22 +119,67 @@ def recovery_decision(stale: DataFrame) -> DataFrame:
     return stale.withColumn("decision", F.when(F.col("output_complete"), "succeeded").when(F.col("recovery_attempt") == 0, "pending").otherwise("needs_review"))
 
 
-def stream_stale(heartbeats: DataFrame, key: str, time: str, seconds: int = 300) -> DataFrame:
-    """(key, last_seen) of keys silent for ``seconds`` of event time, by a timer of each key."""
+class Heartbeats(StatefulProcessor):
+    """For each marker its last heartbeat and a timer. A running marker that stays silent is counted as
+    stale (+1); one that is heard again, or ends, is given back (-1)."""
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({key: [name[0]], "last_seen": [pd.Timestamp(last, unit="ms")]})
-            return
-        last = max([state.get[0] if state.exists else 0, *(int(f[time].max().value // 1_000_000) for f in frames)])
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+    def __init__(self, keys: list[str], status: str, time: str, seconds: int):
+        self.keys, self.status, self.time, self.seconds = keys, status, time, seconds
+
+    def _change(self, key: tuple, seen: int, change: int) -> Row:
+        return Row(**dict(zip(self.keys, key, strict=True)), last_seen=datetime.fromtimestamp(seen / 1000), change=change)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "seen long, running boolean, stale boolean")
 
-    kind = dict(heartbeats.dtypes)[key]
-    return heartbeats.select(key, time).withWatermark(time, "0 seconds").groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def _wake(self, at: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        seen, running, stale = tuple(self.held.get()) if self.held.exists() else (-1, False, False)
+        newest = max((int(r[self.time].timestamp() * 1000), r[self.status]) for r in rows)
+        if newest[0] < seen:
+            return
+        seen, running = newest[0], newest[1] == "running"
+        limit = seen + self.seconds * 1000
+        late = running and limit < timerValues.getCurrentWatermarkInMs()
+        self._wake(limit + 1 if running and not late else None)
+        self.held.update((seen, running, late))
+        if late != stale:
+            yield self._change(key, seen, 1 if late else -1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        seen, running, stale = tuple(self.held.get())
+        if running and not stale:
+            self.held.update((seen, True, True))
+            yield self._change(key, seen, 1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stale(heartbeats: DataFrame, keys: list[str], status: str, time: str, seconds: int = 300, late: str = "0 seconds") -> DataFrame:
+    """The stream of (keys, last_seen, change): +1 where a running marker has been silent for ``seconds`` of
+    event time, -1 where it is heard again or ends. A null key is a marker of its own (a stage's,
+    beside its items'). Rows without time or status are left out."""
+    heartbeats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = dict(heartbeats.dtypes)
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", last_seen timestamp, change int"
+    rows = heartbeats.select(*keys, status, time).dropna(subset=[status, time]).withWatermark(time, late)
+    return rows.groupBy(*keys).transformWithState(Heartbeats(keys, status, time, seconds), out, "Append", "EventTime")
+
+
+def current_stale_markers(changes: DataFrame) -> DataFrame:
+    """(run_id, stage, item) from the changes of stream_stale over those keys: what stale_markers gives of the
+    tables. A stage's own marker counts only where none of its items is stale."""
+    now = changes.groupBy("run_id", "stage", "item").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+    items = now.where("item is not null")
+    stages = now.where("item is null").select("run_id", "stage").join(items, ["run_id", "stage"], "left_anti")
+    return items.unionByName(stages.withColumn("item", F.lit(None).cast(dict(changes.dtypes)["item"])))
 
 
 def dedupe_tasks(tasks: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
@@ -146,14 +231,15 @@ def progress_regressions(events: DataFrame, key: str, phase: str, done: str, ord
     return seen.where(F.coalesce(wrong, F.lit(False)))
 
 
-def incremental(source: DataFrame, transform: Callable[[DataFrame], DataFrame], known: Callable[[], DataFrame | None], key: list[str], path: str, checkpoint: str):
-    """Start a stream that writes ``transform`` of rows whose key has no output yet."""
+def incremental(source: DataFrame, transform: Callable[[DataFrame], DataFrame], key: list[str], schema: str, path: str, checkpoint: str):
+    """Start a stream that writes ``transform`` of rows whose key (kept by ``transform``) has no output yet;
+    ``schema`` is that of the output. Read it with exactly_once.committed. A batch that fails, or is run again,
+    leaves one copy: keys are looked up in committed batches alone."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        done = known()
-        new = batch.dropDuplicates(key)
-        if done is not None:
-            new = new.join(done.select(*key), key, "left_anti")
-        transform(new).write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if not is_committed(spark, path, number):
+            new = batch.dropDuplicates(key).join(committed(spark, path, schema).select(*key), key, "left_anti")
+            commit_batch(transform(new), number, path)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,8 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import color, text
-from tessera.operators import diff, geometry, integrity, lineage, overrides, pixels, progress, release, review, search
+from tessera.functions import color, nested, text
+from tessera.operators import diff, geometry, integrity, lineage, overrides, pixels, progress, release, review, search, text_index
 from tessera.sources import records, sinks
 
 
@@ -31,8 +31,7 @@ def test_text_functions(spark):
     assert one(row.select(text.substring_score(F.lit("ab"), F.lit("xabx")))) == 0.75
     assert one(row.select(text.like_wildcards(F.lit("a\\bXc"), F.lit("\\b_c")))) is True
     assert one(row.select(text.redact(F.lit("my password")))) is None
-    assert one(spark.createDataFrame([('{"z":1,"a_id":"x","password":"p","l":[1,"token = 3"]}',)], "j string").select(text.redact_json("j"))) == '{"a_id":"x","l":[1],"z":1}'
-    assert one(row.select(text.redact_map(F.create_map(F.lit("secret"), F.lit("1"), F.lit("b"), F.lit("2"))))) == {"b": "2"}
+    assert one(row.select(nested.redact_map(F.create_map(F.lit("secret"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("image_path"), F.lit("x"))))) == {"b": "2"}
 
 
 def test_colors(spark):
@@ -72,8 +71,8 @@ def test_human_complete_and_forbidden(spark):
     scalars = spark.createDataFrame([("a", "s", "text"), ("a", "confidence", "0.5"), ("b", "s", " ")], "subject string, field string, scalar string")
     got = {r["subject"]: r["complete"] for r in overrides.human_complete(lists, scalars, ["x", "y"], ["s"], "confidence").collect()}
     assert got == {"a": True, "b": False}
-    ops = spark.createDataFrame([("o1", {"set_shape": "1", "add_tag": "2"})], "override_id string, operations map<string,string>")
-    assert [r["field"] for r in overrides.forbidden_fields(ops, spark.createDataFrame([("shape",)], "field string")).collect()] == ["shape"]
+    ops = spark.createDataFrame([("o1", '{"set_shape":1,"x":[{"add_tag":2,"remove_image":3}]}'), ("o2", "no json"), ("o3", None)], "override_id string, record_json string")
+    assert sorted(map(tuple, overrides.forbidden_fields(ops).collect())) == [("o1", "image"), ("o1", "shape")]
 
 
 def box_volume(boxes):
@@ -177,7 +176,7 @@ def test_search_cases(spark):
     assert all(checked[str(i)]["input_error"] for i in range(len(bad))) and not checked["7"]["input_error"] and checked["8"]["limit"] == 8
     docs = spark.createDataFrame([("1", "yellow carpet"), ("2", "stone 石 wall"), ("3", "carp")], "doc_id string, text string")
     tokens = search.keyword_tokens(spark.createDataFrame([("a", ["carpet"]), ("b", ["石"]), ("c", ["none"])], "request_id string, keywords array<string>"))
-    for index in (None, search.postings(docs)):
+    for index in (None, text_index.postings(docs)):
         assert {tuple(r) for r in search.recall(docs, tokens, index).collect()} == {("a", "1"), ("b", "2")}
     ranked = spark.createDataFrame([("a", "T01", 1), ("a", "T02", 2)], "request_id string, candidate_id string, position int")
     outside = spark.createDataFrame([("a", "T01", 0.1, 2), ("a", "T02", 0.9, 1)], "request_id string, candidate_id string, fit double, pos int")
@@ -223,8 +222,11 @@ def test_diff_and_release(spark):
     report = release.quality_report({"A": old.limit(0), "B": old})
     assert {(r["gate"], r["status"], r["observed"]) for r in report.collect()} == {("A", "pass", 0), ("B", "fail", 2)}
     assert one(release.buildable(report)) is False
-    nested = spark.createDataFrame([(1, ("x", "y"))], "id int, source struct<export_id:string,stage:string>")
-    assert one(diff.rewrite_lineage(nested, {"export_id": F.lit("new")}).select("source.export_id")) == "new"
+    deep = spark.createDataFrame([(1, ("x", "y"), [[("a", 1)], None, []], {"k": ("b", None)}, "z"), (2, None, None, None, None)],
+                                 "id int, source struct<export_id:string,stage:string>, items array<array<struct<export_id:string,n:int>>>, m map<string,struct<export_id:string,n:int>>, export_id string")
+    made = diff.rewrite_lineage(deep, {"export_id": F.lit("new"), "n": F.lit(None)}).collect()
+    assert made[0].asDict(True) == {"id": 1, "source": {"export_id": "new", "stage": "y"}, "items": [[{"export_id": "new", "n": 1}], None, []], "m": {"k": {"export_id": "new", "n": None}}, "export_id": "new"}
+    assert made[1]["source"] is None and made[1]["items"] is None and diff.rewrite_lineage(deep, {"other": F.lit(1)}).schema == deep.schema
 
 
 def test_sources_and_sinks(spark, tmp_path):

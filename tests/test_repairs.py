@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tessera.operators import diff, integrity, pixels, projections, review, search
+from tessera.operators import diff, integrity, pixels, projections, review, search, text_index
 from tessera.operators.schema_rules import Rule, violations
 from tessera.sources import records, sinks
 from tessera.streaming import monitor
@@ -72,20 +72,12 @@ def test_large_boxes_and_slabs(spark):
 def test_search_texts(spark):
     docs = spark.createDataFrame([("1", "a_b"), ("2", "axb"), ("3", "none")], "doc_id string, text string")
     tokens = spark.createDataFrame([("r", "a_")], "request_id string, token string")
-    assert {r["doc_id"] for r in search.recall(docs, tokens, search.postings(docs)).collect()} == {"1", "2"}
+    assert {r["doc_id"] for r in search.recall(docs, tokens, text_index.postings(docs)).collect()} == {"1", "2"}
     assert search.phrase_query(docs, "  ").count() == 0 and search.phrase_query(docs, "a_", 0).count() == 1
     ordered = search.stable_byte_sort(spark.createDataFrame([("b",), (None,), ("é",), ("a",)], "k string"), "k")
     assert [r["k"] for r in ordered.collect()] == [None, "a", "b", "é"]
 
 
-def test_index_is_stored(spark, tmp_path):
-    docs = spark.createDataFrame([("1", "yellow carpet"), ("2", "stone wall"), ("3", "carp")], "doc_id string, text string")
-    search.write_index(docs, str(tmp_path / "index"))
-    tokens = spark.createDataFrame([("a", "carp"), ("b", "wall")], "request_id string, token string")
-    index = search.read_index(spark, str(tmp_path / "index"), ["car", "arp", "wal", "all"])
-    assert {tuple(r) for r in search.recall(docs, tokens, index).collect()} == {("a", "1"), ("a", "3"), ("b", "2")}
-
-
 def test_truncated_schema_violations(spark):
     rows = spark.createDataFrame([(1, "{}"), (2, '{"a":1}')], "id int, j string")
     rules = [Rule(f"$.f{i}", required=True) for i in range(10)]

@@ -2,9 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import monitor
+from tessera.streaming import exactly_once, monitor
 
 START = datetime(2024, 1, 1)
 
@@ -41,13 +42,25 @@ def test_windows(spark, tmp_path):
     assert monitor.session_counts(table, "ts", "30 seconds", "kind").count() == 1
 
 
-def test_stale(spark, tmp_path):
-    rows = [[("a", START), ("b", START)], [("b", START + timedelta(seconds=400))], [("b", START + timedelta(seconds=500))], [("b", START + timedelta(seconds=600))]]
-    live, table = stream(spark, tmp_path, rows, "k string, ts timestamp")
-    got = {r["k"] for r in drain(monitor.stream_stale(live, "k", "ts", 300), "silent").collect()}
-    assert got == {"a"}
-    jobs = table.groupBy("k").agg(F.max("ts").alias("heartbeat_at")).withColumn("status", F.lit("running"))
-    assert [r["k"] for r in monitor.stale_heartbeats(jobs, START + timedelta(seconds=600)).collect()] == ["a"]
+def test_stale_by_timers_and_retractions(spark, tmp_path):
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [[("r", "s", "a", "running", at(0)), ("r", "s", "b", "running", at(0)), ("r", "s", None, "running", at(0)), ("r", "t", None, "running", at(0))],
+            [("r", "s", "b", "running", at(400))],  # a, and both stages, are silent by now; timers go off in the next batch
+            [("r", "s", "b", "running", at(410))],
+            [("r", "s", "b", "running", at(500)), ("r", "t", None, "running", at(480)), ("r", "u", None, "succeeded", at(500))],  # t is heard again
+            [("r", "s", "a", "succeeded", at(650)), ("r", "s", "b", "running", at(700))]]  # a ends; s has no stale item now
+    live, table = stream(spark, tmp_path, rows, "run_id string, stage string, item string, status string, ts timestamp")
+    changes = drain(monitor.stream_stale(live, ["run_id", "stage", "item"], "status", "ts", 300), "silent")
+    changes = spark.createDataFrame(changes.collect(), changes.schema)  # the memory sink cannot be joined with itself
+    seen = sorted((r["stage"], r["item"] or "", r["change"]) for r in changes.collect())
+    assert seen == [("s", "", 1), ("s", "a", -1), ("s", "a", 1), ("t", "", -1), ("t", "", 1)]
+    assert {tuple(r) for r in monitor.current_stale_markers(changes).collect()} == {("r", "s", None)}
+    latest = table.groupBy("run_id", "stage", "item").agg(F.max("ts").alias("heartbeat_at"), F.max_by("status", "ts").alias("status")).withColumnRenamed("item", "job_id")
+    twin = monitor.stale_markers(latest.where("job_id is null"), latest.where("job_id is not null"), at(700))
+    assert {tuple(r) for r in twin.collect()} == {("r", "s", None)}
+
+
+def test_stale_markers_of_tables(spark):
     stages = spark.createDataFrame([("r", "s", "running", START), ("r", "t", "running", START)], "run_id string, stage string, status string, heartbeat_at timestamp")
     items = stages.where("stage = 's'").withColumn("job_id", F.lit("j"))
     assert {tuple(r) for r in monitor.stale_markers(stages, items, START + timedelta(hours=1)).collect()} == {("r", "s", "j"), ("r", "t", None)}
@@ -55,19 +68,58 @@ def test_stale(spark, tmp_path):
     assert [r["decision"] for r in monitor.recovery_decision(stale).collect()] == ["succeeded", "pending", "needs_review"]
 
 
-def test_dedupe_and_increments(spark, tmp_path):
+def test_status_counts_follow_each_batch(spark, tmp_path):
+    """Counts after every batch equal those of the table so far; each batch writes only its changes."""
+    batches = [[("j1", "x", "pending", 1), ("j2", "x", "pending", 1), ("j3", "y", "pending", 1)], [("j1", "x", "running", 2), ("j1", "x", "failed", 3), ("j2", "x", "pending", 2)],
+               [("j1", "x", "running", 2), ("j3", "y", None, 9), (None, "y", "failed", 9)], [("j1", "x", "pending", 4), ("j2", "x", "running", 5), ("j4", "y", "running", 1)]]
+    schema = "job string, stage string, status string, at long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "counts")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema(schema).parquet(source)
+        monitor.stream_status_counts(live, "job", "status", "at", out, str(tmp_path / "state"), "stage").awaitTermination(120)
+        got = sorted(map(tuple, monitor.current_status_counts(spark, out, "stage string, status string").collect()))
+        twin = monitor.status_counts(spark.read.parquet(source).dropna(), "job", "status", "at", "stage")
+        assert got == sorted(map(tuple, twin.collect()))
+    changes = exactly_once.committed(spark, out, "stage string, status string, n long", with_batch=True)
+    by_batch = {r["batch"]: r["count"] for r in changes.groupBy("batch").count().collect()}
+    assert by_batch[0] == 2 and 2 not in by_batch and changes.count() == 2 + 2 + 3
+
+
+def test_failure_between_write_and_commit(spark, tmp_path, monkeypatch):
+    """A batch that dies after its rows are written, and is run again, leaves one copy."""
+    schema = "k string, n int"
+    rows = [[("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("c", 3), ("d", 3)]]
+    live, _ = stream(spark, tmp_path, rows, schema)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def start():
+        return monitor.incremental(live, lambda d: d, ["k"], schema, out, state)
+
+    real, broken = exactly_once.commit_record, []
+
+    def dies(spark, path, batch, attempt, n):
+        if batch == 1 and not broken:
+            broken.append(attempt)
+            raise OSError("lost the driver")
+        real(spark, path, batch, attempt, n)
+
+    monkeypatch.setattr(exactly_once, "commit_record", dies)
+    with pytest.raises(Exception, match="lost the driver"):
+        start().awaitTermination(120)
+    assert sorted(r["k"] for r in exactly_once.committed(spark, out, schema).collect()) == ["a", "b"]
+    assert len(list((tmp_path / "out" / "data" / "batch=1").iterdir())) == 1  # written, but not committed
+    start().awaitTermination(120)
+    assert sorted(r["k"] for r in exactly_once.committed(spark, out, schema).collect()) == ["a", "b", "c", "d"]
+    assert len([p for p in (tmp_path / "out" / "data" / "batch=1").iterdir() if p.is_dir()]) == 2 and broken
+    again = spark.createDataFrame([("z", 9)], schema)
+    assert not exactly_once.commit_batch(again, 1, out) and exactly_once.committed(spark, out, schema).count() == 4
+    with pytest.raises(Exception, match="(?i)exists"):  # of two writers of one batch the second is refused
+        real(spark, out, 1, "other", 1)
+
+
+def test_dedupe(spark, tmp_path):
     live, _ = stream(spark, tmp_path, [[("a", START)], [("a", START), ("b", START)]], "k string, ts timestamp")
     assert sorted(r["k"] for r in drain(monitor.dedupe_tasks(live, "k", "ts"), "tasks").collect()) == ["a", "b"]
-    out = str(tmp_path / "out")
-
-    def known():
-        try:
-            return spark.read.parquet(out)
-        except Exception:
-            return None
-
-    q = monitor.incremental(live, lambda d: d.withColumn("n", F.length("k")), known, ["k"], out, str(tmp_path / "ckpt"))
-    q.awaitTermination(60)
-    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
     events = spark.createDataFrame([("r", "p", 1, 1), ("r", "p", 3, 2), ("r", "p", 2, 3)], "r string, p string, done int, o int")
     assert monitor.progress_regressions(events, "r", "p", "done", "o").count() == 1
