@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, text_or_empty
 
-#: Subsets of density 1/2, 1/4, ..., 1 / 2 ** SCALES; at most SUBSETS (disjoint) of each.
+#: Subsets of density 1/2, 1/4, ..., 1 / 2 ** SCALES; at most SUBSETS (disjoint) of each, and no more than half
+#: of all that there are.
 SCALES, SUBSETS = 11, 16
 #: Weight of the places of a scale that are all filled.
 LEAST_WEIGHT = 0.05
@@ -25,13 +26,20 @@ BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
 #: A lexicon of up to so many terms (8 bytes each) is sent to the texts; a larger one is joined by term.
 SENT_TERMS = 2_000_000
 
+#: The place of no terms: a hash starts from its seed, 42.
+EMPTY = 42 - (1 << 31)
+
 _ROW = ["im_a_", "im_b_"]
 
 
+def places_of(scale: int) -> int:
+    return min(SUBSETS, 1 << (scale - 1))
+
+
 def terms(text: Column) -> Column:
-    """64-bit hashes of the distinct terms: runs of letters and digits, lower-cased, in sorted order."""
+    """64-bit hashes of the distinct terms: runs of letters and digits, lower-cased."""
     found = F.array_remove(F.array_distinct(F.split(F.lower(text), BETWEEN_TERMS)), "")
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.xxhash64(t))))
+    return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
 def lexicon(docs: DataFrame, min_idf: float, max_idf: float, text_column: str = "text") -> DataFrame:
@@ -46,43 +54,49 @@ def lexicon(docs: DataFrame, min_idf: float, max_idf: float, text_column: str =
 
 
 def place_hash(kept: Column) -> Column:
-    """32 bits of the hash of sorted terms as int; null for no terms."""
-    return F.when(F.size(kept) > 0, (F.xxhash64(kept).bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+    """32 bits of the hash of sorted terms as int; EMPTY for no terms."""
+    return (F.xxhash64(kept).bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
 
 def subset_hashes(kept: Column) -> Column:
-    """The hash of each randomised subset of the sorted terms: subset ``j`` of scale ``s`` holds the terms
-    whose own hash at that scale is ``j`` modulo ``2 ** s``."""
+    """The hash of each randomised subset of the sorted terms. A term's hash is random itself: ``s`` bits of it
+    that no other scale up to the tenth uses say which of the ``2 ** s`` subsets of scale ``s`` holds the term."""
 
     def scale(s: int) -> Column:
-        own = lambda t: F.pmod(F.xxhash64(t, F.lit(s)), F.lit(1 << s))
-        some = F.filter(kept, lambda t: own(t) < SUBSETS)
+        start, mask = min(s * (s - 1) // 2, 64 - s), F.lit((1 << s) - 1).cast("long")
+        own = lambda t: F.shiftrightunsigned(t, start).bitwiseAND(mask)
+        some = F.filter(kept, lambda t: own(t) < places_of(s))
         return F.flatten(F.transform(F.array(some), lambda near: F.transform(
-            F.sequence(F.lit(0), F.lit(min(SUBSETS, 1 << s) - 1)), lambda j: place_hash(F.filter(near, lambda t: own(t) == j)))))
+            F.sequence(F.lit(0), F.lit(places_of(s) - 1)), lambda j: place_hash(F.filter(near, lambda t: own(t) == j)))))
 
     return F.concat(*(scale(s) for s in range(1, SCALES + 1)))
 
 
 def as_text(places: Column) -> Column:
-    """Eight hex digits for each place, in order; zeros for an empty subset."""
-    return F.array_join(F.transform(places, lambda x: F.when(x.isNull(), "00000000").otherwise(
-        F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0"))), "")
+    """Eight hex digits for each place, in order; 0000002a for an empty subset."""
+    return F.array_join(F.transform(places, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
 def likeness(one: Column, two: Column) -> Column:
     """The share of equal places among those that are not empty in both, 1 if all are. The places of a scale
     weigh as much as part of them is empty in both: where every subset keeps many terms, equal places
     tell copies apart only; where few keep any, they are as frequent as common terms."""
-    pairs = F.arrays_zip(one.alias("x"), two.alias("y"))
-    equal, some, start = F.lit(0.0), F.lit(0.0), 1
-    for size in [1, *(min(SUBSETS, 1 << s) for s in range(1, SCALES + 1))]:
-        own = F.slice(pairs, start, size)
-        filled = F.size(F.filter(own, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-        weight = 1 + LEAST_WEIGHT - filled / size
-        equal += weight * F.size(F.filter(own, lambda p: F.coalesce(p["x"] == p["y"], F.lit(False))))
-        some += weight * filled
-        start += size
-    return F.when(some == 0, 1.0).otherwise(equal / some)
+    state = F.zip_with(one, two, lambda x, y: F.when(x != y, 1).when(x == EMPTY, 0).otherwise(2))  # 0 empty, 1 unequal, 2 equal
+    sizes = [1, *(places_of(s) for s in range(1, SCALES + 1))]
+
+    def counted(states: Column) -> Column:
+        own = [F.slice(states, 1 + sum(sizes[:k]), size) for k, size in enumerate(sizes)]
+        return F.array(*(F.struct(F.size(F.filter(o, lambda p: p > 0)).alias("filled"), F.size(F.filter(o, lambda p: p == 2)).alias("equal"), F.lit(float(n)).alias("n")) for o, n in zip(own, sizes, strict=True)))
+
+    def add(sums: Column, scale: Column) -> Column:
+        weight = F.lit(1 + LEAST_WEIGHT) - scale["filled"] / scale["n"]
+        return F.struct((sums["equal"] + weight * scale["equal"]).alias("equal"), (sums["some"] + weight * scale["filled"]).alias("some"))
+
+    def share(sums: Column) -> Column:
+        return F.when(sums["some"] == 0, 1.0).otherwise(sums["equal"] / sums["some"])
+
+    scales = F.flatten(F.transform(F.array(state), counted))
+    return F.aggregate(scales, F.struct(F.lit(0.0).alias("equal"), F.lit(0.0).alias("some")), add, share)
 
 
 def successors(docs: DataFrame, id_column: str) -> DataFrame:
@@ -112,24 +126,24 @@ def fingerprints(texts: DataFrame, keep: DataFrame, columns: dict[str, str], car
     by the row key, which the texts are dealt by already."""
     names = list(columns.values())
     apart = texts.select(*_ROW, F.monotonically_increasing_id().alias("im_row_"), *carried, *(terms(F.col(c)).alias(n) for c, n in columns.items()))
-    whole = [place_hash(F.col(n)).alias(f"im_all_{n}") for n in names]
+    whole = [place_hash(F.sort_array(n)).alias(f"im_all_{n}") for n in names]
 
     def tag(k: int, name: str) -> Column:
         return F.transform(F.col(name), lambda t: F.struct(F.lit(k).alias("which"), t.alias("term")))
 
     tagged = F.concat(*(tag(k, n) for k, n in enumerate(names)))
-    out = apart.select(*_ROW, "im_row_", *carried, *whole, F.posexplode_outer(tagged).alias("im_pos_", "im_at_"))
-    once = [*carried, *(f"im_all_{n}" for n in names)]  # stay with the first term only
+    once = F.struct(*carried, *whole)  # reckoned before texts are taken apart; goes with the first term only
+    out = apart.select(*_ROW, "im_row_", once.alias("im_once_"), tagged.alias("im_terms_"))
+    out = out.select(*_ROW, "im_row_", "im_once_", F.posexplode_outer("im_terms_").alias("im_pos_", "im_at_"))
     first = F.coalesce(F.col("im_pos_"), F.lit(0)) == 0
-    out = out.select(*_ROW, "im_row_", first.alias("im_lead_"), *(F.when(first, F.col(c)).alias(c) for c in once),
-                     F.col("im_at_.which").alias("im_which_"), F.col("im_at_.term").alias("im_term_"))
+    out = out.select(*_ROW, "im_row_", first.alias("im_lead_"), F.when(first, F.col("im_once_")).alias("im_once_"), F.col("im_at_.which").alias("im_which_"), F.col("im_at_.term").alias("im_term_"))
     known = keep.withColumn("im_in_", F.lit(True))
     if keep.count() <= SENT_TERMS:
         known = F.broadcast(known)
     out = out.join(known, "im_term_", "left").where(F.col("im_in_") | F.col("im_lead_"))
-    gathered = out.groupBy(*_ROW, "im_row_").agg(*(F.max(c).alias(c) for c in once), *(
-        F.array_sort(F.collect_list(F.when(F.col("im_in_") & (F.col("im_which_") == k), F.col("im_term_")))).alias(n) for k, n in enumerate(names)))
-    return gathered.select(*_ROW, *carried, *(F.concat(F.array(f"im_all_{n}"), subset_hashes(F.col(n))).alias(n) for n in names))
+    gathered = out.groupBy(*_ROW, "im_row_").agg(F.first("im_once_", ignorenulls=True).alias("im_once_"), *(
+        F.sort_array(F.collect_list(F.when(F.col("im_in_") & (F.col("im_which_") == k), F.col("im_term_")))).alias(n) for k, n in enumerate(names)))
+    return gathered.select(*_ROW, *(F.col(f"im_once_.{c}").alias(c) for c in carried), *(F.concat(F.array(f"im_once_.im_all_{n}"), subset_hashes(F.col(n))).alias(n) for n in names))
 
 
 def edit_and_fingerprint(docs: DataFrame, min_idf: float = 3.0, max_idf: float = 8.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

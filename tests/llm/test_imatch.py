@@ -30,26 +30,26 @@ def plain_terms(text):
 
 
 def place(kept):
-    return f"{chained(kept, 8) & 0xFFFFFFFF:08x}" if kept else None
+    return f"{chained(kept, 8) & 0xFFFFFFFF:08x}"  # of none: the seed
 
 
 def plain_print(text, lexicon):
     every = plain_terms(text)
     kept, out = [t for t in every if t in lexicon], [place(every)]
     for s in range(1, imatch.SCALES + 1):
-        own = {t: xxhash.xxh64_intdigest(s.to_bytes(4, "little"), chained([t], 8)) for t in kept}
-        for j in range(min(imatch.SUBSETS, 1 << s)):
-            out.append(place([t for t in kept if signed(own[t]) % (1 << s) == j]))
+        start = min(s * (s - 1) // 2, 64 - s)
+        for j in range(min(imatch.SUBSETS, 1 << (s - 1))):
+            out.append(place([t for t in kept if (t % (1 << 64) >> start) % (1 << s) == j]))
     return out
 
 
 def alike(a, b):
     equal = some = 0.0
-    sizes = [1, *(min(imatch.SUBSETS, 1 << s) for s in range(1, imatch.SCALES + 1))]
+    sizes = [1, *(min(imatch.SUBSETS, 1 << (s - 1)) for s in range(1, imatch.SCALES + 1))]
     for k, size in enumerate(sizes):
         own = [(x, y) for x, y in zip(a, b, strict=True)][sum(sizes[:k]):][:size]
-        filled = sum(bool(x or y) for x, y in own)
-        equal += (1.05 - filled / size) * sum(x == y and bool(x) for x, y in own)
+        filled = sum((x, y) != ("0000002a", "0000002a") for x, y in own)
+        equal += (1.05 - filled / size) * sum(x == y != "0000002a" for x, y in own)
         some += (1.05 - filled / size) * filled
     return equal / some if some else 1.0
 
@@ -74,8 +74,7 @@ def plain(rows, min_idf=3.0, max_idf=8.0):
         following, half = follow[i, text][1], len(text) // 2
         edited = text[: len(text) - half] + following[:half]
         own, new, after = (plain_print(t, lexicon) for t in (text, edited, following))
-        show = lambda p: "".join(x or "00000000" for x in p)
-        out[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(new), round(alike(own, new), 9), round(alike(own, after), 9)] += 1
+        out[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(own), "".join(new), round(alike(own, new), 9), round(alike(own, after), 9)] += 1
     return out
 
 
