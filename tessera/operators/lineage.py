@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import hash_text
+from tessera.sources.shared import shared_folder
 
 
 def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
-    """A gapless global number from 0 in key order (unique keys): ranges of the key are numbered
-    apart and moved by the sizes of the ranges before them, so that no task sees the whole."""
-    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # 32 keys for each range, the first by a hash: cuts do not change the result, only the balance.
-    sample = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(32 * ranges).collect())
-    cuts = sample[32::32]
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    rows = rows.withColumn("range_", F.when(F.col(key).isNull(), -1).otherwise(at))
-    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
-    inside = F.row_number().over(Window.partitionBy("range_").orderBy(key)) - 1
-    return rows.withColumn("in_", inside).join(F.broadcast(base), "range_").withColumn(name, F.col("base_") + F.col("in_")).drop("range_", "in_", "base_")
+    """A gapless global number from 0 in key order (unique keys, null first). Spark deals the rows by ranges
+    of the key into a written table; each range is numbered apart and moved by the sizes of the ranges before
+    it, one row for each range. No task sees the whole, and a row costs the same however many ranges there are."""
+    spark = rows.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark, "ordinals")
+    dealt = rows.repartitionByRange(parts, F.col(key).asc_nulls_first()).withColumn("range_", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    before = F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    base = dealt.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(before, F.lit(0)).alias("base_"))
+    inside = F.row_number().over(Window.partitionBy("range_").orderBy(F.col(key).asc_nulls_first())) - 1
+    return dealt.withColumn("in_", inside).join(base, "range_").withColumn(name, F.col("base_") + F.col("in_")).drop("range_", "in_", "base_")
 
 
 def fixed_batches(rows: DataFrame, key: str, size: int = 12, prefix: str = "ai_batch_") -> DataFrame:
@@ -34,7 +35,10 @@ def fixed_batches(rows: DataFrame, key: str, size: int = 12, prefix: str = "ai_b
 
 
 def input_signature(*inputs: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", *(F.coalesce(i.cast("string"), F.lit("")) for i in inputs)), 256)
+    """SHA-256 over the inputs' texts, each with its length in bytes before it, so that fields never run together;
+    null is told apart from an empty text."""
+    framed = [F.coalesce(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(i.cast("string"))), 16, "0")), i.cast("string").cast("binary")), F.unhex(F.lit("FF" * 8))) for i in inputs]
+    return F.sha2(F.concat(*framed), 256)
 
 
 def changed_inputs(now: DataFrame, done: DataFrame, key: str, signature: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import nested, text
-from tessera.operators import diff, integrity, lineage, overrides, progress, release, review
+from tessera.operators import diff, integrity, lineage, merge, overrides, progress, release, review
 from tessera.plans.registry import query, read
 from tessera.sources import records
+from tessera.sources.shared import shared_folder
 from tessera.streaming import monitor
 
 
@@ -165,6 +166,39 @@ def upsert_orders(spark, sf_dir):
     return diff.upsert(*_versions(spark, sf_dir), "o_orderkey")
 
 
+_CHANGES = """SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, 'w' || o_custkey % 3 AS worker FROM orders WHERE o_orderkey % 4 <> 3
+UNION ALL SELECT o_orderkey, 0.0, 'w0' FROM orders WHERE o_orderkey % 40 = 1 UNION ALL SELECT -o_orderkey, 7.0, 'w' || o_custkey % 3 FROM orders WHERE o_orderkey % 5 = 0"""
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey, o_orderstatus, o_totalprice, 'w' || o_orderkey % 3 AS worker FROM orders), c AS ({_CHANGES}),
+one AS (SELECT o_orderkey, any_value(o_totalprice) AS price, any_value(worker) AS worker, count(*) AS n FROM c GROUP BY 1),
+j AS (SELECT coalesce(t.o_orderkey, one.o_orderkey) AS k, t.o_orderstatus AS s, t.o_totalprice AS p, t.worker AS w, price, one.worker AS nw, n, CASE WHEN n > 1 THEN 'ambiguous' WHEN n IS NULL THEN 'keep'
+    WHEN t.o_orderkey IS NULL THEN CASE WHEN one.worker <> 'w2' THEN 'insert' ELSE 'refused' END WHEN s = 'P' THEN 'delete' WHEN s = 'O' AND w = nw THEN 'update' ELSE 'refused' END AS a
+  FROM t FULL JOIN one USING (o_orderkey))
+SELECT 'row' AS kind, k AS o_orderkey, CASE a WHEN 'insert' THEN 'new' WHEN 'update' THEN 'F' ELSE s END AS what, round(CASE WHEN a IN ('insert', 'update') THEN price ELSE p END, 2)::DOUBLE AS o_totalprice FROM j WHERE a <> 'delete' AND NOT (p IS NULL AND a <> 'insert')
+UNION ALL SELECT 'change', c.o_orderkey, a, NULL FROM c JOIN j ON k = c.o_orderkey
+""")
+def guarded_merge(spark, sf_dir):
+    """A merge that updates only rows which are open and held by the same worker, deletes, inserts, and tells what it
+    refused; its tables are written as one snapshot and read back."""
+    orders = read(spark, sf_dir, "orders")
+    table = orders.select("o_orderkey", "o_orderstatus", "o_totalprice", F.concat(F.lit("w"), F.col("o_orderkey") % 3).alias("worker"))
+    worker = F.concat(F.lit("w"), F.col("o_custkey") % 3).alias("worker")
+    price = lambda v: F.lit(v).cast("double").alias("o_totalprice")
+    changes = orders.where("o_orderkey % 4 <> 3").select("o_orderkey", (F.col("o_totalprice") + 1).cast("double").alias("o_totalprice"), worker).unionByName(
+        orders.where("o_orderkey % 40 = 1").select("o_orderkey", price(0), F.lit("w0").alias("worker"))).unionByName(orders.where("o_orderkey % 5 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), price(7), worker))
+    clauses = [merge.Clause(merge.MATCHED, "delete", F.col("old.o_orderstatus") == "P"),
+               merge.Clause(merge.MATCHED, "update", (F.col("old.o_orderstatus") == "O") & (F.col("old.worker") == F.col("new.worker")), {"o_orderstatus": F.lit("F")}),
+               merge.Clause(merge.NEW, "insert", F.col("new.worker") != "w2", {"o_orderstatus": F.lit("new")})]
+    result, outcome = merge.merge(table, changes, "o_orderkey", clauses)
+    path = shared_folder(spark, "snapshot")
+    merge.commit_snapshot({"orders": result, "outcome": outcome}, path, merge.read_snapshot(spark, path)[0])
+    _, tables = merge.read_snapshot(spark, path)
+    rows = tables["orders"].select(F.lit("row").alias("kind"), "o_orderkey", F.col("o_orderstatus").alias("what"), F.round(F.col("o_totalprice").cast("double"), 2).alias("o_totalprice"))
+    return rows.unionByName(tables["outcome"].select(F.lit("change").alias("kind"), "o_orderkey", F.col("action").alias("what"), F.lit(None).cast("double").alias("o_totalprice")))
+
+
 @query("""
 WITH ops AS (SELECT user_id AS subject, 'tags' AS field, event_id AS seq, CASE event_type WHEN 'view' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'click' THEN 'remove' ELSE 'set' END AS op,
   ['t' || (event_id % 7), 't' || (event_id % 5)] AS vals FROM events WHERE event_type <> 'error' AND (event_type <> 'signup' OR event_id % 9 = 0)),
