@@ -83,7 +83,7 @@ def failure_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame, fa
 def manifest_issues(manifest: DataFrame, blocks: DataFrame, states: DataFrame, variants: DataFrame, failures: DataFrame) -> DataFrame:
     """Declared counts, the registry's ordered hash, and one export id in all records. manifest: one
     row (export_id, registry_snapshot_sha256, counts map<string,long>). Failures may have a
-    ``review_status``; pending ones are counted too. The registry must fit integrity.ordered_hash."""
+    ``review_status``; pending ones are counted too."""
     ids = blocks.where(F.col("block_id").rlike(BLOCK_ID)).select("block_id").distinct()
     digest = ordered_hash(ids, "block_id").select(F.concat(F.lit("sha256:"), "set_hash").alias("h"))
     one = manifest.join(ids.agg(F.count("*").alias("n"))).join(digest)  # a row each

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,14 +135,45 @@ def unsorted_lines(lines: DataFrame, by: str, number: str, value: str) -> DataFr
     return lines.withColumn("before_", before).where(F.col(value) < F.col("before_")).drop("before_")
 
 
-def ordered_hash(rows: DataFrame, key: str, max_keys: int = 1_000_000) -> DataFrame:
-    """One row: SHA-256 of the byte-sorted keys joined by line feeds. The text is put together in one
-    task, so a registry of more than ``max_keys`` keys is an error; large tables take
-    table_fingerprint."""
-    n = rows.count()
-    if n > max_keys:
-        raise ValueError(f"{n} keys are too many for one ordered hash; use table_fingerprint")
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("set_hash"))
+#: Bytes of joined keys that one row of an ordered hash holds.
+PIECE_BYTES = 1 << 16
+
+
+def ordered_hash(rows: DataFrame, key: str) -> DataFrame:
+    """One row: SHA-256 of the byte-sorted keys (null: none) joined by line feeds, of a table of any size.
+
+    Keys are put in order over ranges and joined to pieces of text there; the pieces stream through one hash.
+    SHA-256 is sequential, so the bytes pass through one task, but a piece at a time. Large tables that need no
+    fixed hash take table_fingerprint, which is spread over tasks."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = 0, [], 0
+        for batch in batches:
+            done = []
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(text)
+                size += len(text) + 1
+                if size >= PIECE_BYTES:
+                    done.append((part, number, "\n".join(held)))
+                    number, held, size = number + 1, [], 0
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["part", "number", "text"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (part, number, "\n".join(held))], ["part", "number", "text"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, between = hashlib.sha256(), b""
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                state.update(between + text.encode())
+                between = b"\n"
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["set_hash"])
+
+    keys = rows.select(F.col(key).cast("string").alias("k")).where("k is not null")
+    dealt = keys.repartitionByRange("k").sortWithinPartitions("k").select(F.spark_partition_id().alias("part"), "k")
+    pieces = dealt.mapInArrow(join, "part long, number long, text string")
+    one = pieces.repartition(1).sortWithinPartitions("part", "number").mapInArrow(digest, "set_hash string")
+    return one.agg(F.coalesce(F.max("set_hash"), F.sha2(F.lit(""), 256)).alias("set_hash"))
 
 
 def table_fingerprint(rows: DataFrame, rows_per_bucket: int = 65_536) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.functions.color import rgb_to_lab, rgb_to_oklab
 from tessera.functions.vocabulary import color_targets, vocabulary
-from tessera.operators import diff, geometry, integrity, overrides, pixels, progress, projections, release, review, search, text_index
-from tessera.plans.registry import query, read
+from tessera.operators import diff, export_rules, geometry, integrity, lineage, overrides, pixels, progress, projections, release, review, search, text_index
+from tessera.plans.registry import QUERIES, query, read
 from tessera.plans.search_queries import _PIXELS_SQL, _RGB_SQL, _pixels, part_index
 from tessera.sources import records, sinks
 from tessera.sources.shared import shared_folder
@@ -519,3 +519,88 @@ def recovery_decisions(spark, sf_dir):
     facts = items.select(F.col("job_id").alias("item"), (F.col("n") % 2 == 0).alias("output_complete"), (F.col("n") % 3).alias("recovery_attempt"))
     decided = monitor.recovery_decision(marks.where("item is not null").join(facts, "item")).select("run_id", "stage", "item", "decision")
     return decided.unionByName(marks.where("item is null").select("run_id", "stage", "item", F.lit(None).cast("string").alias("decision")))
+
+
+_FRAMED = "unhex(printf('%016x', strlen({0}))) || encode({0})"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, source FROM documents)
+SELECT 'framed' AS kind, doc_id::VARCHAR AS key, sha256({_FRAMED.format('lang')} || {_FRAMED.format('source')}) AS value FROM d
+UNION ALL SELECT 'signature', doc_id::VARCHAR, sha256(CASE WHEN doc_id % 3 = 0 THEN unhex('FFFFFFFFFFFFFFFF') WHEN doc_id % 3 = 1 THEN unhex('0000000000000000') ELSE {_FRAMED.format('lang')} END || {_FRAMED.format('source')}) FROM d
+UNION ALL SELECT 'conflict', doc_id::VARCHAR, lang FROM d WHERE doc_id % 7 = 3
+UNION ALL SELECT 'registry', (count(*) + 1)::VARCHAR, 'sha256:' || sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) FROM d
+UNION ALL SELECT 'registry', count(*)::VARCHAR, 'sha256:x' FROM d
+UNION ALL SELECT 'ordered', '', sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) FROM d
+""")
+def hash_rules(spark, sf_dir):
+    """Framed hashes and signatures (null, empty and full fields), outputs that differ for the same inputs, registries whose count
+    or ordered hash is not the declared one."""
+    docs, n = read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), F.col("doc_id")
+    field = F.when(n % 3 == 0, F.lit(None)).when(n % 3 == 1, "").otherwise(F.col("lang"))
+    key = n.cast("string").alias("key")
+    done = docs.select("doc_id", "lang", F.when(n % 7 == 3, "b").otherwise("a").alias("output"))
+    conflicts = lineage.output_conflicts(docs.withColumn("output", F.lit("a")), done, "doc_id", "lang", "output")
+    ordered = integrity.ordered_hash(docs, "doc_id")
+    right = docs.agg(F.count("*").alias("count")).join(ordered.select(F.concat(F.lit("sha256:"), "set_hash").alias("sha256")))  # a row each
+    declared = right.unionByName(right.withColumn("count", F.col("count") + 1)).unionByName(right.withColumn("sha256", F.lit("sha256:x")))
+    wrong = release.registry_hash_differs(declared, docs, "doc_id")
+    row = lambda rows, kind, k, v: rows.select(F.lit(kind).alias("kind"), k, v.alias("value"))
+    return (row(docs, "framed", key, text.framed_hash(F.col("lang"), F.col("source"))).union(row(docs, "signature", key, lineage.input_signature(field, F.col("source"))))
+            .union(row(conflicts, "conflict", key, F.col("lang"))).union(row(wrong, "registry", F.col("count").cast("string"), F.col("sha256"))).union(row(ordered, "ordered", F.lit(""), F.col("set_hash"))))
+
+
+@query("""
+SELECT 'list=' || (o_custkey % 20) AS folder, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey) || chr(10)) AS sha256 FROM orders GROUP BY o_custkey % 20
+""")
+def checksum_list_sink(spark, sf_dir):
+    """Files below a folder, their checksum list written by the sink and read back without an issue."""
+    path = _folder(spark)
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("list"), "o_orderkey")
+    rows.repartition("list").sortWithinPartitions("list", "o_orderkey").select("list", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("list").text(f"{path}/files")
+    sinks.write_checksum_list(f"{path}/files", f"{path}/list", spark)
+    return records.scan_checksum_list(spark, f"{path}/list").where("issue is null").select(F.regexp_replace("path", "/.*$", "").alias("folder"), "sha256")
+
+
+@query("""
+WITH d AS (SELECT 'r' || user_id AS review_id, 't' || user_id AS target_id, event_id AS decided_at, CASE event_type WHEN 'view' THEN 'accept' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'skip' WHEN 'signup' THEN 'retry' ELSE 'request' END AS decision, 'e' || (event_id % 5) AS e FROM events),
+l AS (SELECT review_id, target_id, arg_max(decision, decided_at) AS last FROM d GROUP BY ALL),
+f AS (SELECT review_id, e, min(decided_at) AS first_at FROM d GROUP BY ALL),
+v AS (SELECT review_id, string_agg(e, ',' ORDER BY first_at) AS es FROM f GROUP BY 1)
+SELECT 'task' AS kind, review_id AS key, CASE WHEN last = 'request' THEN 'open' ELSE 'resolved' END || ' ' || (last IN ('accept', 'edit')) || ' base,' || es AS value FROM l JOIN v USING (review_id)
+UNION ALL SELECT 'override', 'override_' || substr(sha256(target_id || chr(0) || review_id || chr(0) || decided_at), 1, 32), decision FROM d WHERE decision IN ('edit', 'skip')
+UNION ALL SELECT 'annotation', target_id, (CASE WHEN last IN ('accept', 'edit') THEN true WHEN last = 'retry' THEN false ELSE length(target_id) % 2 = 0 END)::VARCHAR FROM l
+""")
+def review_decisions(spark, sf_dir):
+    """Decisions on tasks: status and evidence, the overrides that they add, and annotations that they verify or not."""
+    events = read(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    decision = F.when(kind == "view", "accept").when(kind == "click", "edit").when(kind == "purchase", "skip").when(kind == "signup", "retry").otherwise("request")
+    decisions = events.select(F.concat(F.lit("r"), "user_id").alias("review_id"), F.col("event_id").alias("decided_at"), decision.alias("decision"), F.array(F.concat(F.lit("e"), (F.col("event_id") % 5).cast("string"))).alias("evidence"))
+    tasks = events.select(F.concat(F.lit("r"), "user_id").alias("review_id"), F.concat(F.lit("t"), "user_id").alias("target_id")).distinct().withColumns({"status": F.lit("open"), "evidence": F.array(F.lit("base"))})
+    done = review.apply_decisions(tasks, decisions)
+    made = review.decision_overrides(tasks, decisions)
+    annotations = tasks.select(F.concat(F.lit("a"), "target_id").alias("annotation_id"), F.col("target_id").alias("subject_id"), (F.length("target_id") % 2 == 0).alias("verified"))
+    told = review.unverified_annotations(annotations, tasks, decisions)
+    row = lambda rows, kind, k, v: rows.select(F.lit(kind).alias("kind"), F.col(k).alias("key"), v.alias("value"))
+    return (row(done, "task", "review_id", F.concat_ws(" ", "status", F.col("verified").cast("string"), F.array_join("evidence", ","))).union(row(made, "override", "override_id", F.col("decision")))
+            .union(row(told, "annotation", "subject_id", F.col("verified").cast("string"))))
+
+
+@query(f"""
+WITH {_PIXELS_SQL}, size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM coloured GROUP BY 1),
+q AS (SELECT image_id, count(*) FILTER (WHERE a > 0 AND image_id % 4 <> 1) AS n, any_value(w) AS w, any_value(h) AS h,
+  coalesce(min(x) FILTER (WHERE a > 0 AND image_id % 4 <> 1) = 0 OR min(y) FILTER (WHERE a > 0 AND image_id % 4 <> 1) = 0 OR max(x) FILTER (WHERE a > 0 AND image_id % 4 <> 1) = max(w) - 1 OR max(y) FILTER (WHERE a > 0 AND image_id % 4 <> 1) = max(h) - 1, false) AS off
+  FROM coloured JOIN size USING (image_id) WHERE image_id % 4 <> 2 OR (x, y) IN (SELECT (min(x), min(y)) FROM coloured) OR a = 0 GROUP BY 1)
+SELECT 'BACKGROUND_ONLY_RENDER' AS code, image_id::VARCHAR AS subject FROM q WHERE n = 0
+UNION ALL SELECT 'OBJECT_OFF_CANVAS', image_id::VARCHAR FROM q WHERE off
+UNION ALL SELECT 'OBJECT_TOO_SMALL', image_id::VARCHAR FROM q WHERE n > 0 AND n < greatest(1, (w * h) // 256)
+UNION ALL SELECT 'MISSING_TEXTURE', (1000 + k)::VARCHAR FROM (SELECT DISTINCT p_partkey % 60 AS k FROM part) WHERE k % 3 = 0
+""")
+def image_content_issues(spark, sf_dir):
+    """Pictures without an object, with one at the border, and checkers."""
+    rows = _pixels(spark, sf_dir)
+    corner = rows.agg(F.min("x").alias("x0"), F.min("y").alias("y0"))  # a row
+    rows = rows.join(corner).where("image_id % 4 <> 2 or a = 0 or (x = x0 and y = y0)").drop("x0", "y0").withColumn("a", F.when(F.col("image_id") % 4 == 1, 0).otherwise(F.col("a")))
+    out = export_rules.image_issues(pixels.quality_stats(rows), QUERIES["checker_patterns"](spark, sf_dir))
+    return out.select("code", "subject")
