@@ -15,7 +15,7 @@ version the second is refused.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import like_wildcards
 
-_COMMIT = "version long, segments array<long>, size int, buckets int"
+_COMMIT = "version long, segments array<long>, size int, buckets int, id_type string, mark string"
 #: Deltas are put together from so many on.
 MOST_SEGMENTS = 8
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A version of the index at ``path``: grams of ``size`` characters in ``buckets`` folders, and the
-    segments in the order in which they were written."""
+    """A version of the index at ``path``: grams of ``size`` characters in ``buckets`` folders, the segments in the
+    order in which they were written, the type of the ids, and the mark of the documents indexed last."""
 
     spark: SparkSession
     path: str
@@ -39,6 +39,8 @@ class TextIndex:
     segments: tuple[int, ...]
     size: int
     buckets: int
+    id_type: str
+    mark: str
 
 
 def postings(documents: DataFrame, size: int = 3, only: list[str] | None = None) -> DataFrame:
@@ -69,11 +71,11 @@ def open_index(spark: SparkSession, path: str) -> TextIndex | None:
             raise
         return None
     last = commits.orderBy(F.desc("version")).first()
-    return None if last is None else TextIndex(spark, path, last["version"], tuple(last["segments"]), last["size"], last["buckets"])
+    return None if last is None else TextIndex(spark, path, last["version"], tuple(last["segments"]), last["size"], last["buckets"], last["id_type"], last["mark"])
 
 
 def _commit(index: TextIndex) -> TextIndex:
-    row = index.spark.createDataFrame([(index.version, list(index.segments), index.size, index.buckets)], _COMMIT)
+    row = index.spark.createDataFrame([(index.version, list(index.segments), index.size, index.buckets, index.id_type, index.mark)], _COMMIT)
     row.coalesce(1).write.mode("errorifexists").parquet(f"{index.path}/commits/commit={index.version}")
     return index
 
@@ -86,13 +88,9 @@ def _read(index: TextIndex, table: str, schema: str, segments: tuple[int, ...] |
     return reader.parquet(*(f"{index.path}/{table}/segment={s}" for s in segments))
 
 
-def _id_type(index: TextIndex) -> str:
-    return dict(index.spark.read.parquet(f"{index.path}/log/segment={index.segments[-1]}").dtypes)["doc_id"]
-
-
 def _latest(index: TextIndex) -> DataFrame:
     """(doc_id, latest): the newest segment after the first that speaks of a document."""
-    return _read(index, "log", f"doc_id {_id_type(index)}", index.segments[1:]).groupBy("doc_id").agg(F.max("segment").alias("latest"))
+    return _read(index, "log", f"doc_id {index.id_type}", index.segments[1:]).groupBy("doc_id").agg(F.max("segment").alias("latest"))
 
 
 def _live(index: TextIndex, rows: DataFrame) -> DataFrame:
@@ -104,23 +102,26 @@ def _live(index: TextIndex, rows: DataFrame) -> DataFrame:
 
 def texts(index: TextIndex) -> DataFrame:
     """(doc_id, text, hash) of all documents that the index holds."""
-    return _live(index, _read(index, "log", f"doc_id {_id_type(index)}, text string, hash string")).where("text is not null").drop("segment")
+    return _live(index, _read(index, "log", f"doc_id {index.id_type}, text string, hash string")).where("text is not null").drop("segment")
 
 
 def stored_postings(index: TextIndex, grams: DataFrame | None = None) -> DataFrame:
     """(gram, doc_id); with a table of grams (column gram) only theirs, from their folders alone."""
-    rows = _read(index, "postings", f"gram string, doc_id {_id_type(index)}, bucket int")
+    rows = _read(index, "postings", f"gram string, doc_id {index.id_type}, bucket int")
     if grams is not None:
         wanted = grams.select("gram").distinct().withColumn("bucket", gram_bucket(F.col("gram"), index.buckets))
         rows = rows.join(wanted, ["bucket", "gram"], "left_semi")
     return _live(index, rows).select("gram", "doc_id")
 
 
-def _write_segment(index: TextIndex, number: int, log: DataFrame) -> None:
-    """log: (doc_id, text, hash)."""
+def _write_segment(index: TextIndex, number: int, log: DataFrame) -> bool:
+    """log: (doc_id, text, hash); whether it holds anything. Nothing more is written for an empty one."""
     log.write.mode("overwrite").parquet(f"{index.path}/log/segment={number}")
-    own = index.spark.read.schema(log.schema).parquet(f"{index.path}/log/segment={number}").where("text is not null")
-    _write_postings(index, number, postings(own.select("doc_id", "text"), index.size))
+    stored = index.spark.read.schema(log.schema).parquet(f"{index.path}/log/segment={number}")
+    if not stored.limit(1).count() and number:
+        return False
+    _write_postings(index, number, postings(stored.where("text is not null").select("doc_id", "text"), index.size))
+    return True
 
 
 def _write_postings(index: TextIndex, number: int, rows: DataFrame) -> None:
@@ -136,11 +137,17 @@ def _write_postings(index: TextIndex, number: int, rows: DataFrame) -> None:
 def create_index(documents: DataFrame, path: str, size: int = 3, buckets: int = 16) -> TextIndex:
     """Version 0 of the index of ``documents`` (doc_id, text) at a path that holds none. Rows without id
     or text are left out; of rows with one id the least text stays."""
-    index = TextIndex(documents.sparkSession, path, 0, (0,), size, buckets)
+    index = TextIndex(documents.sparkSession, path, 0, (0,), size, buckets, dict(documents.dtypes)["doc_id"], documents_mark(documents))
     _write_segment(index, 0, _logged(documents))
     return _commit(index)
 
 
+def documents_mark(documents: DataFrame) -> str:
+    """Number and combined hashes of the rows: equal for equal tables, in one pass without a shuffle of rows."""
+    one, two = F.bit_xor(F.xxhash64("doc_id", "text")), F.bit_xor(F.xxhash64(F.lit("second"), "text", "doc_id"))
+    return ":".join(str(x) for x in documents.agg(F.count("*"), one, two).first())
+
+
 def _logged(documents: DataFrame) -> DataFrame:
     own = documents.dropna(subset=["doc_id", "text"]).groupBy("doc_id").agg(F.min("text").alias("text"))
     return own.withColumn("hash", text_hash(F.col("text")))
@@ -155,10 +162,9 @@ def update_index(index: TextIndex, documents: DataFrame) -> TextIndex:
     old = texts(index).select("doc_id", F.col("hash").alias("old_hash"))
     changed = _logged(documents).join(old, "doc_id", "full_outer").where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select("doc_id", "text", "hash")
     number = max(index.segments) + 1
-    _write_segment(index, number, changed)
-    if not _read(index, "log", f"doc_id {_id_type(index)}", (number,)).limit(1).count():
+    if not _write_segment(index, number, changed):
         return index  # nothing names the empty segment
-    return _commit(TextIndex(index.spark, index.path, index.version + 1, (*index.segments, number), index.size, index.buckets))
+    return _commit(replace(index, version=index.version + 1, segments=(*index.segments, number), mark=documents_mark(documents)))
 
 
 def compact(index: TextIndex, keep: int = 0) -> TextIndex:
@@ -167,20 +173,23 @@ def compact(index: TextIndex, keep: int = 0) -> TextIndex:
     some = index.segments[keep:]
     if not some:
         return index
-    inner = TextIndex(index.spark, index.path, index.version, some, index.size, index.buckets)
+    inner = replace(index, segments=some)
     number = max(index.segments) + 1
-    log = _live(inner, _read(inner, "log", f"doc_id {_id_type(index)}, text string, hash string")).drop("segment")
+    log = _live(inner, _read(inner, "log", f"doc_id {index.id_type}, text string, hash string")).drop("segment")
     if not keep:
         log = log.where("text is not null")
     log.write.mode("overwrite").parquet(f"{index.path}/log/segment={number}")
     _write_postings(index, number, stored_postings(inner))
-    return _commit(TextIndex(index.spark, index.path, index.version + 1, (*index.segments[:keep], number), index.size, index.buckets))
+    return _commit(replace(index, version=index.version + 1, segments=(*index.segments[:keep], number)))
 
 
 def ensure_index(documents: DataFrame, path: str, size: int = 3, buckets: int = 16) -> TextIndex:
-    """The index at ``path`` brought up to ``documents``; a new one where there is none."""
+    """The index at ``path`` brought up to ``documents``; a new one where there is none. Documents with the mark of
+    those indexed last are taken for the same."""
     index = open_index(documents.sparkSession, path)
-    return create_index(documents, path, size, buckets) if index is None else update_index(index, documents)
+    if index is None:
+        return create_index(documents, path, size, buckets)
+    return index if index.mark == documents_mark(documents) else update_index(index, documents)
 
 
 def recall_indexed(index: TextIndex, tokens: DataFrame, requests: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
@@ -220,13 +229,13 @@ def posting_parity(index: TextIndex) -> DataFrame:
     """(segment, bucket, expected, stored, equal): each segment's postings against those of its own texts,
     by count and fingerprint; the texts' own hashes are checked as bucket -1."""
     mark = lambda: [F.count("*").alias("n"), F.bit_xor(F.xxhash64("gram", "doc_id")).alias("mark")]
-    log = _read(index, "log", f"doc_id {_id_type(index)}, text string, hash string")
+    log = _read(index, "log", f"doc_id {index.id_type}, text string, hash string")
     cut = None
     for number in index.segments:
         own = postings(log.where((F.col("segment") == number) & F.col("text").isNotNull()).select("doc_id", "text"), index.size).withColumn("segment", F.lit(number).cast("long"))
         cut = own if cut is None else cut.unionByName(own)
     expected = cut.groupBy("segment", gram_bucket(F.col("gram"), index.buckets).alias("bucket")).agg(*mark())
-    stored = _read(index, "postings", f"gram string, doc_id {_id_type(index)}, bucket int").groupBy("segment", "bucket").agg(*mark())
+    stored = _read(index, "postings", f"gram string, doc_id {index.id_type}, bucket int").groupBy("segment", "bucket").agg(*mark())
     both = expected.toDF("segment", "bucket", "expected", "m1").join(stored.toDF("segment", "bucket", "stored", "m2"), ["segment", "bucket"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     gone = log.groupBy("segment").agg(F.count_if(F.col("text").isNotNull()).alias("expected"), F.count_if(text_hash(F.col("text")) == F.col("hash")).alias("stored"))
