@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,23 +179,46 @@ def ordered_hash(rows: DataFrame, key: str) -> DataFrame:
 
 
 def table_fingerprint(rows: DataFrame, rows_per_bucket: int = 65_536) -> DataFrame:
-    """(n, fingerprint): independent of row order. Row hashes are dealt to buckets by their first two
-    digits (four, six, ... for larger tables, so that a bucket has about ``rows_per_bucket`` rows),
-    sorted and hashed there; 256 buckets at most are then hashed to one, until one is left. Repeated
-    rows share a bucket: they are counted first, and the count is hashed with the row."""
+    """(n, fingerprint): independent of row order. Row hashes are dealt to 256 buckets by their first two digits,
+    put in order there and streamed through a hash for each bucket: a line ``hash:count`` for each different row.
+    The buckets' hashes are hashed to one. The same rule holds for tables of any size: ``rows_per_bucket`` only
+    says how many tasks share the buckets. A task sorts (and spills) hashes, it collects none."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, state, n, last, count, held = None, None, 0, None, 0, []
+        for batch in chain(batches, [None]):  # None: the end
+            done = []
+            runs = pc.run_end_encode(batch.column(0)) if batch is not None and len(batch) else None
+            ends = runs.run_ends.to_pylist() if runs is not None else []
+            for h, repeats in zip(runs.values.to_pylist() if runs is not None else [], (b - a for a, b in zip([0, *ends], ends)), strict=False):
+                if h == last:  # a run goes on in the next batch
+                    count += repeats
+                    continue
+                if last is not None:
+                    held.append(f"{last}:{count}")
+                    n += count
+                if h[:2] != bucket:
+                    if bucket is not None:
+                        state.update("".join(held).encode())
+                        done.append((bucket, n, state.hexdigest()))
+                    bucket, state, n, held = h[:2], hashlib.sha256(), 0, []
+                last, count = h, repeats
+            if batch is None and last is not None:
+                state.update(("".join(held) + f"{last}:{count}").encode())
+                done.append((bucket, n + count, state.hexdigest()))
+            elif held:
+                state.update("".join(held).encode())
+                held = []
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["b", "n", "h"])
+
     named = F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
-    digits = 2
-    total = rows.count()
-    while total > rows_per_bucket * 16**digits:
-        digits += 2
-    level = rows.select(F.sha2(named, 256).alias("h")).groupBy("h").agg(F.count("*").alias("n")).select(
-        F.substring("h", 1, digits).alias("b"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("h"), "n")
-    while digits >= 0:
-        hashed = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-        level = level.groupBy("b").agg(F.sum("n").alias("n"), hashed.alias("h")).select(
-            F.substring("b", 1, max(0, digits - 2)).alias("b"), F.concat_ws(":", "b", "h").alias("h"), "n", F.col("h").alias("own"))
-        digits -= 2
-    return level.select("n", F.col("own").alias("fingerprint")) if total else rows.sparkSession.sql("SELECT 0L AS n, sha2('', 256) AS fingerprint")
+    tasks = min(256, 1 + rows.count() // rows_per_bucket)
+    hashed = rows.select(F.unhex(F.sha2(named, 256)).alias("h"))
+    dealt = hashed.repartition(tasks, F.substring("h", 1, 1)).sortWithinPartitions("h").select(F.lower(F.hex("h")).alias("h"))
+    buckets = dealt.mapInArrow(digest, "b string, n long, h string")
+    line = F.concat_ws(":", "b", "h")
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("fingerprint"))
 
 
 def duplicate_content(rows: DataFrame, key: str, *content: str) -> DataFrame:
