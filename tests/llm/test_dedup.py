@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -158,6 +159,19 @@ def test_pipeline_drops_near_copies_of_080(spark):
     assert kept == {d for d, c in plain_similar(rows) if d == c} and not kept & {2, 3, 4, 5}
 
 
+def test_pipeline_links_by_fingerprints(spark):
+    """Texts of one fingerprint whose sets of shingles are unlike: only SimHash links them."""
+    import corpus_pipeline
+
+    words = prose(900, 11).split()
+    long = " ".join(words * 400)  # the same shingles again and again: repeats weigh, sets do not
+    rows = [(1, long), (2, long + " " + prose(901, 30)), (3, prose(902, 60))]
+    prints = simhash.fingerprints(pa.array([t for _, t in rows]), 5)
+    bits = np.bitwise_count(prints ^ prints[0]).tolist()
+    assert bits[1] <= 4 < bits[2] and similar.similar_groups(table(spark, rows)).select("component_id").distinct().count() == 3
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, table(spark, rows), "").collect()} == {2, 3}
+
+
 ITEMS = [(1, prose(100, 30)), (2, prose(101, 17) + "!"), (3, "Three short words"), (4, None), (5, " ,. "), (6, prose(102, 55)), (6, prose(102, 55)), (7, prose(103, 30))]
 
 
