@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import task_count
+
 
 def issues(rows: DataFrame, code: str, subject: Column | str, detail: Column | str | None = None) -> DataFrame:
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
@@ -83,12 +85,20 @@ def exactly_one(rows: DataFrame, group: str, flag: Column, value: str, declared:
 
 
 def member_mismatch(parents: DataFrame, children: DataFrame, key: str, declared: str, member: str) -> DataFrame:
-    """(key, member, side): members that are declared but absent, or present but not declared. Two
-    anti-joins of single rows: no set is collected."""
-    said = parents.select(key, F.explode(declared).alias(member)).distinct()
-    real = children.select(key, member).distinct()
-    return (said.join(real, [key, member], "left_anti").withColumn("side", F.lit("declared"))
-            .unionByName(real.join(said, [key, member], "left_anti").withColumn("side", F.lit("actual"))))
+    """(key, member, side): members that are declared but absent, or present but not declared. Both sides are
+    dealt once, to as many tasks as their rows ask for, and put together by (key, member): no set is collected.
+    A null key or member is on no other side."""
+    said = parents.select(key, F.explode(declared).alias(member))
+    real = children.select(key, member)
+    size = parents.agg(F.sum(F.greatest(F.size(declared), F.lit(0)))).first()[0] or 0
+    both = said.withColumn("said_", F.lit(True)).unionByName(real.withColumn("said_", F.lit(False)))
+    dealt = both.repartition(task_count(size + children.count()), key, member)
+    # Of a null pair both sides stay; the others are on one side if all their rows are.
+    null = F.col(key).isNull() | F.col(member).isNull()
+    sides = dealt.groupBy(key, member).agg(F.bool_or("said_").alias("any_"), F.bool_and("said_").alias("all_"))
+    one = sides.where((F.col("any_") == F.col("all_")) | null)
+    side = F.when(F.col("any_") == F.col("all_"), F.array(F.when(F.col("any_"), "declared").otherwise("actual"))).otherwise(F.array(F.lit("declared"), F.lit("actual")))
+    return one.select(key, member, F.explode(side).alias("side"))
 
 
 def domain_violations(rows: DataFrame, key: str, entity: str, properties: str, entities: DataFrame, domain: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows that a task of a keyed step takes, about.
+ROWS_PER_TASK = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,3 +28,15 @@ def shared_root(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def task_count(rows: int) -> int:
+    """Partitions for so many rows: a task's share, and so its memory, does not grow with the table."""
+    return 1 + rows // ROWS_PER_TASK
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written once below the shared folder, for steps that read them several times."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -5,7 +5,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import integrity
+from tessera.operators import integrity, lineage
+from tessera.sources import shared
 
 
 def fingerprint(lines):
@@ -25,3 +26,29 @@ def test_fingerprints_follow_one_rule_at_any_size(spark):
     for per_bucket in (1, 50, 1 << 16):
         assert tuple(integrity.table_fingerprint(rows, per_bucket).first()) == want
     assert tuple(integrity.table_fingerprint(rows.where("k > 9999")).first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_a_task_of_member_mismatch_has_bounded_rows(spark, monkeypatch):
+    """Partitions follow the number of rows; nulls and repeats count as before."""
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 100)
+    parents = spark.range(300).select("id", F.array(F.lit(1), F.lit(1), F.lit(2), F.lit(None).cast("int")).alias("said")).unionByName(spark.sql("SELECT NULL AS id, array(7) AS said"))
+    children = spark.range(1, 300).select("id", F.lit(1).alias("m")).unionByName(spark.sql("SELECT 5L AS id, 9 AS m UNION ALL SELECT 5, NULL UNION ALL SELECT NULL, 7"))
+    found = integrity.member_mismatch(parents, children, "id", "said", "m")
+    assert found.rdd.getNumPartitions() > 10
+    want = {(0, 1, "declared"), (5, 9, "actual"), (5, None, "actual"), (None, 7, "declared"), (None, 7, "actual"), *((i, m, "declared") for i in range(300) for m in (2, None))}
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_lineage_looks_up_distinct_rows(spark, monkeypatch):
+    """Many jobs of one signature are one row in the join; annotations meet artifacts in tasks by their number."""
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 10)
+    ids = F.array(F.lit("x"))
+    many = spark.range(40)
+    jobs = many.select(F.lit("s").alias("input_signature"), ids.alias("ids"))
+    requests = many.select(F.concat(F.lit("q"), "id").alias("request_id"), F.when(F.col("id") == 3, "t").otherwise("s").alias("input_signature"), ids.alias("ids"))
+    artifacts = many.select(F.concat(F.lit("a"), "id").alias("artifact_id"), ids.alias("ids"), F.array(F.struct(F.col("id").cast("string").alias("annotation_id"), F.lit("c").alias("content"))).alias("items"))
+    annotations = many.select(F.col("id").cast("string").alias("annotation_id"), F.when(F.col("id") == 4, "d").otherwise("c").alias("content"))
+    found = lineage.lineage_violations(requests, jobs, artifacts, annotations)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("REQUEST_WITHOUT_JOB", "q3"), ("ANNOTATION_DIFFERS", "4")}
+    assert plan.count("Aggregate [") >= 2 and "RepartitionByExpression [annotation_id" in plan and ", 5" in plan
