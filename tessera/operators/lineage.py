@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import hash_text
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import shared_folder, task_count
 
 
 def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
@@ -120,13 +120,15 @@ def error_class(code: Column, retired: dict[str, str] = RETIRED, fatal: list[str
 def lineage_violations(requests: DataFrame, jobs: DataFrame, artifacts: DataFrame, annotations: DataFrame) -> DataFrame:
     """(code, subject): requests without a job of the same signature and ids, artifacts without a
     request of the same ids, annotations that differ from their artifact in anything but verified.
-    Id lists are compared as sets."""
+    Id lists are compared as sets. What is looked up is made distinct first, and annotations meet their
+    artifacts in as many tasks as there are rows for."""
     ids = lambda t, c: t.withColumn("ids_", F.array_sort(F.array_distinct(c)))
     q, j, a = ids(requests, "ids"), ids(jobs, "ids"), ids(artifacts, "ids")
-    one = q.join(j.select("input_signature", "ids_"), ["input_signature", "ids_"], "left_anti").select(F.lit("REQUEST_WITHOUT_JOB").alias("code"), F.col("request_id").alias("subject"))
-    two = a.join(q.select("ids_"), "ids_", "left_anti").select(F.lit("ARTIFACT_WITHOUT_REQUEST").alias("code"), F.col("artifact_id").alias("subject"))
+    one = q.join(j.select("input_signature", "ids_").distinct(), ["input_signature", "ids_"], "left_anti").select(F.lit("REQUEST_WITHOUT_JOB").alias("code"), F.col("request_id").alias("subject"))
+    two = a.join(q.select("ids_").distinct(), "ids_", "left_anti").select(F.lit("ARTIFACT_WITHOUT_REQUEST").alias("code"), F.col("artifact_id").alias("subject"))
     made = artifacts.select(F.explode("items").alias("item")).select("item.annotation_id", F.col("item.content").alias("made_"))
-    three = annotations.join(made, "annotation_id", "left").where(~F.col("content").eqNullSafe(F.col("made_"))).select(F.lit("ANNOTATION_DIFFERS").alias("code"), F.col("annotation_id").alias("subject"))
+    tasks = task_count(annotations.count())
+    three = annotations.repartition(tasks, "annotation_id").join(made.repartition(tasks, "annotation_id"), "annotation_id", "left").where(~F.col("content").eqNullSafe(F.col("made_"))).select(F.lit("ANNOTATION_DIFFERS").alias("code"), F.col("annotation_id").alias("subject"))
     return one.unionByName(two).unionByName(three)
 
 
