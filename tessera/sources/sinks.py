@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators.integrity import duplicate_keys
 from tessera.operators.review import override_violations
 from tessera.sources.records import release_path, scan_file_inventory
+from tessera.sources.shared import task_count
 
 
 def canonical_lines(rows: DataFrame) -> Column:
@@ -77,4 +78,4 @@ def write_manual_package(records: DataFrame, path: str, kind: str = "schema_id",
         wrong = duplicate_keys(records, kind, key).limit(1).count() + override_violations(records.withColumnsRenamed({kind: "schema_id", key: "record_id"}), **targets).limit(1).count()
         if wrong:
             raise ValueError("manual records repeat or name missing targets")
-    records.repartitionByRange(F.col(kind), F.col(key)).sortWithinPartitions(kind, key).write.mode("overwrite").partitionBy(kind).json(path)
+    records.repartitionByRange(task_count(records.count()), F.col(kind), F.col(key)).sortWithinPartitions(kind, key).write.mode("overwrite").partitionBy(kind).json(path)
