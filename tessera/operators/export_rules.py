@@ -14,6 +14,7 @@ from tessera.functions.text import PATTERNS, canonical_key, safe_path
 from tessera.operators.integrity import all_issues, duplicate_keys, exactly_one, full_comparison, issues, member_mismatch, missing_evidence, ordered_hash, orphans, parent_mismatch
 from tessera.operators.projections import tint_rule
 from tessera.sources.records import parse_checksum_list
+from tessera.sources.shared import stored
 
 # Shape of an entity id.
 BLOCK_ID = r"^[a-z0-9_.-]+:[a-z0-9_./-]+$"
@@ -200,23 +201,34 @@ def checksum_issues(lines: DataFrame, inventory: DataFrame, exports: DataFrame)
 
 def manifest_document_issues(manifests: DataFrame, schemas: DataFrame) -> DataFrame:
     """Manifests as JSON texts (export, value) and the schemas that they list. schemas: (schema_id,
-    value) as JSON texts; their hashes are over the text."""
+    value) as JSON texts; their hashes are over the text. Each text is parsed once, into a written table; the
+    schemas' hashes are compared with each listed pair once, not with each manifest."""
     parsed = manifests.withColumn("v_", F.try_parse_json("value"))
     kind = F.schema_of_variant("v_")
-    good = parsed.where(F.col("v_").isNotNull() & kind.startswith("OBJECT")).select(
-        "export", F.try_variant_get("v_", "$.status", "string").alias("status"), F.try_variant_get("v_", "$.platform.os_name", "string").alias("os"), F.try_variant_get("v_", "$.platform.architecture", "string").alias("arch"),
-        F.try_variant_get("v_", "$.platform", "variant").isNotNull().alias("has_platform"), F.from_json("value", "schema_inventory array<struct<schema_id:string,schema_sha256:string>>")["schema_inventory"].alias("listed"))
+    get = lambda path: F.try_variant_get("v_", path, "string")
+    listing = F.from_json("value", "schema_inventory array<struct<schema_id:string,schema_sha256:string>>")["schema_inventory"]
+    parsed = stored(parsed.select(
+        "export", F.col("v_").isNotNull().alias("read"), F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("object"), get("$.status").alias("status"), get("$.platform.os_name").alias("os"),
+        get("$.platform.architecture").alias("arch"), F.try_variant_get("v_", "$.platform", "variant").isNotNull().alias("has_platform"), listing.alias("listed")), "manifests")
+    good = parsed.where("object")
     listed = good.where("listed is not null").select("export", F.explode("listed").alias("s")).select("export", "s.*")
     real = schemas.select("schema_id", F.concat(F.lit("sha256:"), F.sha2("value", 256)).alias("real_"))
-    read = schemas.withColumn("v_", F.try_parse_json("value"))
+    # A schema may be there several times: an issue for each.
+    pairs = listed.where("schema_id is not null").select("schema_id", "schema_sha256").distinct().join(real, "schema_id").where(~F.col("schema_sha256").eqNullSafe(F.col("real_")))
+    wrong = stored(pairs.groupBy("schema_id", "schema_sha256").agg(F.count("*").cast("int").alias("times")), "wrong-schemas").toDF("id_", "hash_", "times")
+    wrong = listed.join(wrong, (F.col("schema_id") == F.col("id_")) & F.col("schema_sha256").eqNullSafe(F.col("hash_")))
+    read = schemas.select("schema_id", F.try_parse_json("value").alias("v_"))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    if_ = lambda test, code, detail=F.lit(None): F.when(test, F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))
+    found = F.array_compact(F.array(
+        if_(~F.col("read"), "MANIFEST_READ_FAILED"), if_(F.col("read") & ~F.col("object"), "MANIFEST_NOT_OBJECT"), if_(F.col("object") & (F.col("status") == "failed"), "FAILED_EXPORT_NOT_ACCEPTED"),
+        if_(F.col("object") & F.col("listed").isNotNull() & (F.col("listed.schema_id") != F.array(*map(F.lit, SCHEMA_IDS))), "SCHEMA_INVENTORY_ORDER"),
+        if_(F.col("object") & F.col("has_platform") & no(F.col("os").isin("Windows", "Linux")), "PLATFORM_UNSUPPORTED", F.col("os")),
+        if_(F.col("object") & F.col("has_platform") & no(F.col("arch") == "x86_64"), "PLATFORM_ARCHITECTURE_UNSUPPORTED", F.col("arch"))))
     return all_issues(
-        _of(parsed.where("v_ is null"), "MANIFEST_READ_FAILED"), _of(parsed.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "MANIFEST_NOT_OBJECT"),
-        _of(good.where("status = 'failed'"), "FAILED_EXPORT_NOT_ACCEPTED"),
-        _of(good.where(F.col("listed").isNotNull() & (F.col("listed.schema_id") != F.array(*map(F.lit, SCHEMA_IDS)))), "SCHEMA_INVENTORY_ORDER"),
-        _of(listed.join(real, "schema_id").where(~F.col("schema_sha256").eqNullSafe(F.col("real_"))), "SCHEMA_INVENTORY_HASH_MISMATCH", "schema_id"),
-        issues(read.where("v_ is null"), "SCHEMA_READ_FAILED", "schema_id"), issues(read.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "SCHEMA_NOT_OBJECT", "schema_id"),
-        _of(good.where(F.col("has_platform") & ~F.coalesce(F.col("os").isin("Windows", "Linux"), F.lit(False))), "PLATFORM_UNSUPPORTED", "os"),
-        _of(good.where(F.col("has_platform") & ~F.col("arch").eqNullSafe(F.lit("x86_64"))), "PLATFORM_ARCHITECTURE_UNSUPPORTED", "arch"))
+        parsed.select("export", F.explode(found).alias("f")).select("f.code", F.col("export").cast("string").alias("subject"), "f.detail"),
+        _of(wrong.select("export", "schema_id", F.explode(F.array_repeat(F.lit(1), F.col("times")))), "SCHEMA_INVENTORY_HASH_MISMATCH", "schema_id"),
+        issues(read.where("v_ is null"), "SCHEMA_READ_FAILED", "schema_id"), issues(read.where(F.col("v_").isNotNull() & ~kind.startswith("OBJECT")), "SCHEMA_NOT_OBJECT", "schema_id"))
 
 
 # Issues that fail an export.

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.operators import integrity, lineage
+from tessera.operators import export_rules, integrity, lineage
 from tessera.sources import shared
 
 
@@ -52,3 +52,16 @@ def test_lineage_looks_up_distinct_rows(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("REQUEST_WITHOUT_JOB", "q3"), ("ANNOTATION_DIFFERS", "4")}
     assert plan.count("Aggregate [") >= 2 and "RepartitionByExpression [annotation_id" in plan and ", 5" in plan
+
+
+def test_manifests_are_parsed_once(spark):
+    """The issues come from a written table; a schema that is there twice gives two issues."""
+    text = '{"status":"failed","platform":{"os_name":"Plan9"},"schema_inventory":[{"schema_id":"export-block.v1","schema_sha256":"sha256:0"},{"schema_id":"none"}]}'
+    manifests = spark.createDataFrame([("a", text), ("b", "{"), ("c", "[1]"), ("d", None), ("e", '{"platform":null}')], "export string, value string")
+    schemas = spark.createDataFrame([("export-block.v1", "{}"), ("export-block.v1", "{} "), ("s", "{"), ("t", "7")], "schema_id string, value string")
+    found = export_rules.manifest_document_issues(manifests, schemas)
+    assert found._jdf.queryExecution().analyzed().toString().count("try_parse_json") <= 2  # of the schemas alone
+    got = sorted((r["code"], r["subject"], r["detail"]) for r in found.where("subject <> 'e'").collect())
+    assert got == [("FAILED_EXPORT_NOT_ACCEPTED", "a", None), ("MANIFEST_NOT_OBJECT", "c", None), ("MANIFEST_READ_FAILED", "b", None), ("MANIFEST_READ_FAILED", "d", None), ("PLATFORM_ARCHITECTURE_UNSUPPORTED", "a", None),
+                   ("PLATFORM_UNSUPPORTED", "a", "Plan9"), ("SCHEMA_INVENTORY_HASH_MISMATCH", "a", "export-block.v1"), ("SCHEMA_INVENTORY_HASH_MISMATCH", "a", "export-block.v1"), ("SCHEMA_INVENTORY_ORDER", "a", None),
+                   ("SCHEMA_NOT_OBJECT", "t", None), ("SCHEMA_READ_FAILED", "s", None)]
