@@ -38,12 +38,13 @@ def record_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame) ->
 
 
 def mapping_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame, failures: DataFrame) -> DataFrame:
-    """Default states, and how states, variants and failures of a block fit together."""
+    """Default states, and how states, variants and failures of a block fit together. States of blocks and the
+    blocks' first variants are written once, as most rules read them."""
     with_states = blocks.join(states.select("block_id").distinct(), "block_id", "left_semi")
     found = [issues(blocks.join(states.select("block_id").distinct(), "block_id", "left_anti"), "BLOCK_HAS_NO_STATES", "block_id")]
     legal = states.select("block_id", F.col("state_id").alias("default_state_id"))
     found.append(issues(with_states.join(legal, ["block_id", "default_state_id"], "left_anti"), "DEFAULT_STATE_NOT_LEGAL", "block_id", "default_state_id"))
-    own = states.join(with_states.select("block_id"), "block_id", "left_semi")
+    own = stored(states.join(with_states.select("block_id"), "block_id", "left_semi"), "own-states")
     found.append(issues(exactly_one(own, "block_id", F.col("is_default"), "state_id", with_states, "default_state_id"), "DEFAULT_STATE_UNIQUE_INVALID", "block_id", "n"))
     numbers = with_states.select("block_id").join(variants.groupBy("block_id").agg(F.count("*").alias("n")), "block_id", "left")
     found.append(issues(numbers.where("coalesce(n, 0) <> 1"), "BLOCK_VARIANT_COUNT_INVALID", "block_id", "n"))
@@ -53,7 +54,7 @@ def mapping_issues(blocks: DataFrame, states: DataFrame, variants: DataFrame, fa
     found.append(issues(mapped.select("state_id", "block_id", F.explode("variant_ids").alias("reference")).join(targets, ["reference", "block_id"], "left_anti"), "STATE_VARIANT_REFERENCE_INVALID", "state_id", "reference"))
     found.append(issues(own.where("mapping_status = 'skipped' and size(variant_ids) > 0"), "SKIPPED_STATE_HAS_VARIANT", "state_id"))
     first = variants.groupBy("block_id").agg(F.min_by(F.struct("variant_id", "status", "canonical_state_id", "represented_state_ids"), "variant_id").alias("v"))
-    first = with_states.select("block_id", "default_state_id").join(first, "block_id").select("block_id", "default_state_id", "v.*")
+    first = stored(with_states.select("block_id", "default_state_id").join(first, "block_id").select("block_id", "default_state_id", "v.*"), "first-variants")
     selected, other = first.where("status = 'selected'"), first.where("not status <=> 'selected'")
     wrong = member_mismatch(selected, own.join(selected.select("block_id"), "block_id", "left_semi"), "block_id", "represented_state_ids", "state_id")
     found.append(issues(wrong.select("block_id").distinct(), "REPRESENTED_STATE_SET_INVALID", "block_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import diff, export_rules, integrity, lineage, overrides, projections, release, review, search
 from tessera.operators.schema_rules import Rule, violations
 from tessera.plans.registry import query, read
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import shared_folder, stored
 
 _BLOCK_ID = "CASE WHEN p_partkey % 101 = 100 THEN concat('Bad Id ', p_partkey) WHEN p_partkey % 103 = 102 THEN 'm:p0' ELSE concat('m:p', p_partkey) END"
 BLOCKS = f"""SELECT p_partkey AS n, {_BLOCK_ID} AS block_id, CASE WHEN p_partkey % 97 = 96 THEN 'other' ELSE 'e' END AS export_id, concat('m:p', p_partkey, '[k=', p_size % 7, ']') AS default_state_id,
@@ -106,7 +106,9 @@ UNION ALL SELECT 'SKIPPED_VARIANT_FAILURE_MISSING', variant_id, NULL FROM oth WH
 UNION ALL SELECT 'SKIPPED_BLOCK_STATE_MAPPING_INVALID', state_id, NULL FROM own WHERE block_id IN (SELECT block_id FROM oth) AND NOT (mapping_status = 'skipped' AND variant_ref IS NULL)
 """)
 def export_mapping_issues(spark, sf_dir):
-    return export_rules.mapping_issues(_blocks(spark, sf_dir), _states(spark, sf_dir), _variants(spark, sf_dir), _failures(spark, sf_dir))
+    """The made tables are written once and read by all rules."""
+    states = stored(_states(spark, sf_dir), "states")
+    return export_rules.mapping_issues(_blocks(spark, sf_dir), states, stored(_variants(spark, sf_dir), "variants"), _failures(spark, sf_dir))
 
 
 @query(_CTE + """, sc AS (SELECT * FROM failures WHERE scope <> 'export'), st AS (SELECT * FROM sc WHERE scope = 'state'), va AS (SELECT * FROM sc WHERE scope IN ('variant', 'render'))

@@ -65,3 +65,12 @@ def test_manifests_are_parsed_once(spark):
     assert got == [("FAILED_EXPORT_NOT_ACCEPTED", "a", None), ("MANIFEST_NOT_OBJECT", "c", None), ("MANIFEST_READ_FAILED", "b", None), ("MANIFEST_READ_FAILED", "d", None), ("PLATFORM_ARCHITECTURE_UNSUPPORTED", "a", None),
                    ("PLATFORM_UNSUPPORTED", "a", "Plan9"), ("SCHEMA_INVENTORY_HASH_MISMATCH", "a", "export-block.v1"), ("SCHEMA_INVENTORY_HASH_MISMATCH", "a", "export-block.v1"), ("SCHEMA_INVENTORY_ORDER", "a", None),
                    ("SCHEMA_NOT_OBJECT", "t", None), ("SCHEMA_READ_FAILED", "s", None)]
+
+
+def test_mapping_rules_read_written_tables(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(export_rules, "stored", lambda rows, name: names.append(name) or rows)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    export_rules.mapping_issues(empty("block_id string, default_state_id string"), empty("block_id string, state_id string, is_default boolean, mapping_status string, variant_ids array<string>"),
+                                empty("block_id string, variant_id string, status string, canonical_state_id string, represented_state_ids array<string>"), empty("variant_id string"))
+    assert names == ["own-states", "first-variants"]
