@@ -5,14 +5,15 @@ backward from the end: the forward score is the exact best completion of a parti
 first N complete paths that leave the queue are the N best, in order.
 
 A place that no piece of the model reaches over cuts the lattice: the texts between such places
-(units) are searched alone, once per worker, and their N best lists are added up along the text.
-Adding keeps the N best exact: a sum outside the N best of a prefix is outside those of the text.
+(units) are segmented alone. The forward pass gives each unit's best segmentation and what its second best
+loses, about once per worker; of each text the units that lose least are searched backward, and their N best
+lists are added up. Adding keeps the N best exact: a sum outside the N best of some units is outside
+those of the text.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -24,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import by_bytes, distinct_pieces, model, texts_of
+from tessera.llm.tokens import by_bytes, model, texts_of
 
-#: Entries in a worker's tables of units and of words of several units; a full one is emptied.
-CACHE_ENTRIES, CACHE_WORDS = 400_000, 60_000
+#: Entries in a worker's table of units; a full one is emptied.
+CACHE_ENTRIES = 900_000
 #: Bytes of text that are segmented at once.
 SLICE_BYTES = 4 << 20
 SPACE = "▁"
@@ -73,8 +74,21 @@ class PieceLattice:
         size = [len(x) for x in self.spelling]
         self.spelled_size, self.spelled_start = np.array(size, np.int64), np.cumsum([0, *size])[:-1]
         self.spelled_bytes = np.frombuffer(b"".join(self.spelling), np.uint8)
-        self.units: dict[str, tuple[tuple[float, bytes], ...]] = {}
-        self.words: dict[str, list[tuple[float, bytes]]] = {}
+        #: ``joined`` as a matrix: a class for each character on the left and on the right, 0 for those that join nothing.
+        left, right = ({c: i for i, c in enumerate(sorted({pair[side] for pair in self.joined}), 1)} for side in (0, 1))
+        self.left, self.right = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+        for table, classes in ((self.left, left), (self.right, right)):
+            table[[ord(c) for c in classes]] = list(classes.values())
+        self.joins = np.zeros((len(left) + 1, len(right) + 1), bool)
+        for a, b in self.joined:
+            self.joins[left[a], right[b]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table of units: a number for each; by number the best score, what the second best loses, and the
+        best ids, one unit's after the other's."""
+        self.units: dict[str, int] = {}
+        self.best, self.loss, self.ends, self.ids = array("d"), array("d"), array("q", [0]), array("I")
 
     def _fallback(self, char: str) -> tuple[tuple[int, ...], float]:
         raw = char.encode("utf-8")
@@ -139,6 +153,38 @@ class PieceLattice:
                 push(queue, (-best[start] - gain, start, gain, (ids, path)))
         return found
 
+    def forward(self, unit: str) -> tuple[float, float, list[int]]:
+        """The best segmentation's score, what the second best loses (infinity: there is none) and the best one's ids:
+        what ``search`` finds first, by the forward pass alone."""
+        n, pieces, low = len(unit), self.pieces, float("-inf")
+        if n == 1:
+            (score, ids), = self.search(unit)
+            return score, float("inf"), list(ids)
+        best, second, back = [low] * (n + 1), [low] * (n + 1), [(0, ())] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            children, so_far = self.trie[0], best[start]
+            reach = [(start + 1, self._fallback(unit[start]))] if unit[start] not in pieces else []
+            for end in range(start, n):
+                node = children.get(unit[end])
+                if node is None:
+                    break
+                children, hit = node
+                if hit is not None:
+                    reach.append((end + 1, hit))
+            for end, (ids, gain) in reach:
+                score = so_far + gain
+                if score > best[end]:  # of equal ones the earliest start stays, which is what the queue of ``search`` takes first
+                    second[end] = max(best[end], second[start] + gain)
+                    best[end], back[end] = score, (start, ids)
+                elif score > second[end]:
+                    second[end] = score
+        out, place = [], n
+        while place:
+            place, ids = back[place]
+            out.append(ids)
+        return best[n], best[n] - second[n], [i for ids in reversed(out) for i in ids]
+
     def add(self, left: list, right: list) -> list:
         """The N best sums of two N best lists."""
         if len(right) == 1:
@@ -195,58 +241,58 @@ class PieceLattice:
             return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_string())
         return pc.replace_substring_regex(pc.replace_substring(texts, SPACE, " "), r"\A ", "")
 
-    def _unit(self, unit: str) -> tuple[tuple[float, bytes], ...]:
-        found = self.units.get(unit)
-        if found is None:
-            found = self.units[unit] = tuple([(s, array("I", ids).tobytes()) for s, ids in self.search(unit)])
-        return found
-
-    def _word(self, word: str) -> tuple[tuple[float, bytes], ...] | list[tuple[float, bytes]]:
-        """``word`` with the ids as bytes, from the table of units."""
-        found = self.units.get(word)  # most words are one unit
-        if found is None:
-            found = self.words.get(word)
-        if found is None:
-            units = self.cut(word)
-            found = self._unit(units[0])
-            for unit in units[1:]:
-                found = self.add(found, self._unit(unit))
-            if len(units) > 1:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """The number of each unit in the table; units that it lacks go through ``forward``."""
+        if len(self.units) > CACHE_ENTRIES:
+            self._forget()
+        known = self.units
+        for unit in units:
+            if unit not in known:
+                score, loss, ids = self.forward(unit)
+                known[unit] = len(known)
+                self.best.append(score)
+                self.loss.append(loss)
+                self.ids.extend(ids)
+                self.ends.append(len(self.ids))
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def cut_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Offsets of each whole text's units, each unit's index, the distinct units: ``cut`` of all texts at once."""
+        none, space = (pa.scalar(x, pa.large_string()) for x in ("", SPACE))
+        marked = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), none, space), pc.replace_substring(texts, " ", SPACE), none)
+        of_text = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset:marked.offset + len(marked) + 1] if len(marked) else np.zeros(1, np.int64)
+        raw = bytes(memoryview(marked.buffers()[2])[of_text[0]:of_text[-1]]) if of_text[-1] > of_text[0] else b""
+        of_text = of_text - of_text[0]
+        chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), "<u4")
+        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # the byte that each character begins at
+        begins = np.ones(len(chars), bool)
+        if len(chars):
+            begins[1:] = ~self.joins[self.left[chars[:-1]], self.right[chars[1:]]]
+            begins[np.searchsorted(lead, of_text[:-1][np.diff(of_text) > 0])] = True
+        starts = lead[begins]
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        return np.searchsorted(starts, of_text), units.indices.to_numpy(zero_copy_only=False), units.dictionary
 
     def segmentations(self, texts: pa.Array) -> list[list[tuple[float, np.ndarray]]]:
         """The N best (score, ids) of each text, best first.
 
-        A text's N best differ from its best in the words that lose least by their second choice:
-        with N - 1 such words there are N sums at least as good as any that changes another word,
-        so only they are added up; the other words stay at their best.
+        A text's N best differ from its best in the units that lose least by their second choice:
+        with N - 1 such units there are N sums at least as good as any that changes another unit,
+        so only their lists are found again and added up; the other units stay at their best.
         """
-        if len(self.units) > CACHE_ENTRIES:
-            self.units = {}
-        # Runs of spaces, the model's sign for a space, spaces at the ends and empty texts are rare.
-        special = pc.or_(pc.match_substring_regex(texts, "  |▁|^ | $"), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
-        offsets, at, names = distinct_pieces(pc.split_pattern(texts, " "))
-        found = [self._word(SPACE + name) for name in names.to_pylist()]
-        odd: dict[int, np.ndarray] = {}
-        for i in np.flatnonzero(special).tolist():
-            text = texts[i].as_py()
-            words = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE)) if text else []
-            odd[i] = np.arange(len(found), len(found) + len(words))
-            found += [self._word(w) for w in words]
-        best = np.fromiter((f[0][0] for f in found), float, len(found))
-        loss = np.fromiter((f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found), float, len(found))
-        size = np.fromiter((len(f[0][1]) for f in found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join([f[0][1] for f in found]), "<u4")
-        starts = np.concatenate(([0], np.cumsum(size)))
+        offsets, at, names = self.cut_all(texts)
+        number = self._numbers(names.to_pylist())
+        best, loss, ends_at, flat = (np.frombuffer(x, x.typecode) for x in (self.best, self.loss, self.ends, self.ids)) if len(number) else (np.zeros(0),) * 4
+        best, loss = best[number], loss[number]
+        starts = ends_at[number].astype(np.int64)
+        size = ends_at[number + 1].astype(np.int64) - starts
+        found: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
         out, least = [], self.n_best - 1
-        for i in range(len(texts)):
-            w = odd[i] if i in odd else at[offsets[i]:offsets[i + 1]]
-            if not len(w):
+        for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if low == high:
                 out.append([(0.0, np.zeros(0, np.uint32))])
                 continue
+            w = at[low:high]
             own_size = size[w]
             ends = np.cumsum(own_size)
             ids = flat[np.repeat(starts[w] - (ends - own_size), own_size) + np.arange(ends[-1])]
@@ -254,6 +300,9 @@ class PieceLattice:
             if len(w) > least:
                 places = np.sort(np.argpartition(loss[w], least - 1)[:least]) if least else places[:0]
             changes = w[places].tolist()
+            for k in changes:
+                if k not in found:
+                    found[k] = self.search(names[k].as_py())
             ways: list[tuple[float, tuple[int, ...]]] = [(float(best[w].sum() - best[changes].sum()) if changes else float(best[w].sum()), ())]
             for k in changes:
                 ways = self.add(ways, [(s, (j,)) for j, (s, _) in enumerate(found[k])])
@@ -265,7 +314,7 @@ class PieceLattice:
                     continue
                 parts, done = [], 0
                 for k, j, (a, b) in zip(changes, choice, spans, strict=True):
-                    parts += [ids[done:a], np.frombuffer(found[k][j][1], "<u4")]
+                    parts += [ids[done:a], np.array(found[k][j][1], np.uint32)]
                     done = b
                 texts_ids.append((score, np.concatenate([*parts, ids[done:]])))
             out.append(texts_ids)

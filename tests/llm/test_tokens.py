@@ -103,6 +103,29 @@ def test_n_best_equals_enumeration(n):
             assert len(set(found)) == len(found)
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_units_of_all_texts_at_once_and_the_forward_pass(n):
+    """Cuts, best and second best of a slice's units, and no unit searched anew by the words that hold it."""
+    lattice, rng = PieceLattice(PIECES, n), random.Random(7)
+    texts = ["", "a", " ", "é▁ \x01日", "😀😀 a", *("".join(rng.choice("the bl,.é\x01日 ") for _ in range(30)) for _ in range(40)), ""]
+    offsets, at, names = lattice.cut_all(pa.array(["skipped", *texts], pa.large_string()).slice(1))
+    names = names.to_pylist()
+    assert [[names[i] for i in at[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [lattice.cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    more = PieceLattice(PIECES, 2)
+    for unit in names:
+        found, (score, loss, ids) = more.search(unit), lattice.forward(unit)
+        assert found[0] == (score, tuple(ids)) and loss == (score - found[1][0] if len(found) > 1 else float("inf"))
+    seen = []
+    forward = lattice.forward
+    lattice.forward = lambda unit: seen.append(unit) or forward(unit)
+    for _ in range(2):
+        got = lattice.segmentations(pa.array(texts, pa.large_string()))
+    assert sorted(seen) == sorted(names)
+    for t, ways in zip(texts, got, strict=True):
+        want = lattice.encode(t)
+        assert [s for s, _ in ways] == pytest.approx([s for s, _ in want]) and tuple(ways[0][1]) == tuple(want[0][1])
+
+
 def test_lattice_texts(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + k, t) for k, (_, t) in enumerate(cases())]
     lattice = PieceLattice(PIECES, 3)
