@@ -11,10 +11,16 @@ segment for what was added, changed or removed; older files stay as they are. ``
 rows of some segments into one. A *commit* names the segments of a version and is written last, once:
 readers follow the newest commit, so a writer that fails leaves no trace, and of two writers of one
 version the second is refused.
+
+Postings are many times the rows of the texts, so they are never shuffled: each task cuts, sorts and writes those
+of its own texts, few enough to be sorted in memory. Texts are compared by their hashes, and tables of known
+few rows (tokens, replaced documents) are sent to the rows that they are looked up for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -26,6 +32,11 @@ from tessera.functions.text import like_wildcards
 _COMMIT = "version long, segments array<long>, size int, buckets int, id_type string, mark string"
 #: Deltas are put together from so many on.
 MOST_SEGMENTS = 8
+#: Tables of so many rows at most are sent to all tasks; larger ones are shuffled.
+FEW_ROWS = 1 << 18
+#: Bytes of the stored texts, and of stored postings, that one task takes: their postings are sorted in memory.
+TEXT_BYTES, POSTING_BYTES = 12 << 20, 16 << 20
+_SPLIT = "spark.sql.files.maxPartitionBytes"
 
 
 @dataclass(frozen=True)
@@ -88,6 +99,25 @@ def _read(index: TextIndex, table: str, schema: str, segments: tuple[int, ...] |
     return reader.parquet(*(f"{index.path}/{table}/segment={s}" for s in segments))
 
 
+@contextmanager
+def _tasks_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Tables that are read meanwhile are dealt to tasks by ``size`` bytes."""
+    before = spark.conf.get(_SPLIT)
+    spark.conf.set(_SPLIT, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT, before)
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+
+def _sent(rows: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(rows) if few else rows
+
+
 def _latest(index: TextIndex) -> DataFrame:
     """(doc_id, latest): the newest segment after the first that speaks of a document."""
     return _read(index, "log", f"doc_id {index.id_type}", index.segments[1:]).groupBy("doc_id").agg(F.max("segment").alias("latest"))
@@ -96,7 +126,8 @@ def _latest(index: TextIndex) -> DataFrame:
 def _live(index: TextIndex, rows: DataFrame) -> DataFrame:
     """Rows (doc_id, segment, ...) of segments that are still right about the document."""
     if len(index.segments) > 1:
-        rows = rows.join(_latest(index), "doc_id", "left").where(F.col("latest").isNull() | (F.col("latest") == F.col("segment"))).drop("latest")
+        few = _few(_read(index, "log", f"doc_id {index.id_type}", index.segments[1:]))
+        rows = rows.join(_sent(_latest(index), few), "doc_id", "left").where(F.col("latest").isNull() | (F.col("latest") == F.col("segment"))).drop("latest")
     return rows
 
 
@@ -105,30 +136,37 @@ def texts(index: TextIndex) -> DataFrame:
     return _live(index, _read(index, "log", f"doc_id {index.id_type}, text string, hash string")).where("text is not null").drop("segment")
 
 
-def stored_postings(index: TextIndex, grams: DataFrame | None = None) -> DataFrame:
-    """(gram, doc_id); with a table of grams (column gram) only theirs, from their folders alone."""
+def stored_postings(index: TextIndex, grams: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """(gram, doc_id); with a table of grams (column gram) only theirs, from their folders alone; ``few``: the
+    grams are sent to the postings."""
     rows = _read(index, "postings", f"gram string, doc_id {index.id_type}, bucket int")
     if grams is not None:
         wanted = grams.select("gram").distinct().withColumn("bucket", gram_bucket(F.col("gram"), index.buckets))
-        rows = rows.join(wanted, ["bucket", "gram"], "left_semi")
+        rows = rows.join(_sent(wanted, few), ["bucket", "gram"], "left_semi")
     return _live(index, rows).select("gram", "doc_id")
 
 
 def _write_segment(index: TextIndex, number: int, log: DataFrame) -> bool:
     """log: (doc_id, text, hash); whether it holds anything. Nothing more is written for an empty one."""
-    log.write.mode("overwrite").parquet(f"{index.path}/log/segment={number}")
+    _write_log(index, number, log)
     stored = index.spark.read.schema(log.schema).parquet(f"{index.path}/log/segment={number}")
     if not stored.limit(1).count() and number:
         return False
-    _write_postings(index, number, postings(stored.where("text is not null").select("doc_id", "text"), index.size))
+    with _tasks_of(index.spark, TEXT_BYTES):
+        _write_postings(index, number, postings(stored.where("text is not null").select("doc_id", "text"), index.size))
     return True
 
 
+def _write_log(index: TextIndex, number: int, log: DataFrame) -> None:
+    """Row groups as small as what a task takes, however large the files are."""
+    log.write.mode("overwrite").option("parquet.block.size", TEXT_BYTES).parquet(f"{index.path}/log/segment={number}")
+
+
 def _write_postings(index: TextIndex, number: int, rows: DataFrame) -> None:
-    """Both tables by bucket; the ids of a gram lie together, and a bucket's rows in several tasks if
-    there are many (adaptive execution splits what ``rebalance`` deals)."""
-    dealt = rows.select("gram", "doc_id", gram_bucket(F.col("gram"), index.buckets).alias("bucket")).hint("rebalance", "bucket")
-    dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={number}")
+    """Both tables by bucket, the postings as their tasks hold them: the ids of a gram lie together in each file. Nothing of
+    them is shuffled but the counts."""
+    own = rows.select("gram", "doc_id", gram_bucket(F.col("gram"), index.buckets).alias("bucket")).sortWithinPartitions("bucket", "gram")
+    own.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={number}")
     stored = _read(index, "postings", f"gram string, doc_id {dict(rows.dtypes)['doc_id']}, bucket int", (number,))
     counts = stored.groupBy("bucket", "gram").agg(F.count("*").alias("n"))
     counts.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/grams/segment={number}")
@@ -153,17 +191,31 @@ def _logged(documents: DataFrame) -> DataFrame:
     return own.withColumn("hash", text_hash(F.col("text")))
 
 
+def _hashes(documents: DataFrame) -> DataFrame:
+    """(doc_id, hash) of _logged, without a shuffle of texts but those of ids with several."""
+    known = documents.dropna(subset=["doc_id", "text"])
+    own = known.select("doc_id", text_hash(F.col("text")).alias("hash")).groupBy("doc_id").agg(F.min("hash").alias("hash"), F.max("hash").alias("other"))
+    several = own.where("hash <> other").select("doc_id")
+    one = own.where("hash = other").select("doc_id", "hash")
+    if not several.limit(1).count():
+        return one
+    return one.unionByName(_logged(known.join(_sent(several, _few(several)), "doc_id", "left_semi")).select("doc_id", "hash"))
+
+
 def update_index(index: TextIndex, documents: DataFrame) -> TextIndex:
     """The index of ``documents`` as they are now: one more segment for documents that were added,
     changed or removed, none if there are none. Where there are MOST_SEGMENTS, the segments after the
     first are put together first."""
     if len(index.segments) >= MOST_SEGMENTS:
         index = compact(index, keep=1)
-    old = texts(index).select("doc_id", F.col("hash").alias("old_hash"))
-    changed = _logged(documents).join(old, "doc_id", "full_outer").where(~F.col("hash").eqNullSafe(F.col("old_hash"))).select("doc_id", "text", "hash")
-    number = max(index.segments) + 1
-    if not _write_segment(index, number, changed):
-        return index  # nothing names the empty segment
+    ids = text_parity(index, documents).select("doc_id").persist()
+    try:
+        few, number = _few(ids), max(index.segments) + 1
+        now = _logged(documents.join(_sent(ids, few), "doc_id", "left_semi"))
+        if not _write_segment(index, number, _sent(ids, few).join(now, "doc_id", "left").select("doc_id", "text", "hash")):
+            return index  # nothing names the empty segment
+    finally:
+        ids.unpersist()
     return _commit(replace(index, version=index.version + 1, segments=(*index.segments, number), mark=documents_mark(documents)))
 
 
@@ -178,8 +230,9 @@ def compact(index: TextIndex, keep: int = 0) -> TextIndex:
     log = _live(inner, _read(inner, "log", f"doc_id {index.id_type}, text string, hash string")).drop("segment")
     if not keep:
         log = log.where("text is not null")
-    log.write.mode("overwrite").parquet(f"{index.path}/log/segment={number}")
-    _write_postings(index, number, stored_postings(inner))
+    _write_log(index, number, log)
+    with _tasks_of(index.spark, POSTING_BYTES):
+        _write_postings(index, number, stored_postings(inner))
     return _commit(replace(index, version=index.version + 1, segments=(*index.segments[:keep], number)))
 
 
@@ -200,17 +253,20 @@ def recall_indexed(index: TextIndex, tokens: DataFrame, requests: DataFrame | No
     gram that no text holds ends there. Shorter tokens are LIKE patterns over the texts, their own ``%``
     and ``_`` wildcards. With ``requests``, one without tokens recalls every document.
     """
+    few = _few(tokens)
     distinct, held = tokens.select("token").distinct(), texts(index).select("doc_id", "text")
     if among is not None:
         held = held.join(among.select("doc_id"), "doc_id", "left_semi")
     at = F.transform(F.sequence(F.lit(1), F.length("token") - (index.size - 1)), lambda i: F.substring(F.col("token"), i, F.lit(index.size)))
     grams = distinct.where(F.length("token") >= index.size).select("token", F.explode(F.array_distinct(at)).alias("gram"))
     grams = grams.withColumn("bucket", gram_bucket(F.col("gram"), index.buckets))
-    counts = _read(index, "grams", "gram string, n long, bucket int").join(grams.select("bucket", "gram").distinct(), ["bucket", "gram"], "left_semi")
+    counts = _read(index, "grams", "gram string, n long, bucket int").join(_sent(grams.select("bucket", "gram").distinct(), few), ["bucket", "gram"], "left_semi")
     counted = grams.join(counts.groupBy("gram").agg(F.sum("n").alias("n")), "gram", "left")
-    rarest = counted.groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    hits = stored_postings(index, rarest).join(rarest, "gram")
-    long = hits.join(held, "doc_id").where(F.col("text").contains(F.col("token"))).select("token", "doc_id")
+    rarest = counted.groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")).select("token", "least.*")
+    # The counts say how many postings there are to look up.
+    rarest, number = rarest.drop("n"), rarest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = stored_postings(index, rarest, few).join(_sent(rarest, few), "gram")
+    long = _sent(hits, number <= FEW_ROWS).join(held, "doc_id").where(F.col("text").contains(F.col("token"))).select("token", "doc_id")
     short = held.join(distinct.where(F.length("token") < index.size), like_wildcards(F.col("text"), F.col("token"))).select("token", "doc_id")
     found = long.unionByName(short).join(tokens, "token").select("request_id", "doc_id").distinct()
     if requests is None:
@@ -221,7 +277,7 @@ def recall_indexed(index: TextIndex, tokens: DataFrame, requests: DataFrame | No
 
 def text_parity(index: TextIndex, documents: DataFrame) -> DataFrame:
     """(doc_id, expected_hash, stored_hash) of documents whose stored text is not the present one."""
-    own, stored = _logged(documents).select("doc_id", F.col("hash").alias("expected_hash")), texts(index).select("doc_id", F.col("hash").alias("stored_hash"))
+    own, stored = _hashes(documents).select("doc_id", F.col("hash").alias("expected_hash")), texts(index).select("doc_id", F.col("hash").alias("stored_hash"))
     return own.join(stored, "doc_id", "full_outer").where(~F.col("expected_hash").eqNullSafe(F.col("stored_hash")))
 
 

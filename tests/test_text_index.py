@@ -58,6 +58,35 @@ def test_recall_over_updates_and_compaction(spark, tmp_path):
         index = small
 
 
+def test_postings_are_not_dealt_out(spark, tmp_path, monkeypatch):
+    """Neither an index, an update nor a compaction deals out postings; with few rows sent or all shuffled, and ids
+    that come twice, the results are the same."""
+    rows = corpus(3, 40)
+    moved = []
+    parquet = type(spark.range(1).write).parquet
+
+    def watched(self, path, *a, **b):
+        plan = self._df._jdf.queryExecution().optimizedPlan().toString()
+        moved.append((path.split("/")[-2], "Repartition" in plan or "RebalancePartitions" in plan))
+        return parquet(self, path, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", watched)
+    tokens = spark.createDataFrame(TOKENS, "request_id string, token string")
+    for few in (1 << 18, 1):
+        monkeypatch.setattr(text_index, "FEW_ROWS", few, raising=False)
+        first = create_index(docs(spark, rows), str(tmp_path / f"i{few}"), buckets=4)
+        now = rows | {"d1": "stone zz now", "d2": None, "new": "yellow carp"}
+        own = docs(spark, now).unionByName(docs(spark, {"new": "azure carp", "d7": "~ later text"}))  # ids twice: the least text
+        now |= {"new": "azure carp"}
+        second = update_index(first, own)
+        log = spark.read.parquet(str(tmp_path / f"i{few}" / "log" / "segment=1"))
+        assert {r["doc_id"]: r["text"] for r in log.collect()} == {"d1": "stone zz now", "d2": None, "new": "azure carp"}
+        small = compact(second)
+        assert {tuple(r) for r in recall_indexed(small if few > 1 else second, tokens).collect()} == wanted(now, TOKENS)
+        assert text_parity(small, own).count() == 0 and posting_parity(small).where("not equal").count() == 0
+    assert moved and not any(m[1] for m in moved if m[0] == "postings")
+
+
 def test_same_texts_make_no_version_and_many_deltas_are_put_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_index, "MOST_SEGMENTS", 3)
     rows = {"a": "stone", "b": "wall", "c": None}
