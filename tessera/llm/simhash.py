@@ -36,6 +36,8 @@ SHARD_SIZE = 4096
 #: Fingerprints of unlike texts go to 0.7 of the cells at each level: below this size a further level
 #: costs more than it saves.
 LEAF_SIZE, ROWS_AT_ONCE = 4096, 256
+#: Bytes of text that are fingerprinted at once, and hashes of a text that are taken apart to bits at once.
+SLICE_BYTES, HASHES_AT_ONCE = 1 << 18, 1 << 14
 
 
 def shingle_hashes(words: list[bytes], size: int) -> list[int]:
@@ -56,23 +58,17 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
 
 def fingerprints(texts: pa.Array, shingle_words: int) -> np.ndarray:
     """SimHash of each text as uint64: a bit is set if it is set in over half the hashes."""
-    out = []
-    for part in by_bytes(texts, 1 << 20):
-        hashes: list[int] = []
-        sizes = []
+    out = np.zeros((len(texts), 64), bool)
+    at = 0
+    for part in by_bytes(texts, SLICE_BYTES):
         for text in part.to_pylist():
-            own = shingle_hashes(text.encode("utf-8").lower().split(), shingle_words)
-            hashes += own
-            sizes.append(len(own))
-        size = np.asarray(sizes)
-        found = np.zeros((len(size), 64), np.uint8)
-        some = size > 0
-        if some.any():
-            bits = np.unpackbits(np.asarray(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            starts = (np.cumsum(size) - size)[some]
-            found[some] = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > size[some, None]
-        out.append(np.packbits(found, axis=1).view(">u8").reshape(-1).astype(np.uint64))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            own = np.array(shingle_hashes(text.encode("utf-8").lower().split(), shingle_words), ">u8").view(np.uint8).reshape(-1, 8)
+            counts = np.zeros(64, np.int64)
+            for start in range(0, len(own), HASHES_AT_ONCE):  # bits take 64 times a byte
+                counts += np.unpackbits(own[start:start + HASHES_AT_ONCE], axis=1).sum(axis=0, dtype=np.int32)
+            out[at] = 2 * counts > len(own)
+            at += 1
+    return np.packbits(out, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprint_table(docs: DataFrame, shingle_words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

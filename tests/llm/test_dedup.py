@@ -251,3 +251,23 @@ def test_contaminations_reach_the_threshold():
     far = sum(r[4] > decontamination.RADIUS for r in found)
     want = {(d, i, s) for d, t in rows for _, i, s in plain_contaminations([(d, t)], [items[d // 30]])}
     assert {(r[0], r[1], round(r[5], 9)) for r in found} == want and far > 0
+
+
+def test_fingerprints_of_long_texts_take_little_memory():
+    """Hashes are taken apart to bits a few at a time, of long texts too."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm.simhash import fingerprints, shingle_hashes
+
+    words = [f"w{i % 977}x{i % 89}" for i in range(60_000)]
+    texts = [" ".join(words), "", "one", " ".join(words[:50])]
+    tracemalloc.start()
+    got = fingerprints(pa.array(texts, pa.large_string()), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    for text, value in zip(texts, got.tolist(), strict=True):
+        own = shingle_hashes(text.encode().split(), 5)
+        assert value == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
