@@ -25,12 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import SLICE_BYTES, release_memory
 from tessera.llm.tokens import by_bytes, model, texts_of
 
-#: Entries in a worker's table of units; a full one is emptied.
-CACHE_ENTRIES = 900_000
-#: Bytes of text that are segmented at once.
-SLICE_BYTES = 4 << 20
+#: Entries in a worker's table of units (some 200 bytes each); a full one is emptied.
+CACHE_ENTRIES = 300_000
 SPACE = "▁"
 
 
@@ -338,7 +337,7 @@ def _segmented(docs: DataFrame, model_path: str, n_best: int, id_column: str, te
             for part in by_bytes(texts_of(batch.column(1)), SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), *rows(lattice, part, lattice.segmentations(part))], names)
                 done += len(part)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return source.mapInArrow(run, f"id long, {columns}").withColumnRenamed("id", id_column)

@@ -1,6 +1,7 @@
 """Token counts, token files and the piece lattice."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import cases, empty, table
-from tessera.llm import token_files
+from tessera.llm import lattice, token_files
 from tessera.llm.lattice import SPACE, PieceLattice, decode_ids, encode_texts, segment_texts
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.tokens import PieceCounter, WordBpeEncoder
@@ -158,3 +159,19 @@ def test_segmentations_and_decoding(spark):
         texts = {r["doc_id"]: r["decoded"] for r in decode_ids(found.select("doc_id", F.get("ids", F.lit(n)).alias("own")), PIECES, "own").collect()}
         assert texts == {i: (t or "").replace(SPACE, " ") if len(got[i]["ids"]) > n else None for i, t in rows}
     assert segment_texts(empty(spark), PIECES).count() == 0
+
+
+def test_workers_hold_little_while_segmenting(spark, monkeypatch):
+    """A batch of many texts is segmented a small slice at a time, and the table of units stays small."""
+    runs = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, schema: runs.append(run) or df.withColumnRenamed("doc_id", "id"))
+    segment_texts(table(spark, [(1, "x")]), PIECES)
+    texts = ["The quick brown fox, jumped over 12 lazy dogs. " * 2000] * 40  # 3.8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["id", "text"])
+    list(runs[0](iter([batch.slice(0, 1)])))  # the model is read
+    tracemalloc.start()
+    rows = [part.num_rows for part in runs[0](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 40 and len(rows) >= 4 and peak < 100 << 20
+    assert lattice.CACHE_ENTRIES * 200 < 100 << 20
