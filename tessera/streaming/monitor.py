@@ -133,21 +133,22 @@ class Heartbeats(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "seen long, running boolean, stale boolean")
 
-    def _wake(self, at: int | None) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
-
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        seen, running, stale = tuple(self.held.get()) if self.held.exists() else (-1, False, False)
+        held = self.held.get()
+        seen, running, stale = (-1, False, False) if held is None else tuple(held)
         newest = max((int(r[self.time].timestamp() * 1000), r[self.status]) for r in rows)
         if newest[0] < seen:
             return
+        wait = self.seconds * 1000 + 1
+        old = seen + wait if running and not stale else None  # the only timer that a marker has
         seen, running = newest[0], newest[1] == "running"
-        limit = seen + self.seconds * 1000
-        late = running and limit < timerValues.getCurrentWatermarkInMs()
-        self._wake(limit + 1 if running and not late else None)
+        late = running and seen + wait <= timerValues.getCurrentWatermarkInMs()
+        new = seen + wait if running and not late else None
+        if old != new:  # each call goes to the state store
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
         self.held.update((seen, running, late))
         if late != stale:
             yield self._change(key, seen, 1 if late else -1)
@@ -176,10 +177,34 @@ def stream_stale(heartbeats: DataFrame, keys: list[str], status: str, time: str,
 def current_stale_markers(changes: DataFrame) -> DataFrame:
     """(run_id, stage, item) from the changes of stream_stale over those keys: what stale_markers gives of the
     tables. A stage's own marker counts only where none of its items is stale."""
-    now = changes.groupBy("run_id", "stage", "item").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
-    items = now.where("item is not null")
-    stages = now.where("item is null").select("run_id", "stage").join(items, ["run_id", "stage"], "left_anti")
-    return items.unionByName(stages.withColumn("item", F.lit(None).cast(dict(changes.dtypes)["item"])))
+    return items_before_stages(changes.groupBy("run_id", "stage", "item").agg(F.sum("change").alias("n")).where("n > 0").drop("n"))
+
+
+def items_before_stages(stale: DataFrame) -> DataFrame:
+    """Stale markers (run_id, stage, item; null: the stage's own) without those of stages that have a stale item."""
+    items = stale.where("item is not null")
+    stages = stale.where("item is null").select("run_id", "stage").join(items, ["run_id", "stage"], "left_anti")
+    return items.unionByName(stages.withColumn("item", F.lit(None).cast(dict(stale.dtypes)["item"])))
+
+
+def stream_last_seen(heartbeats: DataFrame, keys: list[str], status: str, time: str, path: str, checkpoint: str):
+    """Start a stream that keeps each marker's last heartbeat (seen, in ms) with its status, and writes for each batch those
+    that it changed. stale_by_last_seen says which are stale. Spark's own aggregate holds the state, a row for each
+    marker; no row passes Python. Where stale markers are asked for and not each change at its time, it stands for
+    stream_stale. Rows without time or status are left out; a batch that is run again is written once."""
+    heartbeats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    beat = F.struct(F.unix_millis(F.col(time).cast("timestamp")).alias("seen"), F.col(status).alias("status"))
+    last = heartbeats.dropna(subset=[status, time]).groupBy(*keys).agg(F.max(beat).alias("last")).select(*keys, "last.seen", "last.status")
+    write = lambda batch, number: commit_batch(batch, number, path) and None
+    return last.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stale_by_last_seen(last: DataFrame, keys: list[str], seconds: int = 300) -> DataFrame:
+    """(keys) of running markers that have been silent for ``seconds`` before the newest heartbeat of all. last: (keys,
+    seen, status), what stream_last_seen has committed."""
+    now = last.agg(F.max("seen").alias("now_"))  # one row
+    latest = last.groupBy(*keys).agg(F.max(F.struct("seen", "status")).alias("last_"))
+    return latest.join(now).where((F.col("last_.status") == "running") & (F.col("last_.seen") + seconds * 1000 < F.col("now_"))).select(*keys)
 
 
 def dedupe_tasks(tasks: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:

@@ -123,3 +123,23 @@ def test_dedupe(spark, tmp_path):
     assert sorted(r["k"] for r in drain(monitor.dedupe_tasks(live, "k", "ts"), "tasks").collect()) == ["a", "b"]
     events = spark.createDataFrame([("r", "p", 1, 1), ("r", "p", 3, 2), ("r", "p", 2, 3)], "r string, p string, done int, o int")
     assert monitor.progress_regressions(events, "r", "p", "done", "o").count() == 1
+
+
+def test_stale_by_last_heartbeats(spark, tmp_path, monkeypatch):
+    """Late, equal and retried heartbeats; the markers are those of the tables. No marker passes Python's state."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [[("r", "s", "a", "running", at(0)), ("r", "s", None, "running", at(0)), ("r", "t", None, "running", at(10)), ("r", "u", "x", "succeeded", at(0)), ("r", "u", "x", "running", at(0))],
+            [("r", "s", "a", "running", at(650)), ("r", "t", None, None, at(700)), ("r", "v", "y", "running", at(400))],
+            [("r", "s", "a", "succeeded", at(5)), ("r", "v", "y", "running", at(399)), ("r", "w", "z", "running", at(100)), ("q", "w", "z", "running", at(700))]]
+    live, table = stream(spark, tmp_path, rows, "run_id string, stage string, item string, status string, ts timestamp")
+    monkeypatch.setattr(type(table.groupBy("run_id")), "transformWithState", None)
+    keys, path = ["run_id", "stage", "item"], str(tmp_path / "seen")
+    for _ in range(2):  # the second run has nothing new
+        monitor.stream_last_seen(live, keys, "status", "ts", path, str(tmp_path / "state")).awaitTermination(120)
+    last = exactly_once.committed(spark, path, "run_id string, stage string, item string, seen long, status string")
+    stale = monitor.stale_by_last_seen(last, keys, 300)
+    assert {tuple(r) for r in stale.collect()} == {("r", "s", None), ("r", "t", None), ("r", "w", "z")}
+    assert {tuple(r) for r in monitor.items_before_stages(stale).collect()} == {("r", "s", None), ("r", "t", None), ("r", "w", "z")}
+    latest = table.dropna(subset=["status"]).groupBy(*keys).agg(F.max(F.struct("ts", "status")).alias("l")).select("run_id", "stage", F.col("item").alias("job_id"), F.col("l.ts").alias("heartbeat_at"), F.col("l.status").alias("status"))
+    twin = monitor.stale_markers(latest.where("job_id is null"), latest.where("job_id is not null"), at(700))
+    assert {tuple(r) for r in twin.collect()} == {("r", "s", None), ("r", "t", None), ("r", "w", "z")}
