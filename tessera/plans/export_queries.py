@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import diff, export_rules, integrity, lineage, overrides, projections, release, review, search
 from tessera.operators.schema_rules import Rule, violations
 from tessera.plans.registry import query, read
-from tessera.sources.shared import shared_folder, stored
+from tessera.sources.shared import small_tasks, stored
 
 _BLOCK_ID = "CASE WHEN p_partkey % 101 = 100 THEN concat('Bad Id ', p_partkey) WHEN p_partkey % 103 = 102 THEN 'm:p0' ELSE concat('m:p', p_partkey) END"
 BLOCKS = f"""SELECT p_partkey AS n, {_BLOCK_ID} AS block_id, CASE WHEN p_partkey % 97 = 96 THEN 'other' ELSE 'e' END AS export_id, concat('m:p', p_partkey, '[k=', p_size % 7, ']') AS default_state_id,
@@ -456,15 +456,14 @@ SELECT gate, CASE WHEN gate = 'RELEASE_HASH_MANIFEST' THEN 'not_run' WHEN violat
 @query(_GATES)
 def quality_gates(spark, sf_dir):
     """The gates before a release is built: one that passes, the last not run yet, the others fed with
-    violations. The made tables are written once and read by all gates."""
-    path = shared_folder(spark, "gates")
+    violations. The made tables are written once and read by all gates, and so is the report: its tasks are small."""
+    with small_tasks(spark, max(read(spark, sf_dir, name).count() for name in ("lineitem", "events"))):
+        return stored(_gate_report(spark, sf_dir).coalesce(1), "gates")
 
-    def stored(name, rows):
-        rows.write.parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
 
-    part, labels, states = read(spark, sf_dir, "part"), read(spark, sf_dir, "labels"), stored("states", _states(spark, sf_dir))
-    variants, reviews, manual = stored("variants", _variants(spark, sf_dir).dropDuplicates(["n"])), _made(spark, sf_dir, "reviews"), _made(spark, sf_dir, "manual")
+def _gate_report(spark, sf_dir):
+    part, labels, states = read(spark, sf_dir, "part"), read(spark, sf_dir, "labels"), stored(_states(spark, sf_dir), "states")
+    variants, reviews, manual = stored(_variants(spark, sf_dir).dropDuplicates(["n"]), "variants"), _made(spark, sf_dir, "reviews"), _made(spark, sf_dir, "manual")
     blocks, annotations = _blocks(spark, sf_dir), _made(spark, sf_dir, "annotations").withColumn("source", F.struct("verified"))
     own_blocks = blocks.groupBy("block_id").agg(F.min("default_state_id").alias("default_state_id"))
     keys = part.select(F.col("p_partkey").alias("k"), "p_size")
