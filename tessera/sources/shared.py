@@ -42,17 +42,22 @@ def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is executed in this block is dealt to tasks of about ROWS_PER_TASK rows, ``rows`` being those of the largest table.
 
     Spark joins shuffle partitions up to 64 MB as compressed and scans 128 MB of a file at once; columns of made ids
-    compress so well that this is many million rows, which a task then hashes and sorts. Here the limits are 4 and 16 MB."""
+    compress so well that this is many million rows, which a task then hashes and sorts. Here the limits are 4 and 8 MB.
+    Tables are broadcast by their size as shuffled alone, as that of their files says little about their rows."""
     partitions = "spark.sql.shuffle.partitions"
-    limits = {partitions: str(max(int(spark.conf.get(partitions)), task_count(rows))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.files.maxPartitionBytes": "16m"}
-    before = {name: spark.conf.get(name) for name in limits}
+    limits = {partitions: str(max(int(spark.conf.get(partitions)), task_count(rows))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.files.maxPartitionBytes": "8m",
+              "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {name: spark.conf.get(name, None) for name in limits}
     for name, value in limits.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:

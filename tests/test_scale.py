@@ -80,14 +80,14 @@ def test_mapping_rules_read_written_tables(spark, monkeypatch):
 
 def test_gates_are_dealt_to_small_tasks(spark, monkeypatch):
     """All that quality_gates executes is dealt by rows, not by compressed bytes; the session's settings come back."""
-    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold"]
     settings = lambda: [spark.conf.get(n) for n in names]
     before, seen, write = settings(), [], shared.stored
     monkeypatch.setattr(shared, "ROWS_PER_TASK", 100)
     monkeypatch.setattr(export_queries, "stored", lambda rows, name: seen.append([name, *settings()]) or write(rows, name))
     report = export_queries.quality_gates(spark, "/root/testdata/sf0.001")
     rows = max(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").count() for t in ("lineitem", "events"))
-    wanted = [str(max(int(before[0]), 1 + rows // 100)), "4m", "16m"]
+    wanted = [str(max(int(before[0]), 1 + rows // 100)), "4m", "8m", "-1"]
     assert seen == [[name, *wanted] for name in ("states", "variants", "gates")] and settings() == before
     assert len(report.inputFiles()) == 1 and report.count() == 12
     with pytest.raises(ZeroDivisionError), shared.small_tasks(spark, 1):
